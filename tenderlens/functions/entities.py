@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tenderlens.functions.money import parse_money
-from tenderlens.functions.text import let, lookup
+from tenderlens.functions.text import first_found, lookup
 from tenderlens.refdata import (
     BUYER_TYPE_KEYWORDS,
     CONTRACT_TYPES,
@@ -36,10 +36,10 @@ def contract_type_label(code: Column, is_works: Column) -> Column:
 
 def first_keyword(text: Column, keywords: tuple[tuple[str, str], ...]) -> Column:
     """Label of the first keyword that occurs in the text, in any case."""
-    def chain(t: Column) -> Column:
-        return F.coalesce(*[F.when(t.contains(word.lower()), label) for word, label in keywords])
-
-    return let(F.lower(text), chain)
+    table: dict[str, str] = {}
+    for word, label in keywords:
+        table.setdefault(word.lower(), label)
+    return first_found(F.lower(text), table)
 
 
 def infer_buyer_type(buyer: Column) -> Column:

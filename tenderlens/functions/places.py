@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column, functions as F
 
 from tenderlens.functions.entities import first_keyword
-from tenderlens.functions.text import fold_text, let, lookup, squeeze, strip_marks, title_place
+from tenderlens.functions.text import first_found, fold_text, let, lookup, squeeze, strip_marks, title_place
 from tenderlens.refdata import (
     AUTONOMOUS_CITIES,
     CORUNA_SPELLINGS,
@@ -62,10 +62,7 @@ def province_from_postcode(c: Column) -> Column:
 
 def province_in_text(c: Column) -> Column:
     """Longest province name that occurs in the folded text."""
-    def chain(t: Column) -> Column:
-        return F.coalesce(*[F.when(t.contains(fold_literal(p)), p) for p in PROVINCES_LONGEST_FIRST])
-
-    return let(fold_text(c), chain)
+    return first_found(fold_text(c), FOLDED_PROVINCES)
 
 
 def region_from_province(c: Column) -> Column:
@@ -116,9 +113,6 @@ def infer_geography(buyer: Column) -> Column:
 
     A pure expression: on wide tables it costs less than a distinct and a join back, and knows no skew.
     """
-    def longest(t: Column) -> Column:
-        return F.coalesce(*[F.when(t.contains(p.lower()), p) for p in PROVINCES_LONGEST_FIRST])
-
     def place(found: Column) -> Column:
         by_name = found["by_name"]
         return F.struct(
@@ -128,6 +122,6 @@ def infer_geography(buyer: Column) -> Column:
 
     found = F.struct(
         first_keyword(buyer, REGION_KEYWORDS).alias("government"),
-        let(F.lower(buyer), longest).alias("by_name"),
+        first_found(F.lower(buyer), {p.lower(): p for p in PROVINCES_LONGEST_FIRST}).alias("by_name"),
     )
     return let(found, place)

@@ -36,11 +36,11 @@ def _hits(text: str, pattern: str) -> Column:
 
         return F.transform(found["values"], one)
 
-    found = F.struct(
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("values"),
-        F.split(text, regex, -1).alias("between"),
-    )
-    return F.when(F.col(text).rlike(regex), let(let(found, with_steps), with_context))
+    def place(values: Column) -> Column:
+        found = F.struct(values.alias("values"), F.split(text, regex, -1).alias("between"))
+        return F.when(F.size(values) > 0, let(let(found, with_steps), with_context))
+
+    return let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), place)
 
 
 def scan_text(pages: DataFrame, patterns: Iterable[str] | None = None) -> DataFrame:

@@ -15,8 +15,30 @@ from tenderlens.refdata import INE_PROVINCES, NO_SUPPLIER
 YEARS_SHIFT = 28 * 12  # months from the test dates to plausible award dates
 
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small file over all cores. A table with enough splits is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def money(c: Column) -> Column:
@@ -71,7 +93,7 @@ def _awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     has_supplier = F.col("l_orderkey") % 17 != 0
     date = F.when(F.col("l_orderkey") % 29 != 0, F.add_months(F.col("l_shipdate").cast("date"), YEARS_SHIFT))
     return (
-        read("lineitem")
+        spread(read("lineitem"))
         .join(read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
         .join(read("part").select("p_partkey", "p_name", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
@@ -127,7 +149,7 @@ def budget_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as they are, plus one page per order line that states ids, phones, dates and amounts."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    documents = spread(table(spark, sf_dir, "documents")).select("doc_id", F.lit(1).alias("page"), "text")
     key = F.col("l_orderkey")
     digits = F.lpad((key * 7919 % 100_000_000).cast("string"), 8, "0")
     price = F.floor(F.col("l_extendedprice")).cast("bigint")
@@ -143,7 +165,7 @@ def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(digits, 5, 4), F.lit(" 0001 22, correo linea"), F.col("l_linenumber").cast("string"),
         F.lit("@ejemplo.es; IVA incluido 18.000 € y 14.500 EUR."),
     )
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem")).select(
         (key + 1_000_000_000).alias("doc_id"), F.col("l_linenumber").alias("page"), text.alias("text")
     )
     return documents.unionByName(lines)

@@ -84,6 +84,7 @@ def _first(path: str) -> str:
     return f"({path}[normalize-space()])[1]"
 
 
+PLACE = "struct<municipality: string, province: string, region: string>"
 PLACE_FIELDS = ("CityName", "CountrySubentity", "PostalZone")
 CPV_TEST = "translate(normalize-space(),'0123456789','')='' and string-length(normalize-space())>3"
 WORKS_TEST = " or ".join(f"normalize-space()='{code}'" for code in WORKS_CODES)
@@ -134,24 +135,25 @@ def _usable(place: Column) -> Column:
     return F.when(known.isNotNull(), place)
 
 
-def _first_place(xml: Column, element: str, path: str) -> Column:
-    """First usable place among the elements of one kind, each parsed on its own as a small document."""
-    cut = rf"(?s)<{element}[\s>].*?</{element}\s*>"
-    paths = {field: _first(f"{path}//{field}") for field in PLACE_FIELDS}
+def contract_territory(xml: Column) -> Column:
+    """Address of the contracting party first, then the place where the contract is carried out.
 
-    def read(fragment: Column) -> Column:
-        return let(_read(fragment, paths), lambda p: let(place_struct(*[p[f] for f in PLACE_FIELDS]), _usable))
+    The first element that gives any place counts; the elements after it are not read.
+    """
+    def cut(element: str) -> Column:
+        return F.regexp_extract_all(xml, F.lit(rf"(?s)<{element}[\s>].*?</{element}\s*>"), F.lit(0))
 
-    places = F.transform(F.regexp_extract_all(xml, F.lit(cut), F.lit(0)), read)
-    return F.get(F.filter(places, lambda p: p.isNotNull()), F.lit(0))
+    def both(field: str) -> str:
+        found = f"{field}[normalize-space()]"
+        return f"(/LocatedContractingParty/Party[1]//{found} | /RealizedLocation//{found})[1]"
 
+    paths = {field: both(field) for field in PLACE_FIELDS}
 
-def contract_territory(xml: Column) -> Column:
-    """Address of the contracting party first, then the place where the contract is carried out."""
-    return F.coalesce(
-        _first_place(xml, "LocatedContractingParty", "/*/Party[1]"),
-        _first_place(xml, "RealizedLocation", "/*"),
-    )
+    def read(fragment: Column) -> Column:
+        return let(_read(fragment, paths), lambda p: let(place_struct(*[p[f] for f in PLACE_FIELDS]), _usable))
+
+    elements = F.concat(cut("LocatedContractingParty"), cut("RealizedLocation"))
+    return F.aggregate(elements, F.lit(None).cast(PLACE), lambda found, element: F.coalesce(found, read(element)))
 
 
 def _all(xml: Column, element: str) -> Column:
