@@ -246,10 +246,10 @@ def risk_scatter(radar_table: DataFrame) -> DataFrame:
 def case_detail(contracts: DataFrame, cases: DataFrame) -> DataFrame:
     """Contracts behind the given radar groups, by date.
 
-    A group is unique among the cases, so a hot group only makes the contract side large: adaptive
-    execution splits it.
+    The cases only decide which contracts stay, so a hot group makes the contract side large and never the
+    other: adaptive execution splits it.
     """
-    keys = cases.select(F.col("supplier").alias("supplier_key"), "buyer", "contract_type", "fiscal_year").distinct()
+    keys = cases.select(F.col("supplier").alias("supplier_key"), "buyer", "contract_type", "fiscal_year")
     columns = ["award_date", "buyer", "fiscal_year", "contract_type", "subject", "supplier", "amount"]
     return (
         contracts.join(keys, ["supplier_key", "buyer", "contract_type", "fiscal_year"], "left_semi")

@@ -236,9 +236,11 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               'xmlns:cac="urn:cac" xmlns:cac-place-ext="urn:place"><title>Contratos</title><link rel="next" '
               'href="page-'), (F.col("page") + 1).cast("string"), F.lit('.atom"/>\n'),
     )
+    # A fixed number of partitions is not merged by adaptive execution: reading the pages is heavy work.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return (
-        _awards(spark, sf_dir).select(page.alias("page"), "l_orderkey", "l_linenumber", entry.alias("entry"))
-        .groupBy("page").agg(F.array_join(F.collect_list("entry"), "\n").alias("entries"))
+        _awards(spark, sf_dir).select(page.alias("page"), entry.alias("entry"))
+        .repartition(tasks, "page").groupBy("page").agg(F.array_join(F.collect_list("entry"), "\n").alias("entries"))
         .select(
             F.concat(F.lit("https://feeds.example.org/minor/page-"), F.col("page").cast("string"), F.lit(".atom"))
             .alias("source_file"),
