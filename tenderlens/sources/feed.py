@@ -47,7 +47,7 @@ XML_OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
 def read_feed_pages(spark: SparkSession, folder: str | list[str], pattern: str = FEED_FILES) -> DataFrame:
     """One row per feed file: its path and its whole text."""
     return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+        spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("source_file"), "value")
     )
 

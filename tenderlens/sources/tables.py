@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
 
 from tenderlens import schema
 from tenderlens.operators.radar import by_risk
@@ -16,7 +15,8 @@ def write_contracts(contracts: DataFrame, path: str, mode: str = "overwrite") ->
     fields = [F.col(f.name).cast(f.dataType) for f in schema.CONTRACTS]
     (
         contracts.select(*fields).hint("rebalance", F.col("fiscal_year"))
-        .write.mode(mode).option("compression", "snappy").partitionBy("fiscal_year").parquet(path)
+        .write.mode(mode).option("compression", "snappy").option("partitionOverwriteMode", "static")
+        .partitionBy("fiscal_year").parquet(path)
     )
 
 
@@ -52,11 +52,8 @@ def ingest_or_reuse(
 
 def _is_complete(spark: SparkSession, path: str) -> bool:
     """Whether the job that wrote the folder has finished."""
-    try:
-        done = spark.read.format("binaryFile").load(f"{path}/_SUCCESS")
-        return done.select("path").limit(1).count() == 1
-    except AnalysisException:
-        return False
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def read_budget(spark: SparkSession, lines_csv: str, entities_csv: str) -> tuple[DataFrame, DataFrame]:
