@@ -1,53 +1,63 @@
 """Forensic text scan: every match of the patterns, with its surroundings.
 
-Each page is read where it lies: no shuffle, no Python. Spark gives the matches of a pattern and the text
-between them; the surroundings of a match are put together from its neighbours. Every match has at least one
-character, so ``SCAN_CONTEXT`` neighbours on either side always cover the surroundings, and the work grows
-linearly with the text.
+Each page is read where it lies: no shuffle, no Python. One pass of a pattern cuts the page into pieces, text and
+matches in turn; the surroundings of a match are put together from its neighbours. Every match has at least one
+character, so ``SCAN_CONTEXT`` matches on either side always cover the surroundings, and the work grows linearly
+with the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenderlens.functions import amount_flag, let
-from tenderlens.refdata import SCAN_CONTEXT, SCAN_PATTERNS
+from tenderlens.refdata import AMOUNTS, SCAN_CONTEXT, SCAN_PATTERNS
 
 
-def _hits(text: str, pattern: str) -> Column:
-    """Array of (value, context) for one pattern, null if there is no match."""
+MARK = "\uffff"  # not a character: it does not occur in text, and a page that has it all the same goes the long way
+# A page without any of these cannot match.
+NEEDED = {"Emails": ("@",), AMOUNTS: ("€", "euros", "EUR")}
+
+
+def _pieces(text: str, pattern: str) -> Column:
+    """Text before the first match, first match, text after it, and so on."""
     regex = f"(?U){pattern}"  # word boundaries, digits and spaces as in Unicode
+    marked = F.split(F.regexp_replace(text, regex, f"{MARK}$0{MARK}"), MARK, -1)
+    matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    two_passes = F.flatten(F.zip_with(F.split(text, regex, -1), matches, lambda gap, hit: F.array(gap, hit)))
+    return F.when(F.col(text).contains(MARK), two_passes).otherwise(marked)
 
-    def with_steps(found: Column) -> Column:
-        # Step i is the text before hit i and the hit itself; the last step is the rest of the page.
-        steps = F.zip_with(found["between"], found["values"], lambda p, h: F.concat(p, F.coalesce(h, F.lit(""))))
-        return F.struct(found["values"].alias("values"), found["between"].alias("between"), steps.alias("steps"))
 
-    def with_context(found: Column) -> Column:
-        def one(hit: Column, i: Column) -> Column:
-            first = F.greatest(i - SCAN_CONTEXT, F.lit(0))
-            earlier = F.array_join(F.slice(found["steps"], first + 1, i - first), "")
-            before = F.right(F.concat(earlier, F.get(found["between"], i)), F.lit(SCAN_CONTEXT))
-            after = F.left(F.array_join(F.slice(found["steps"], i + 2, SCAN_CONTEXT + 1), ""), F.lit(SCAN_CONTEXT))
-            context = F.replace(F.concat(before, hit, after), F.lit("\n"), F.lit(" "))
-            return F.struct(hit.alias("value"), F.concat(F.lit("..."), context, F.lit("...")).alias("context"))
+def _hits(text: str, kind: str) -> Column:
+    """Array of (value, context) for one pattern, null if there is no match."""
+    reach = 2 * SCAN_CONTEXT + 1
 
-        return F.transform(found["values"], one)
+    def with_context(pieces: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            first = F.greatest(i - reach, F.lit(0))
+            before = F.right(F.array_join(F.slice(pieces, first + 1, i - first), ""), F.lit(SCAN_CONTEXT))
+            after = F.left(F.array_join(F.slice(pieces, i + 2, reach), ""), F.lit(SCAN_CONTEXT))
+            context = F.replace(F.concat(before, piece, after), F.lit("\n"), F.lit(" "))
+            hit = F.struct(piece.alias("value"), F.concat(F.lit("..."), context, F.lit("...")).alias("context"))
+            return F.when((i % 2 == 1) & piece.isNotNull(), hit)
 
-    def place(values: Column) -> Column:
-        found = F.struct(values.alias("values"), F.split(text, regex, -1).alias("between"))
-        return F.when(F.size(values) > 0, let(let(found, with_steps), with_context))
+        return F.when(F.size(pieces) > 1, F.filter(F.transform(pieces, one), lambda hit: hit.isNotNull()))
 
-    return let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), place)
+    hits = let(_pieces(text, SCAN_PATTERNS[kind]), with_context)
+    if kind in NEEDED:
+        return F.when(reduce(or_, [F.col(text).contains(word) for word in NEEDED[kind]]), hits)
+    return hits
 
 
 def scan_text(pages: DataFrame, patterns: Iterable[str] | None = None) -> DataFrame:
     """Matches of the chosen patterns (all by default) on each page."""
     chosen = [name for name in SCAN_PATTERNS if patterns is None or name in set(patterns)]
     kinds = F.array(*[
-        F.struct(F.lit(name).alias("kind"), _hits("text", SCAN_PATTERNS[name]).alias("hits")) for name in chosen
+        F.struct(F.lit(name).alias("kind"), _hits("text", name).alias("hits")) for name in chosen
     ])
     return (
         pages.where(F.col("text") != "")

@@ -194,7 +194,7 @@ fc AS (
   FROM f JOIN geo USING (buyer) WHERE feed_amount <= 50000
 )"""
 
-PAGE = "CAST(floor(l_orderkey / 250.0) AS BIGINT)"
+PAGE = "(CAST(floor(l_orderkey / 250.0) AS BIGINT) + (l_linenumber // 8) * 1000000000)"
 PAGES = f"""WITH p AS (
   SELECT DISTINCT {PAGE} AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {PAGE} % 7 <> 3
 ), chain AS (

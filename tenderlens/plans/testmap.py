@@ -194,7 +194,7 @@ def _tag(name: str, value: Column) -> Column:
 def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed pages written from the contracts, with the variety of real entries.
 
-    A page holds the lines of a fixed number of orders, so no page grows with the data.
+    A page holds a few lines of a fixed number of orders, so no page grows with the data.
     """
     key = F.col("l_orderkey")
     buyer, amount = _xml(F.col("buyer")), F.format_number(feed_amount(), 2)
@@ -230,7 +230,8 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _tag("cbc:AwardDate", written),
         F.lit("</entry>"),
     )
-    page = F.floor(key / FEED_ORDERS_PER_PAGE).cast("bigint")
+    # An order with very many lines goes over several pages, numbered apart from the others.
+    page = F.floor(key / FEED_ORDERS_PER_PAGE).cast("bigint") + F.floor(F.col("l_linenumber") / 8).cast("bigint") * 10**9
     head = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<feed xmlns="http://www.w3.org/2005/Atom" xmlns:cbc="urn:cbc" '
               'xmlns:cac="urn:cac" xmlns:cac-place-ext="urn:place"><title>Contratos</title><link rel="next" '

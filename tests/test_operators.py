@@ -162,6 +162,7 @@ def test_scan_matches_brute_force(spark):
         (1, 1, "a@b.es x 14.500 € y\nz 12/01/2024, 12345678Z " + "q" * 60 + " 18.000 €"), (1, 2, ""), (2, 1, None), (3, 1, "nada"),
         (4, 1, "1€2€3€4€" * 40), (5, 1, "😀 ñ 12345678-Z 😀\n" * 20 + "ES12 3456 7890 1234 5678 90 tel 612 345 678 +34 612.345.678"),
         (6, 1, "x@y.org" + " " * 44 + "x@y.org" + " " * 46 + "x@y.org"), (7, 1, "ñ12/01/2024 12/01/24é 1/2/34 0,5 euros 7EUR"),
+        (8, 1, "\uffff a@b.es 1/2/34 \uffff 5/6/78"),
     ]
     got = forensic.scan_text(spark.createDataFrame(pages, "doc_id long, page int, text string"))
     want = [hit for page in pages for hit in brute_force(*page)]
