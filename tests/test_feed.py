@@ -87,6 +87,21 @@ def test_the_amount_limit_is_inclusive(spark):
     assert read(spark, entry)[0].amount == 50_000.0
 
 
+def test_attributes_references_and_nesting(spark):
+    entry = """<entry><summary>Órgano Contratante: X; Importe: 7</summary>
+      <cac:ProcurementProject><cac:Sub><cbc:TypeCode>3</cbc:TypeCode></cac:Sub><cbc:TypeCode/><cbc:TypeCode listURI="u"> 1
+      </cbc:TypeCode></cac:ProcurementProject>
+      <cac:WinningParty><cac:PartyName><cbc:Name/><cbc:Name lang="es">A &lt;&#243;&gt; &amp; B</cbc:Name></cac:PartyName></cac:WinningParty>
+      <cac:WinningParty><cbc:Name>Second</cbc:Name></cac:WinningParty><cbc:Nameless>n</cbc:Nameless>
+      <cbc:ItemClassificationCode listURI="u">4500</cbc:ItemClassificationCode>
+      <cac:LocatedContractingParty><cac:Other><cbc:CityName>Lugo</cbc:CityName></cac:Other></cac:LocatedContractingParty>
+      <cac:LocatedContractingParty><cac:Party><cac:AgentParty><cac:Party></cac:Party></cac:AgentParty>
+        <cbc:CityName>vigo</cbc:CityName></cac:Party></cac:LocatedContractingParty>
+      </entry>"""
+    r = read(spark, entry)[0]
+    assert (r.contract_type, r.supplier, r.cpv, r.municipality) == ("Suministros", "A <ó> & B", "4500", "Vigo")
+
+
 def test_empty_pages(spark):
     assert feed.feed_entries(pages(spark, page(), "", "no xml")).count() == 0
 
@@ -109,7 +124,7 @@ def test_page_chain(spark):
 def test_reading_parses_an_entry_once(spark):
     rows = feed.feed_contracts(feed.feed_entries(pages(spark, page(SIMPLE)))).where("amount > 5 AND supplier_key IS NOT NULL")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("//WinningParty//Name") == 1
+    assert plan.count("from_xml(StructField(title") == 1 and plan.count("<WinningParty") == 1
 
 
 @pytest.mark.parametrize("name", ["a.atom", "b.xml"])
