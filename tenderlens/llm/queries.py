@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlens.llm import bpe, simhash
-from tenderlens.llm.common import table
+from tenderlens.llm import bpe, chat, decontaminate, simhash
+from tenderlens.llm.common import table, written
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode_decode(docs, vocabulary("byte_bpe_50k.json")))
@@ -26,9 +30,20 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit(r"\### Assistant: </turn> ok")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").cast("int").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    examples = written(chat.prefix_examples(turns.unionByName(extra)), "chat-examples")
+    return chat.digests(examples)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 #: None of the ten can be expressed in SQL without its method; tests/llm holds each against a brute-force version.
