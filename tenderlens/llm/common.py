@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a task works on at once; longer texts are worked on alone.
 SLICE_BYTES = 8 << 20
+#: Rows that a task works on at once.
+SLICE_ROWS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +42,7 @@ def drop_written(df: DataFrame) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a string or binary column holds about `size` bytes in each piece."""
+    """The batches cut so that a string or binary column holds about `size` bytes in each piece; longer texts stay whole."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -48,10 +50,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYT
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = held = 0
         for i in range(n):
-            if held and held + int(lengths[i]) > size:
+            if i > start and (held + int(lengths[i]) > size or i - start == SLICE_ROWS):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
-            held += int(lengths[i]) + 1
+            held += int(lengths[i])
         yield batch.slice(start, n - start)
 
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlens.llm import bpe, chat, decontaminate, simhash
+from tenderlens.llm import bpe, chat, decontaminate, langid, pii, simhash
 from tenderlens.llm.common import table, written
 
 
+#: A production run takes its key from a secret store; results here must be repeatable.
+PII_KEY = "registered-query"
+
+
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file lies."""
     import public_tokenizers
@@ -26,10 +30,20 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, vocabulary("byte_bpe_50k.json")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs)).select(
+        "doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_private")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit(r"\### Assistant: </turn> ok")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -39,11 +53,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(examples)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
+    "op5_language_id": op5_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_pii": op8_pii,
     "op10_chat_formatting": op10_chat_formatting,
+    "pipeline": pipeline,
 }
 
 #: None of the ten can be expressed in SQL without its method; tests/llm holds each against a brute-force version.
