@@ -26,7 +26,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlens.llm.common import shared_path, slices
+from tenderlens.llm.common import shared_path, slices, written
 
 #: Words in the lexicon and bytes in one of them: what the driver holds is bounded by their product.
 LEXICON_WORDS = 1 << 16
@@ -38,6 +38,7 @@ SLICE = 4 << 20
 
 # White space as Unicode defines it, and the public pattern that splits text before the merges.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_NEVER = 1 << 60
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -65,47 +66,51 @@ class Merger:
             self.token[i] = s.encode()
         self.single = [vocab[c] for c in alphabet]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        #: (left id, right id) as one number -> (rank, id of both joined)
-        self.join = {vocab[a] << 32 | vocab[b]: (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        #: (left id, right id) as one number -> rank; rank -> id of both joined
+        self.bits = len(self.token).bit_length()
+        self.rank = {vocab[a] << self.bits | vocab[b]: r for r, (a, b) in enumerate(pairs)}
+        self.joined = [vocab[a + b] for a, b in pairs]
+        first = self.single
+        self.byte_rank = [[self.rank.get(a << self.bits | b, _NEVER) for b in first] for a in first]
         self.split = regex.compile(PATTERN).findall
         self.uneven = regex.compile(r" \s|\s ").search
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
-        ids, join = [self.single[b] for b in word], self.join
+        ids = [self.single[b] for b in word]
         if len(ids) > 48:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                m = join.get(ids[i] << 32 | ids[i + 1])
-                if m is not None and (best is None or m < best):
-                    best, at = m, i
-            if best is None:
-                break
-            ids[at:at + 2] = [best[1]]
+        get, bits, joined, table = self.rank.get, self.bits, self.joined, self.byte_rank
+        ranks = [table[a][b] for a, b in zip(word, word[1:])]
+        while ranks and (r := min(ranks)) != _NEVER:
+            i = ranks.index(r)
+            ids[i] = joined[r]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << bits | ids[i], _NEVER)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << bits | ids[i + 1], _NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over neighbours: n log n for a word of any length."""
-        n, join = len(ids), self.join
+        n, get, bits = len(ids), self.rank.get, self.bits
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*m, i) for i in range(n - 1) if (m := join.get(ids[i] << 32 | ids[i + 1]))]
-        heap = [(r, i, new) for r, new, i in heap]
+        heap = [(r, i) for i in range(n - 1) if (r := get(ids[i] << bits | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            r, i, new = heapq.heappop(heap)
+            r, i = heapq.heappop(heap)
             j = after[i] if ids[i] >= 0 else n
-            if j >= n or join.get(ids[i] << 32 | ids[j]) != (r, new):
+            if j >= n or get(ids[i] << bits | ids[j]) != r:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.joined[r], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := join.get(new << 32 | ids[k]):
-                    heapq.heappush(heap, (m[0], i, m[1]))
-            if (h := before[i]) >= 0 and (m := join.get(ids[h] << 32 | new)):
-                heapq.heappush(heap, (m[0], h, m[1]))
+                if (r := get(ids[i] << bits | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := get(ids[h] << bits | ids[i])) is not None:
+                heapq.heappush(heap, (r, h))
         return [i for i in ids if i >= 0]
 
     def words(self, text: str) -> list[str]:
@@ -115,8 +120,15 @@ class Merger:
         first, *rest = text.split(" ")
         return [first, *(" " + w for w in rest)]
 
-    def word_ids(self, word: str) -> list[int]:
-        return [i for piece in self.split(word) for i in self.merge(piece.encode())]
+    def word_ids(self, word: str, memory: dict[str, list[int]] | None = None) -> list[int]:
+        """Ids of a word; pieces that words have in common are merged once as long as memory holds them."""
+        memory = {} if memory is None else memory
+        out = []
+        for piece in self.split(word):
+            if piece not in memory:
+                memory[piece] = self.merge(piece.encode())
+            out += memory[piece]
+        return out
 
 
 def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
@@ -225,12 +237,14 @@ class Encoder:
     """Ids of texts from the lexicon, what was merged before, and merges."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon):
-        self.merger, self.lexicon, self.memory = merger, lexicon, {}
+        self.merger, self.lexicon, self.memory, self.pieces = merger, lexicon, {}, {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         m, memory = self.merger, self.memory
         if len(memory) > REMEMBERED:
             memory.clear()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
         split = []
         for text in texts:
             text = text or ""
@@ -246,24 +260,36 @@ class Encoder:
             elif w in m.special:
                 memory[w] = np.array([m.special[w]], np.uint32).tobytes()
             else:
-                memory[w] = np.array(m.word_ids(w), np.uint32).tobytes()
+                memory[w] = np.array(m.word_ids(w, self.pieces), np.uint32).tobytes()
         return [np.frombuffer(b"".join(map(memory.__getitem__, words)), np.uint32) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.merger.token.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
-    """(word, n): the words that occur most in all texts, counted over the whole corpus."""
+def frequent_words(docs: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS) -> list[str]:
+    """The words that occur most in all texts, counted over the whole corpus: at most `words`, rarely much fewer.
+
+    Counts are folded in every task before their shuffle. A histogram of their logarithms, at most some thousand rows,
+    gives the count from which on the words fit, so no task sorts them all.
+    """
     pieces = docs.select(F.explode(F.split(F.col(text_col).cast("string"), " ")).alias("w"))
-    kept = pieces.where(F.octet_length("w").between(1, WORD_BYTES - 1))
-    return kept.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(words)
+    counted = pieces.where(F.octet_length("w").between(1, WORD_BYTES - 1)).groupBy("w").agg(F.count("*").alias("n"))
+    level = F.floor(F.log2("n") * 16).cast("int").alias("level")
+    held = written(counted.where("n > 1").select("w", level), "word-counts")
+    left, least = words, None
+    for r in sorted(held.groupBy("level").count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.level
+    return [] if least is None else [r.w for r in held.where(F.col("level") >= least).select("w").collect()]
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, text_col: str = "text", words: int = LEXICON_WORDS) -> str:
     """Compile the corpus' frequent words; the name under which tasks find the file."""
     merger = Merger(vocabulary)
-    chosen = {" " + r.w for r in frequent_words(docs, text_col, words).select("w").toLocalIterator()}
+    chosen = {" " + w for w in frequent_words(docs, text_col, words)}
     chosen = {w for w in chosen if not any(s in w for s in merger.special)}
     data = compile_lexicon((w.encode(), merger.word_ids(w)) for w in chosen)
     return share_file(docs.sparkSession, data, "lexicon")
