@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlens.llm import bpe, chat, decontaminate, langid, pii, simhash
+from tenderlens.llm import bpe, chat, ctph, decontaminate, langid, pii, simhash
 from tenderlens.llm.common import table, written
 
 
@@ -44,6 +44,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_private")
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.edited_study(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit(r"\### Assistant: </turn> ok")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_pii": op8_pii,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_chat_formatting": op10_chat_formatting,
     "pipeline": pipeline,
 }
