@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlens.llm import bpe, chat, ctph, decontaminate, langid, pii, simhash
+from tenderlens.llm import ans, bpe, chat, ctph, decontaminate, langid, pii, simhash
 from tenderlens.llm.common import table, written
 
 
@@ -30,6 +30,11 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, vocabulary("byte_bpe_50k.json")))
 
 
+def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = ans.store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return ans.checksummed(ans.read(spark, place))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.learn(docs)).select(
@@ -66,6 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
+    "op4_token_id_output": op4_token_id_output,
     "op5_language_id": op5_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_pii": op8_pii,
