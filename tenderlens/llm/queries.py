@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlens.llm import ans, bpe, chat, ctph, decontaminate, langid, pii, simhash
+from tenderlens.llm import ans, bpe, chat, ctph, decontaminate, html_extract, langid, pii, simhash
 from tenderlens.llm.common import table, written
 
 
@@ -41,6 +41,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op4_token_id_output": op4_token_id_output,
     "op5_language_id": op5_language_id,
+    "op6_html_extraction": op6_html_extraction,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_pii": op8_pii,
     "op9_document_fingerprints": op9_document_fingerprints,
