@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlens.llm import ans, bpe, chat, ctph, decontaminate, html_extract, langid, pii, simhash
+from tenderlens.llm import ans, bpe, chat, ctph, decontaminate, html_extract, langid, pii, simhash, token_counts
 from tenderlens.llm.common import table, written
 
 
@@ -30,6 +30,10 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, vocabulary("byte_bpe_50k.json")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = ans.store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return ans.checksummed(ans.read(spark, place))
@@ -75,6 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
+    "op3_token_counts": op3_token_counts,
     "op4_token_id_output": op4_token_id_output,
     "op5_language_id": op5_language_id,
     "op6_html_extraction": op6_html_extraction,
