@@ -91,12 +91,16 @@ def _tagged(k: int):
     return lambda v: F.struct(F.lit(k).cast("tinyint").alias("s"), v.alias("k"))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, n: int | None = None) -> DataFrame:
-    """(a, b) links between distinct fingerprints, complete up to connection: column fp must have no repeats."""
+def links(fps: DataFrame, radius: int = RADIUS, n: int | None = None, crowded_from: int | None = None) -> DataFrame:
+    """(a, b) links between distinct fingerprints, complete up to connection: column fp must have no repeats.
+
+    A bucket of more than `crowded_from` entries is linked through points half way instead of being compared; by default
+    that many points are what each of its entries would cost.
+    """
     n = fps.count() if n is None else n
     plan = segment_plan(n, radius)
     half = (radius + 1) // 2
-    most = sum(math.comb(64, r) for r in range(half + 1))
+    most = sum(math.comb(64, r) for r in range(half + 1)) if crowded_from is None else crowded_from
     segment = lambda low, bits: F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1))
     entries = fps.select("fp", F.explode(F.array(*[
         F.struct(F.lit(k).cast("tinyint").alias("s"), segment(low, bits).alias("k")) for k, (low, bits, _) in enumerate(plan)
@@ -120,26 +124,26 @@ def links(fps: DataFrame, radius: int = RADIUS, n: int | None = None) -> DataFra
     return pairs.union(stars) if radius % 2 == 0 else pairs.union(stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
 
 
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS) -> DataFrame:
+    """doc_id, text_hash, fp, root (the smallest fingerprint reachable over links): a row for each row of docs."""
+    rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    fps = written(rows.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(links(fps, radius)).select(F.col("node").alias("fp"), "root")
+    return rows.join(roots, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                     radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint, component_id (smallest id reachable over links), text_hash: a row for each row of docs."""
-    rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(fps, radius))
-    of = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = of.join(least, "root").select("fp", "component_id")
-    return rows.join(ids, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    """doc_id, fingerprint, component_id (smallest id reachable over links): a row for each row of docs."""
+    rows = written(labelled(docs, id_col, text_col, width, radius), "labelled")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, of which one stays from each group: the smallest id, then the smallest text hash."""
-    named = near_duplicates(docs, id_col, text_col, width, radius)
     key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
-    # Groups without any id are told apart by their fingerprint's component alone, so they keep one row for each text.
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("h"), F.col("text_hash")))
-    chosen = named.groupBy(group.alias("g")).agg(F.min(key).alias("k")).select(
+    chosen = labelled(docs, id_col, text_col, width, radius).groupBy("root").agg(F.min(key).alias("k")).select(
         F.col("k.i").alias("_i"), F.col("k.h").alias("_h"))
     keyed = docs.withColumns({"_i0": F.col(id_col).cast("bigint"), "_h0": F.xxhash64(F.col(text_col).cast("string"))})
     kept = keyed.join(chosen, keyed._i0.eqNullSafe(chosen._i) & (keyed._h0 == chosen._h), "left_semi")
