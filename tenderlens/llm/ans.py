@@ -24,6 +24,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenderlens.llm.common import shared_path, slices, written
 
-BLOCK, LANES, CHECKPOINT = 1 << 14, 16, 1 << 12
-FRAME = 1 << 18
+BLOCK, LANES, CHECKPOINT = 1 << 14, 32, 1 << 12
+FRAME = 1 << 20
 #: Words a task remembers beside the library's own memory.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 END = 2
 
 _STEPS, _MARK = BLOCK // LANES, CHECKPOINT // LANES
-_LOW, _WORD = 31, np.uint64(32)
+_LOW, _WORD, _WORD_MASK = 31, np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 class WordEncoder:
@@ -65,21 +66,23 @@ class WordEncoder:
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        if len(self.known) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.known.clear()
-            self.parts.clear()
+        known, parts = self.known, self.parts
+        for memory in (known, parts):
+            if len(memory) > REMEMBERED:  # the words met first are mostly the frequent ones
+                for word in list(islice(reversed(memory), len(memory) - REMEMBERED // 3)):
+                    del memory[word]
         whole = {i: t for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
         split = [(t or b"").split() if i not in whole else [] for i, t in enumerate(texts)]
         halves = {}
-        for word in {w for words in split for w in words if w not in self.known}:
+        for word in set().union(*split) - known.keys():
             low = word.lower() if word.isascii() else word
             m = self.cut(low)
             halves[word] = m.groups() if m else (low,)
-        new = list({p for parts in halves.values() for p in parts if p not in self.parts})
-        self.parts.update(zip(new, self._library(new)))
-        for word, parts in halves.items():
-            self.known[word] = b"".join(map(self.parts.__getitem__, parts))
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        new = list({p for both in halves.values() for p in both} - parts.keys())
+        parts.update(zip(new, self._library(new)))
+        for word, both in halves.items():
+            known[word] = b"".join(map(parts.__getitem__, both))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
         for i, ids in zip(whole, self._library(list(whole.values()))):
             out[i] = ids
         return out
@@ -141,9 +144,11 @@ class Table:
         self.freq[self.ids] = f
         self.start[self.ids] = np.cumsum(f) - f
 
-    def slots(self) -> np.ndarray:
+    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each number below 2 ** bits: its id, the id's frequency, and its distance from the id's first number."""
         if not hasattr(self, "_slots"):
-            self._slots = np.repeat(self.ids, self.f).astype(np.uint32)
+            ids = np.repeat(self.ids, self.f)
+            self._slots = ids.astype(np.uint32), self.freq[ids], np.arange(len(ids), dtype=np.uint64) - self.start[ids]
         return self._slots
 
     def __getstate__(self) -> dict:
@@ -154,38 +159,32 @@ class Table:
         self._set(state["f"])
 
 
-def _active(n: int, blocks: int) -> np.ndarray:
-    """Ids in each block."""
-    return np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
-
-
 def pack(ids: np.ndarray, table: Table) -> dict:
-    """Code a frame: stream, begins, states and places at checkpoints, checksums."""
+    """Code a frame: stream, begins, states and places at checkpoints, checksums. The most frequent id fills its last step."""
     n = len(ids)
     blocks = max(1, -(-n // BLOCK))
-    grid = np.zeros(blocks * BLOCK, np.int64)
+    grid = np.full(blocks * BLOCK, table.ids[table.f.argmax()], np.int64)
     grid[:n] = ids
-    grid = grid.reshape(blocks, _STEPS, LANES)
-    held, lane = _active(n, blocks)[:, None], np.arange(LANES)
-    bits = np.uint64(table.bits)
+    grid = np.ascontiguousarray(grid.reshape(blocks, _STEPS, LANES).transpose(1, 0, 2))
+    freq, start = table.freq[grid], table.start[grid]
+    bits, room = np.uint64(table.bits), np.uint64(32 + _LOW - table.bits)
     x = np.full((blocks, LANES), np.uint64(1 << _LOW))
-    words = np.zeros((_STEPS, blocks, LANES), np.uint32)
+    words = np.empty((_STEPS, blocks, LANES), np.uint32)
     out = np.zeros((_STEPS, blocks, LANES), bool)
     states = np.zeros((blocks, BLOCK // CHECKPOINT, LANES), np.uint64)
-    for step in range(min(_STEPS, -(-n // LANES)) - 1, -1, -1):
-        on = step * LANES + lane < held
-        f = np.where(on, table.freq[grid[:, step]], np.uint64(1))
-        full = on & (x >> np.uint64(32 + _LOW - table.bits) >= f)
-        words[step], out[step] = x & np.uint64(0xFFFFFFFF), full
-        x = np.where(full, x >> _WORD, x)
-        q = x // f
-        x = np.where(on, (q << bits) + (x - q * f) + table.start[grid[:, step]], x)
+    for step in range(_STEPS - 1, -1, -1):
+        k = blocks if (blocks - 1) * BLOCK + step * LANES < n else blocks - 1  # the last block begins when its ids do
+        f, y = freq[step, :k], x[:k]
+        full = (y >> room) >= f
+        words[step, :k], out[step, :k] = y & _WORD_MASK, full
+        y = np.where(full, y >> _WORD, y)
+        q = y // f
+        x[:k] = (q << bits) + (y - q * f) + start[step, :k]
         if step % _MARK == 0:
             states[:, step // _MARK] = x
-    # Checkpoints that the last block does not reach keep the state it ends with.
     stream = [words[:, b][out[:, b]] for b in range(blocks)]
     begins = np.cumsum([0, *map(len, stream)])
-    places = np.concatenate([[np.zeros(blocks, np.int64)], out.sum(2).cumsum(0)])[0:_STEPS:_MARK].T
+    places = np.concatenate([np.zeros((1, blocks), np.int64), out.sum(2).cumsum(0)])[0:_STEPS:_MARK].T
     raw = [s.astype("<u4").tobytes() for s in stream]
     return {"stream": b"".join(raw), "begins": begins.astype("<u4").tobytes(), "states": states.astype("<u8").tobytes(),
             "places": places.astype("<u4").tobytes(), "checksums": np.array([zlib.crc32(r) for r in raw], "<u4").tobytes()}
@@ -196,32 +195,31 @@ def unpack(frame: dict, n: int, table: Table, blocks: range | None = None) -> np
     total = max(1, -(-n // BLOCK))
     chosen = np.arange(total)[blocks.start:blocks.stop] if blocks else np.arange(total)
     marks = BLOCK // CHECKPOINT
-    stream = np.frombuffer(frame["stream"], "<u4").astype(np.uint64)
     begins, checks = np.frombuffer(frame["begins"], "<u4").astype(np.int64), np.frombuffer(frame["checksums"], "<u4")
     for b in chosen:
         if zlib.crc32(frame["stream"][4 * begins[b]:4 * begins[b + 1]]) != checks[b]:
             raise ValueError(f"block {b} of a frame is damaged")
+    # Behind the last id a row goes on over zeros; what it finds there is cut off.
+    stream = np.append(np.frombuffer(frame["stream"], "<u4").astype(np.uint64), np.zeros(CHECKPOINT + 1, np.uint64))
     rows = np.repeat(chosen, marks)
     x = np.frombuffer(frame["states"], "<u8").reshape(total, marks, LANES)[chosen].reshape(-1, LANES)
-    at = begins[rows] + np.frombuffer(frame["places"], "<u4").astype(np.int64).reshape(total, marks)[chosen].reshape(-1)
-    first = np.tile(np.arange(marks) * CHECKPOINT, len(chosen))
-    held = (_active(n, total)[rows] - first)[:, None]
-    lane, slots, bits = np.arange(LANES), table.slots(), np.uint64(table.bits)
-    mask, stream = np.uint64((1 << table.bits) - 1), np.append(stream, np.uint64(0))
-    got = np.zeros((len(rows), _MARK, LANES), np.uint32)
-    for step in range(min(_MARK, -(-min(n, CHECKPOINT) // LANES))):
-        on = step * LANES + lane < held
+    at = begins[rows] + np.frombuffer(frame["places"], "<u4").astype(np.int64).reshape(total, marks)[chosen].reshape(-1) - 1
+    (slots, freq, base), bits = table.slots(), np.uint64(table.bits)
+    mask, least = np.uint64((1 << table.bits) - 1), np.uint64(1 << _LOW)
+    got = np.empty((_MARK, len(rows), LANES), np.uint32)
+    for step in range(_MARK):
         slot = x & mask
-        ids = slots[slot]
-        got[:, step] = ids
-        y = table.freq[ids] * (x >> bits) + slot - table.start[ids]
-        low = on & (y < np.uint64(1 << _LOW))
-        take = at[:, None] + np.cumsum(low, 1) - 1
-        y = np.where(low, y << _WORD | stream[np.where(low, take, -1)], y)
-        x = np.where(on, y, x)
-        at = at + low.sum(1)
-    flat = got.reshape(len(chosen), BLOCK)
-    return np.concatenate([flat[i, :k] for i, k in enumerate(_active(n, total)[chosen])])
+        got[step] = slots[slot]
+        x = freq[slot] * (x >> bits) + base[slot]
+        low = x < least
+        take = np.cumsum(low, 1) + at[:, None]
+        x = np.where(low, x << _WORD | stream[np.where(low, take, -1)], x)
+        at = take[:, -1]
+    flat = got.transpose(1, 0, 2).reshape(-1)
+    held = np.minimum(BLOCK, n - BLOCK * chosen)
+    if (held == BLOCK).all():
+        return flat
+    return np.concatenate([flat[i * BLOCK:i * BLOCK + k] for i, k in enumerate(held)])
 
 
 _FRAME = ("part int, frame int, first bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, stream binary, "
