@@ -36,7 +36,7 @@ from tenderlens.llm.common import shared_path, slices, written
 BLOCK, LANES, CHECKPOINT = 1 << 14, 32, 1 << 12
 FRAME = 1 << 20
 #: Words a task remembers beside the library's own memory.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 END = 2
 
 _STEPS, _MARK = BLOCK // LANES, CHECKPOINT // LANES
@@ -62,8 +62,11 @@ class WordEncoder:
         self.cut = re.compile(rb"([a-z]+)([^a-z0-9'\x80-\xff]+)").fullmatch
 
     def _library(self, texts: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        out = []
+        for at in range(0, len(texts), 4096):  # what the library returns is many times the size of a word
+            found = self.library.encode_batch_fast([t.decode() for t in texts[at:at + 4096]], add_special_tokens=False)
+            out += [np.array(e.ids, self.kind).tobytes() for e in found]
+        return out
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         known, parts = self.known, self.parts
