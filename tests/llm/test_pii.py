@@ -1,0 +1,162 @@
+"""Pseudonyms against a plain version of the same Feistel networks, and what they must keep."""
+
+import hashlib
+import re
+from datetime import date, timedelta
+
+import pytest
+
+from tenderlens.llm import pii
+
+KEY = "k"
+FOUND = re.compile(pii.PATTERN)
+
+
+def stream(kind, r, other):
+    return hashlib.sha512("|".join((KEY, kind, str(r), other)).encode()).hexdigest()
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else 2 * d // 10 + 2 * d % 10 for i, d in enumerate(map(int, digits[::-1])))
+
+
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def permute(symbols, kind):
+    a, b = symbols[:len(symbols) // 2], symbols[len(symbols) // 2:]
+
+    def shift(half, k):
+        out = ""
+        for i, c in enumerate(half):
+            by = int(k[4 * (i % 32):4 * (i % 32) + 4], 16)
+            low, size = (48, 10) if c.isdigit() else (ord("a" if c.islower() else "A"), 6 if kind == "secret" else 26)
+            out += chr(low + (ord(c) - low + by) % size)
+        return out
+
+    for r in range(8):
+        k = stream(kind, r, b if r % 2 else a)
+        a, b = (shift(a, k), b) if r % 2 else (a, shift(b, k))
+    return a + b
+
+
+def day_of(m):
+    p = re.split("[-./]", m)
+    for y, mo, d in ([p] if len(p[0]) == 4 else [p[::-1], (p[2], p[0], p[1])]):
+        try:
+            return date(int(y), int(mo), int(d)), (mo, d) == (p[0], p[1]) and len(p[0]) < 4
+        except ValueError:
+            pass
+    return None, False
+
+
+def plain(m):
+    """(kind, pseudonym) of a candidate."""
+    digits = re.sub("[^0-9]", "", m)
+    compact = m.replace(" ", "")
+    refill = lambda form, s: re.sub("[A-Za-z0-9]", lambda _, i=iter(s): next(i), form)
+    both = lambda body, kind: refill(body, permute(re.sub("[^A-Za-z0-9]", "", body), kind))
+    if "@" in m:
+        body, tail = m.rsplit(".", 1)
+        return "email", both(body, "email") + "." + tail
+    if re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9 ]+", m) and 15 <= len(compact) <= 34 and mod97(compact[4:] + compact[:4]) == 1:
+        body = both(m[4:], "iban")
+        return "iban", m[:2] + f"{98 - mod97(body.replace(' ', '') + m[:2] + '00'):02d}" + body
+    if re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", m):
+        bad = re.match("000|666|9", m) or m[4:6] == "00" or m[7:] == "0000"
+        return ("", m) if bad else ("ssn", both(m, "ssn"))
+    if re.fullmatch(r"[0-9]{1,3}([.][0-9]{1,3}){3}", m):
+        o = list(map(int, m.split(".")))
+        if max(o) > 255:
+            return "", m
+        a, b = o[0] * 256 + o[1], o[2] * 256 + o[3]
+        for r in range(8):
+            a, b = b, a ^ int(stream("ip", r, str(b))[:12], 16) & 65535
+        return "ip", f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}", m):
+        day, month_first = day_of(m)
+        if not day:
+            return "", m
+        century, first, p, q = next(c for c in pii._CENTURIES if c[0] == str(day.year // 100))
+        a, b = divmod((day - date.fromisoformat(first)).days, q)
+        for r in range(8):
+            f = int(stream("date" + century, r, str(b if r % 2 else a))[:12], 16)
+            a, b = ((a + f % p) % p, b) if r % 2 else (a, (b + f % q) % q)
+        new = date.fromisoformat(first) + timedelta(a * q + b)
+        if m[4:5] == "-":
+            return "date", new.isoformat()
+        sep = "/" if "/" in m else "."
+        return "date", new.strftime(sep.join(("%m", "%d", "%Y") if month_first else ("%d", "%m", "%Y")))
+    if re.fullmatch("[a-f0-9]+|[A-F0-9]+", m) and len(m) >= 32:
+        return ("secret", both(m, "secret")) if re.search("[A-Fa-f]", m) else ("", m)
+    if re.fullmatch("[0-9][0-9 -]+", m) and len(digits) >= 13:
+        if luhn(digits) % 10:
+            return "", m
+        body = m[0] + both(m[1:-1], "card")
+        return "card", body + str(-luhn(re.sub("[^0-9]", "", body) + "0") % 10)
+    if re.search("[A-Z]", m) or not 7 <= len(digits) <= 15:
+        return "", m
+    head = re.match(r"[+]?(1(?=[ .(-])|(?<=[+])(1|7|[0-9]{2}))[ .-]?", m)
+    head = head[0] if head else ""
+    return "phone", head + both(m[len(head):], "phone")
+
+
+def plain_text(text):
+    n = 0
+
+    def swap(m):
+        nonlocal n
+        kind, new = plain(m[0])
+        n += kind != ""
+        return new
+
+    return FOUND.sub(swap, text), n
+
+
+TEXTS = [
+    "write to jane.doe+x@mail5.example.com or A_B@sub.host.co.uk. a@b", "cards 4111111111111111, 5500-0000-0000-0004 3782 822463 10005 4111111111111112",
+    "4111 1111 1111 1111 4111111111111111 378282246310005", "ibans GB82 WEST 1234 5698 7654 32, DE89370400440532013000, DE88370400440532013000",
+    "call +1 (545) 555-9193 126.57.31.34, 545-555-9193, (545) 555-9193 +34 612 345 678 +49 30 1234567", "ssn 123-45-6789 000-12-3456 666-12-3456 123-00-1234",
+    "ip 10.0.0.1 255.255.255.255 256.1.1.1 1.2.3.4.5 v1.2.3", "on 2021-02-28, 2021-02-30, 1999-12-31, 31/12/1999, 12/31/1999, 1.2.2003, 99.99.2001",
+    'token = "40d78a45c418324758e099eb7cb89bc0f5fa9f62" ' + "A" * 40 + " " + "1" * 40, "plain 12 and 3456789 and no more", "no digits at all", "",
+    "x" * 40_000 + " 4111111111111111 " + "y" * 40_000, "mail jane.doe+x@mail5.example.com again", "7 " * 5000 + "a@b.cd " * 500,
+]
+
+
+def test_by_definition(spark):
+    rows = [(i, t, "x", 9) for i, t in enumerate(TEXTS)] + [(None, TEXTS[0], "x", 9), (0, TEXTS[0], "x", 9), (50, None, "x", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _found2 string, n_private int")
+    out = pii.pseudonymize(docs, KEY)
+    assert out.columns == docs.columns
+    want = [(i, *(plain_text(t) if t is not None else (None, 0))) for i, t, *_ in rows]
+    got = [(r.doc_id, r.text, r.n_private) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert pii.pseudonymize(docs.where("false"), KEY).count() == 0
+
+
+def test_no_python_in_the_plan(spark):
+    plan = pii.pseudonymize(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), KEY)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("kind, size", [("card", 2), ("ssn", 3)])
+def test_networks_are_permutations(kind, size):
+    values = [str(i).zfill(size) for i in range(10 ** size)]
+    assert sorted(permute(v, kind) for v in values) == values
+
+
+def test_dates_are_permutations():
+    for century, first, p, q in pii._CENTURIES:
+        start = date.fromisoformat(first)
+        days = [start + timedelta(i) for i in range(p * q)]
+        assert days[-1] == date(start.year + 99, 12, 31)
+        assert sorted(plain(d.isoformat())[1] for d in days[:4000]) != [d.isoformat() for d in days[:4000]]
+        assert len({plain(d.isoformat())[1] for d in days}) == len(days)
+
+
+def test_kept_valid():
+    for m in ("4111111111111111", "378282246310005"):
+        assert luhn(plain(m)[1]) % 10 == 0 and plain(m)[1] != m
+    new = plain("GB82 WEST 1234 5698 7654 32")[1].replace(" ", "")
+    assert mod97(new[4:] + new[:4]) == 1 and new[:2] == "GB"
