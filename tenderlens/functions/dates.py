@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T\s]|$)"
+YEAR_FIRST = r"^\s*(\d{4})([/.]?)(\d{1,2})\2(\d{1,2})(?:\D|$)"
+COMPACT = r"^\s*\d{8}(?:\D|$)"
 DAY_FIRST = r"^\s*(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})(?:\D|$)"
 AWARD = r"^(\d{1,4})-(\d{1,2})-(\d{1,2})"
 
@@ -14,7 +16,10 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 
 def parse_mixed_dates(c: Column) -> Column:
-    """ISO dates as they are, other notations day first; what cannot be read is null."""
+    """Dates with the year first as they are (1999-12-31, 1999/12/31, 1999.12.31, 19991231), other notations day first.
+
+    What cannot be read is null.
+    """
     def iso(i: int) -> Column:
         return F.regexp_extract(c, ISO, i)
 
@@ -25,7 +30,16 @@ def parse_mixed_dates(c: Column) -> Column:
     short = local(3).try_cast("int")
     year = F.when(F.length(local(3)) == 4, short).when(short >= 69, short + 1900).otherwise(short + 2000)
     day_first = F.coalesce(_date(year, local(2), local(1)), _date(year, local(1), local(2)))
-    return F.when(c.rlike(ISO), _date(iso(1), iso(2), iso(3))).when(c.rlike(DAY_FIRST), day_first)
+    def leading(i: int) -> Column:
+        return F.regexp_extract(c, YEAR_FIRST, i)
+
+    # Without separators only eight digits are a date.
+    year_first = c.rlike(YEAR_FIRST) & ((leading(2) != "") | c.rlike(COMPACT))
+    return (
+        F.when(c.rlike(ISO), _date(iso(1), iso(2), iso(3)))
+        .when(year_first, _date(leading(1), leading(3), leading(4)))
+        .when(c.rlike(DAY_FIRST), day_first)
+    )
 
 
 def normalize_award_date(c: Column, min_year: int = 2010, max_year: int | None = None) -> Column:

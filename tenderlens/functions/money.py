@@ -48,8 +48,11 @@ def format_pct(c: Column) -> Column:
 
 
 def exact_sum(c: Column) -> Column:
-    """Sum to the cent, the same in any order of rows, so that thresholds never flip between runs."""
-    return F.sum(c.cast("decimal(18,2)"))
+    """Sum to the cent, the same in any order of rows, so that thresholds never flip between runs.
+
+    What is no amount of money, NaN, infinity and numbers of 10**16 and more, is left out of the sum.
+    """
+    return F.sum(c.try_cast("decimal(18,2)"))
 
 
 def amount_flag(kind: Column, value: Column) -> Column:

@@ -10,8 +10,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tenderlens.refdata import GALICIA_CODES
-
 
 def _number(name: str) -> Column:
     return F.trim(name).try_cast("double")
@@ -25,15 +23,18 @@ def budget_ranking(
     lines: DataFrame,
     entities: DataFrame,
     chapter: int = 2,
-    provinces: Iterable[str] | None = GALICIA_CODES,
+    provinces: Iterable[str] | None = None,
     top: int | None = None,
     by_id: bool = False,
 ) -> DataFrame:
-    """Spending per entity in a chapter. Entities with one name merge, unless ``by_id``."""
+    """Spending per entity in a chapter, of some provinces or all. Entities with one name merge, unless ``by_id``.
+
+    Amounts that are no number, or have more than twenty digits before the point, count as lines and not in the total.
+    """
     spending = (
         lines.where((F.col("tipreig") == "G") & _in_chapter(chapter))
         .groupBy("idente")
-        .agg(F.sum(_number("importer").cast("decimal(24,4)")).alias("part"), F.count("*").alias("n"))
+        .agg(F.sum(_number("importer").try_cast("decimal(24,4)")).alias("part"), F.count("*").alias("n"))
     )
     chosen = entities
     if provinces:
@@ -52,7 +53,7 @@ def budget_ranking(
 def budget_ranking_total(ranking: DataFrame, top: int = 100) -> DataFrame:
     """Number of entities in the ranking, and the total of those shown."""
     shown = ranking.orderBy(F.desc_nulls_last("total"), "entity").limit(top)
-    total = shown.agg(F.coalesce(F.sum(F.col("total").cast("decimal(28,4)")).cast("double"), F.lit(0.0)))
+    total = shown.agg(F.coalesce(F.sum(F.col("total").try_cast("decimal(28,4)")).cast("double"), F.lit(0.0)))
     return ranking.agg(F.count("*").alias("n_entities")).withColumn("shown_total", total.scalar())
 
 

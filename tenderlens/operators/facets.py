@@ -17,13 +17,14 @@ def _selected(column: str, values: Iterable | None) -> Column:
 
 
 def facet_values(
-    contracts: DataFrame, column: str, where: Mapping[str, Iterable] | None = None, limit: int = 5_000
+    contracts: DataFrame, column: str, where: Mapping[str, Iterable] | None = None, limit: int | None = None
 ) -> DataFrame:
     """Sorted distinct values of a column under the given selections: the entries of a drop-down list."""
     rows = contracts.where(F.col(column).isNotNull())
     for name, values in (where or {}).items():
         rows = rows.where(_selected(name, values))
-    return rows.select(F.col(column).alias("value")).distinct().orderBy("value").limit(limit)
+    values = rows.select(F.col(column).alias("value")).distinct().orderBy("value")
+    return values if limit is None else values.limit(limit)
 
 
 def facet_cascade(
@@ -52,13 +53,18 @@ def facet_cascade(
 
 def dataset_metadata(contracts: DataFrame) -> DataFrame:
     """Size, variety, total and date range of the contracts, in one row."""
-    return contracts.agg(
-        F.count("*").alias("n_contracts"),
+    # Folded by the counted columns first, so the distinct counts multiply few rows.
+    folded = contracts.groupBy("buyer", "supplier", "region").agg(
+        F.count("*").alias("n"), exact_sum(F.col("amount")).alias("amount"),
+        F.min("award_date").alias("first_date"), F.max("award_date").alias("last_date"),
+    )
+    return folded.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_contracts"),
         F.count_distinct("buyer").alias("n_buyers"),
         F.count_distinct("supplier").alias("n_suppliers"),
-        F.coalesce(exact_sum(F.col("amount")).cast("double"), F.lit(0.0)).alias("total_amount"),
-        F.min("award_date").alias("first_date"),
-        F.max("award_date").alias("last_date"),
+        F.coalesce(F.sum("amount").cast("double"), F.lit(0.0)).alias("total_amount"),
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
         F.count_distinct("region").alias("n_regions"),
     )
 

@@ -2,14 +2,15 @@
 
 A group is (supplier, buyer, contract type, fiscal year). One group may hold a large share of all rows, so
 rows are first folded by group and amount; repeats, near-limit amounts and totals then come from the folded
-rows, and no task ever holds a group's contracts.
+rows, again by sums, counts and flags that fold before their shuffle. The amounts themselves are a table of
+their own, ``radar_amounts``; as text they are put together for the groups that are shown, and for no others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tenderlens.functions import exact_sum, format_euros, format_pct, legal_limit, let, parse_mixed_dates
+from tenderlens.functions import exact_sum, format_euros, format_pct, legal_limit, parse_mixed_dates
 from tenderlens.refdata import (
     ALERT_SERVICES,
     ALERT_SHARE,
@@ -22,19 +23,15 @@ from tenderlens.refdata import (
 )
 from tenderlens.schema import GROUP_KEYS
 
-# Longer groups list each amount once, with its number of contracts: nothing is lost, and the text is bounded
-# by the number of distinct cent amounts.
-INLINE_AMOUNTS = 10_000
-
 COLUMNS = (
-    *GROUP_KEYS, "total", "n_contracts", "first_date", "last_date", "individual_amounts", "is_alert", "limit_amount",
-    "pct_limit", "risk_level", "days_between", "signals", "risk_index", "priority", "pct_text", "total_text",
+    *GROUP_KEYS, "total", "n_contracts", "first_date", "last_date", "is_alert", "limit_amount", "pct_limit",
+    "risk_level", "days_between", "signals", "risk_index", "priority", "pct_text", "total_text",
     "limit_text",
 )
 
 
-def radar_groups(contracts: DataFrame, inline_amounts: int = INLINE_AMOUNTS) -> DataFrame:
-    """Totals, dates and amount list per group."""
+def folded_amounts(contracts: DataFrame) -> DataFrame:
+    """One row per group and amount: how often, their exact total, first and last date."""
     date = F.col("award_date") if "award_date" in contracts.columns else F.lit(None).cast("date")
     if dict(contracts.dtypes).get("award_date") == "string":
         date = parse_mixed_dates(date)
@@ -42,37 +39,60 @@ def radar_groups(contracts: DataFrame, inline_amounts: int = INLINE_AMOUNTS) ->
         F.col("supplier_key").alias("supplier"), "buyer", "contract_type", "fiscal_year",
         F.col("amount").cast("double").alias("amount"), date.alias("award_date"),
     ).dropna(subset=[*GROUP_KEYS, "amount"])
-
-    folded = rows.groupBy(*GROUP_KEYS, "amount").agg(
+    return rows.groupBy(*GROUP_KEYS, "amount").agg(
         F.count("*").alias("n"),
         exact_sum(F.col("amount")).alias("total"),
         F.min("award_date").alias("first_date"),
         F.max("award_date").alias("last_date"),
     )
+
+
+def radar_amounts(contracts: DataFrame) -> DataFrame:
+    """The amounts of every group with their number of contracts, as a table."""
+    return folded_amounts(contracts).select(*GROUP_KEYS, "amount", "n")
+
+
+def refold(increments: DataFrame) -> DataFrame:
+    """Rows of several ``folded_amounts`` as one."""
+    return increments.groupBy(*GROUP_KEYS, "amount").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
+    )
+
+
+def groups_of(folded: DataFrame) -> DataFrame:
+    """Totals, dates and flags per group, from ``folded_amounts``."""
     near = F.when(F.col("contract_type") == WORKS, F.col("amount").between(39_000, 40_000)).otherwise(
         F.col("amount").between(14_000, 15_000)
     )
-    groups = folded.groupBy(*GROUP_KEYS).agg(
+    return folded.groupBy(*GROUP_KEYS).agg(
         F.sum("total").cast("double").alias("total"),
         F.sum("n").alias("n_contracts"),
         F.min("first_date").alias("first_date"),
         F.max("last_date").alias("last_date"),
         F.bool_or(near).alias("has_near_limit"),
         (F.max("n") > 1).alias("has_repeats"),
-        F.sort_array(F.collect_list(F.struct("amount", "n")), asc=False).alias("amounts"),
     )
-    return groups.withColumn("individual_amounts", _amounts_text(inline_amounts)).drop("amounts")
 
 
-def _amounts_text(inline_amounts: int) -> Column:
-    each = F.flatten(F.transform(
-        "amounts", lambda a: F.array_repeat(format_euros(a["amount"]), a["n"].cast("int"))
-    ))
-    counted = F.transform(
-        "amounts",
-        lambda a: F.concat(format_euros(a["amount"]), F.when(a["n"] > 1, F.concat(F.lit(" ×"), a["n"])).otherwise("")),
+def radar_groups(contracts: DataFrame) -> DataFrame:
+    """Totals, dates and flags per group."""
+    return groups_of(folded_amounts(contracts))
+
+
+def with_amount_text(shown: DataFrame, amounts: DataFrame) -> DataFrame:
+    """The groups that are shown with all their amounts as text, largest first, from ``radar_amounts``.
+
+    Only their amounts are gathered; the text of a group is as long as its contracts are many.
+    """
+    keys = shown.select(*GROUP_KEYS).hint("rebalance")
+    each = F.flatten(F.transform("a", lambda a: F.array_repeat(format_euros(a["amount"]), a["n"].cast("int"))))
+    texts = (
+        amounts.join(keys, list(GROUP_KEYS), "left_semi").groupBy(*GROUP_KEYS)
+        .agg(F.sort_array(F.collect_list(F.struct("amount", "n")), asc=False).alias("a"))
+        .select(*GROUP_KEYS, F.array_join(each, " | ").alias("individual_amounts"))
     )
-    return F.array_join(F.when(F.col("n_contracts") <= inline_amounts, each).otherwise(counted), " | ")
+    return shown.join(texts, list(GROUP_KEYS), "left")
 
 
 def with_alerts(groups: DataFrame, min_contracts: int = 2, strict_works: bool = False) -> DataFrame:
@@ -132,13 +152,18 @@ def radar(
     min_contracts: int = 2,
     strict_works: bool = False,
     ordered: bool = True,
-    inline_amounts: int = INLINE_AMOUNTS,
 ) -> DataFrame:
     """Scored groups. ``ordered=False`` leaves the final sort out when another operator reads the result."""
+    scored = score(radar_groups(contracts), min_contracts, strict_works)
+    return scored.orderBy(*by_risk()) if ordered else scored
+
+
+def score(groups: DataFrame, min_contracts: int = 2, strict_works: bool = False) -> DataFrame:
+    """Alerts, signals, index and texts of groups."""
     days = F.datediff("last_date", "first_date")
     index = F.col("risk_index")
-    scored = (
-        with_alerts(radar_groups(contracts, inline_amounts), min_contracts, strict_works)
+    return (
+        with_alerts(groups, min_contracts, strict_works)
         .withColumn("days_between", days)
         .withColumn("is_burst", F.coalesce((F.col("n_contracts") >= 2) & (F.col("days_between") <= 45), F.lit(False)))
         .withColumns({"signals": _signals(), "risk_index": _index()})
@@ -151,7 +176,6 @@ def radar(
         })
         .select(*COLUMNS)
     )
-    return scored.orderBy(*by_risk()) if ordered else scored
 
 
 def by_risk() -> list[Column]:
@@ -169,17 +193,21 @@ def radar_summary(radar_table: DataFrame) -> DataFrame:
     )
 
 
-def priority_case(radar_table: DataFrame) -> DataFrame:
-    """The alert with the highest index and total."""
-    return radar_table.where("is_alert").orderBy(*by_risk()).limit(1)
+def _shown(rows: DataFrame, amounts: DataFrame | None) -> DataFrame:
+    return rows if amounts is None else with_amount_text(rows, amounts).orderBy(*by_risk())
+
+
+def priority_case(radar_table: DataFrame, amounts: DataFrame | None = None) -> DataFrame:
+    """The alert with the highest index and total; ``amounts`` adds its amounts as text."""
+    return _shown(radar_table.where("is_alert").orderBy(*by_risk()).limit(1), amounts)
 
 
-def priority_alerts(radar_table: DataFrame, top: int = 18) -> DataFrame:
-    """Top groups by risk; groups without alert only if there is no alert at all."""
+def priority_alerts(radar_table: DataFrame, top: int = 18, amounts: DataFrame | None = None) -> DataFrame:
+    """Top groups by risk; groups without alert only if there is no alert at all. ``amounts`` adds amounts as text."""
     head = radar_table.orderBy(F.desc("is_alert"), *by_risk()).limit(top)
     # At most ``top`` rows are left, so one task can compare them.
     any_alert = F.bool_or("is_alert").over(Window.partitionBy())
-    return head.withColumn("any_alert", any_alert).where("is_alert OR NOT any_alert").drop("any_alert")
+    return _shown(head.withColumn("any_alert", any_alert).where("is_alert OR NOT any_alert").drop("any_alert"), amounts)
 
 
 REPORT_COLUMNS = (
@@ -191,9 +219,10 @@ SHORT_REPORT_COLUMNS = (
 )
 
 
-def report_alert_table(radar_table: DataFrame) -> DataFrame:
+def report_alert_table(radar_table: DataFrame, amounts: DataFrame) -> DataFrame:
     """All alerts with the columns of the full report, in order of risk."""
-    return radar_table.where("is_alert").orderBy(*by_risk()).select(*REPORT_COLUMNS)
+    alerts = radar_table.where("is_alert")
+    return with_amount_text(alerts, amounts).orderBy(*by_risk()).select(*REPORT_COLUMNS)
 
 
 def report_alert_table_short(radar_table: DataFrame, top: int = 40) -> DataFrame:
@@ -209,9 +238,11 @@ def report_summary(contracts: DataFrame, radar_table: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("is_alert"), F.col("total").cast("decimal(28,2)"))).cast("double"), F.lit(0.0))
         .alias("alert_amount"),
     ).alias("g"))
-    totals = contracts.agg(
-        F.count("*").alias("n_contracts"),
-        F.coalesce(exact_sum(F.col("amount")).cast("double"), F.lit(0.0)).alias("total_amount"),
+    # Folded by the counted columns first, so the distinct counts multiply pairs and not contracts.
+    pairs = contracts.groupBy("buyer", "supplier").agg(F.count("*").alias("n"), exact_sum(F.col("amount")).alias("amount"))
+    totals = pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_contracts"),
+        F.coalesce(F.sum("amount").cast("double"), F.lit(0.0)).alias("total_amount"),
         F.count_distinct("buyer").alias("n_buyers"),
         F.count_distinct("supplier").alias("n_suppliers"),
     )
@@ -247,9 +278,10 @@ def case_detail(contracts: DataFrame, cases: DataFrame) -> DataFrame:
     """Contracts behind the given radar groups, by date.
 
     The cases only decide which contracts stay, so a hot group makes the contract side large and never the
-    other: adaptive execution splits it.
+    other. Rebalancing the cases makes both sides plain shuffles; adaptive execution then splits a hot group,
+    which it would not next to the partitions of an aggregate.
     """
-    keys = cases.select(F.col("supplier").alias("supplier_key"), "buyer", "contract_type", "fiscal_year")
+    keys = cases.select(F.col("supplier").alias("supplier_key"), "buyer", "contract_type", "fiscal_year").hint("rebalance")
     columns = ["award_date", "buyer", "fiscal_year", "contract_type", "subject", "supplier", "amount"]
     return (
         contracts.join(keys, ["supplier_key", "buyer", "contract_type", "fiscal_year"], "left_semi")

@@ -19,12 +19,14 @@ def _total(name: str = "amount") -> Column:
 
 
 def _ranked(contracts: DataFrame, keys: list[str], top: int | None) -> DataFrame:
+    if top is not None and top < 1:
+        raise ValueError("top is a positive number, or None for all where that is offered")
     out = (
         contracts.dropna(subset=[*keys, "amount"]).groupBy(*keys)
         .agg(_total().alias("total"), F.count("*").alias("n_contracts"))
         .orderBy(F.desc("total"), *keys)
     )
-    return out.limit(top) if top else out
+    return out if top is None else out.limit(top)
 
 
 def known_suppliers(contracts: DataFrame, trim: bool = True) -> DataFrame:
@@ -130,6 +132,9 @@ def amount_histogram(contracts: DataFrame) -> DataFrame:
 
 
 def _top_supplier_totals(contracts: DataFrame, top: int) -> DataFrame:
+    """Totals that are broadcast or windowed over, so ``top`` bounds them."""
+    if top is None:
+        raise ValueError("top bounds what is broadcast; it cannot be None here")
     return _ranked(contracts, ["supplier"], top)
 
 
@@ -141,12 +146,19 @@ def top_supplier_contracts(contracts: DataFrame, top: int = 18) -> DataFrame:
 
 def supplier_timeline(contracts: DataFrame, top: int = 18) -> DataFrame:
     """Dated contracts of the top suppliers with the marker size of a timeline."""
+    if top is None or top < 1:
+        raise ValueError("top bounds what is broadcast; it is a positive number")
     rows = contracts.dropna(subset=["award_date", "amount", "supplier"])
-    shown = top_supplier_contracts(rows, top)
-    largest = shown.agg(F.coalesce(F.nullif(F.max("amount"), F.lit(0.0)), F.lit(1.0)))
-    size = 8 + 20 * F.sqrt(F.greatest(F.col("amount"), F.lit(0.0)) / F.col("largest"))
+    # One fold gives the ranking and each supplier's largest amount; the window over ``top`` rows gives the overall one.
+    names = (
+        rows.groupBy("supplier").agg(_total().alias("total"), F.max("amount").alias("most"))
+        .orderBy(F.desc("total"), "supplier").limit(top)
+        .select("supplier", F.max("most").over(Window.partitionBy()).alias("most"))
+    )
+    largest = F.coalesce(F.nullif("most", F.lit(0.0)), F.lit(1.0))
+    size = 8 + 20 * F.sqrt(F.greatest(F.col("amount"), F.lit(0.0)) / largest)
     return (
-        shown.withColumn("largest", largest.scalar())
+        rows.join(F.broadcast(names), "supplier")
         .select("award_date", "supplier", "buyer", "contract_type", "subject", "fiscal_year", "amount",
                 size.alias("marker_size"))
     )

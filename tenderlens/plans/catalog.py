@@ -73,26 +73,39 @@ def feed_contracts(spark: SparkSession, sf: str) -> DataFrame:
 def contracts_parquet_sink(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark, "contracts")
     tables.write_contracts(contracts(spark, sf), path)
-    return spark.read.parquet(path).groupBy(F.col("fiscal_year").cast("int").alias("fiscal_year")).agg(
-        F.count("*").alias("n_contracts"), fn.exact_sum(F.col("amount")).cast("double").alias("total")
-    )
+    return tables.load_contracts(spark, path)
 
 
-def _feed_folder(spark: SparkSession, sf: str) -> str:
+def _feed_folder(spark: SparkSession, sf: str, pages: DataFrame | None = None) -> str:
     """The feed as files, one page each."""
     folder = scratch_dir(spark, "feed")
-    testmap.feed_pages(spark, sf).select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    (testmap.feed_pages(spark, sf) if pages is None else pages).select("value").write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
 @query
 def contracts_load(spark: SparkSession, sf: str) -> DataFrame:
     folder, cache = _feed_folder(spark, sf), scratch_dir(spark, "cache")
-    tables.ingest_or_reuse(spark, folder, cache, max_year=MAX_YEAR, pattern="*.txt")
-    again = tables.ingest_or_reuse(spark, folder, cache, max_year=MAX_YEAR, pattern="*.txt")
-    return again.groupBy("fiscal_year", "region").agg(
-        F.count("*").alias("n_contracts"), fn.exact_sum(F.col("amount")).cast("double").alias("total")
-    )
+    def load(year: int) -> DataFrame:
+        tables.ingest_or_reuse(spark, folder, cache, max_year=year, pattern="*.txt")
+        again = tables.ingest_or_reuse(spark, folder, cache, max_year=year, pattern="*.txt")
+        return again.groupBy(F.lit(year).alias("max_year"), "fiscal_year", "region").agg(
+            F.count("*").alias("n_contracts"), fn.exact_sum(F.col("amount")).cast("double").alias("total")
+        )
+
+    # Two questions to one cache.
+    return load(2024).unionByName(load(MAX_YEAR))
+
+
+@query
+def feed_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    rejects = feed.feed_rejects(feed.feed_entries(testmap.feed_pages(spark, sf)))
+    return rejects.groupBy("source_file", "reason").agg(F.count("*").alias("n"))
+
+
+@query
+def feed_contracts_any_amount(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.feed_contracts(feed.feed_entries(testmap.feed_pages(spark, sf)), max_year=MAX_YEAR, limit=None)
 
 
 @query
@@ -122,6 +135,11 @@ def feed_page_chain(spark: SparkSession, sf: str) -> DataFrame:
     return feed.feed_page_chain(_gappy_feed(spark, sf))
 
 
+@query
+def feed_page_chain_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.feed_page_chain(testmap.feed_pages(spark, sf))
+
+
 @query
 def feed_missing_pages(spark: SparkSession, sf: str) -> DataFrame:
     return feed.missing_pages(_gappy_feed(spark, sf))
@@ -129,17 +147,23 @@ def feed_missing_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def export_tables(spark: SparkSession, sf: str) -> DataFrame:
-    rows, folder = contracts(spark, sf), scratch_dir(spark, "export")
-    audit = tables.export_tables(scored(spark, sf), rows)
+    folder, kept = scratch_dir(spark, "export"), scratch_dir(spark, "radar")
+    # Two of the tables are the radar: it is made once.
+    scored(spark, sf).write.parquet(kept)
+    audit = tables.export_tables(spark.read.parquet(kept), contracts(spark, sf))
     tables.write_csv(audit, folder)
-    counts = [
-        spark.read.option("header", True).option("escape", '"').csv(f"{folder}/{name}")
-        .agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
-        for name in audit
-    ]
-    out = counts[0]
-    for more in counts[1:]:
-        out = out.unionByName(more)
+    keys = {
+        "01_alertas": (*radar.GROUP_KEYS, "risk_index", "priority", "signals", "first_date", "total_text"),
+        "03_top_adjudicatarios": ("supplier",), "04_relaciones_organo_adjudicatario": ("buyer", "supplier"),
+        "05_contratos_filtrados": ("file_url", "buyer", "subject", "award_date", "cpv"),
+    }
+    keys["02_radar_completo"] = keys["01_alertas"]
+    out = None
+    for name in sorted(audit):
+        back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{folder}/{name}")
+        value = F.col("amount" if "amount" in back.columns else "total").cast("double")
+        rows = back.select(F.lit(name).alias("table_name"), F.concat_ws("|", *keys[name]).alias("content"), value.alias("value"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -156,6 +180,14 @@ def query_contracts(spark: SparkSession, sf: str) -> DataFrame:
     return filters.query_contracts(contracts(spark, sf), SELECTION)
 
 
+@query
+def query_contracts_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same filter over the written table: years prune its folders, the rest reaches the scan."""
+    path = scratch_dir(spark, "contracts")
+    tables.write_contracts(contracts(spark, sf), path)
+    return filters.query_contracts(tables.load_contracts(spark, path), SELECTION)
+
+
 @query
 def query_contracts_like(spark: SparkSession, sf: str) -> DataFrame:
     return filters.query_contracts(contracts(spark, sf), LIKE_SELECTION)
@@ -311,8 +343,17 @@ def region_from_province(spark: SparkSession, sf: str) -> DataFrame:
 def contract_territory(spark: SparkSession, sf: str) -> DataFrame:
     city = F.concat(F.upper("municipality"), F.lit(" ("), F.upper("province"), F.lit(")"))
     postcode = F.when(F.col("municipality").isNull(), F.concat("nation_code", F.lit("001")))
-    place = feed.place_struct(city, F.lit(None).cast("string"), postcode)
-    return places(spark, sf).select("buyer", "nation_code", place.alias("p")).select("buyer", "nation_code", "p.*")
+    def tag(name: str, *content: Column) -> Column:
+        return F.concat(F.lit(f"<{name}>"), *[F.coalesce(c, F.lit("")) for c in content], F.lit(f"</{name}>"))
+
+    address = F.concat(tag("CityName", city), tag("PostalZone", postcode))
+    other = F.lit("<CityName>SEVILLA</CityName><CountrySubentity>Sevilla</CountrySubentity>")
+    by_party = tag("LocatedContractingParty", tag("AgentParty", tag("Party", other)), tag("Party", address))
+    by_location = F.concat(tag("LocatedContractingParty", tag("Party", tag("CityName", F.lit(" ")))),
+                           tag("RealizedLocation", tag("Address", address)), tag("RealizedLocation", tag("Address", other)))
+    xml = tag("entry", F.when(F.crc32("buyer") % 2 == 0, by_party).otherwise(by_location))
+    found = places(spark, sf).select("buyer", "nation_code", feed.contract_territory(xml).alias("p"))
+    return found.select("buyer", "nation_code", "p.*")
 
 
 @query
@@ -393,6 +434,11 @@ def radar_groups(spark: SparkSession, sf: str) -> DataFrame:
     return radar.radar_groups(contracts(spark, sf))
 
 
+@query
+def radar_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    return radar.radar_amounts(contracts(spark, sf))
+
+
 @query
 def radar_alerts(spark: SparkSession, sf: str) -> DataFrame:
     alerts = radar.with_alerts(radar.radar_groups(contracts(spark, sf)), min_contracts=3, strict_works=True)
@@ -411,12 +457,12 @@ def radar_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def priority_case(spark: SparkSession, sf: str) -> DataFrame:
-    return radar.priority_case(scored(spark, sf))
+    return radar.priority_case(scored(spark, sf), radar.radar_amounts(contracts(spark, sf)))
 
 
 @query
 def priority_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return radar.priority_alerts(scored(spark, sf))
+    return radar.priority_alerts(scored(spark, sf), amounts=radar.radar_amounts(contracts(spark, sf)))
 
 
 @query
@@ -426,7 +472,7 @@ def report_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def report_alert_table(spark: SparkSession, sf: str) -> DataFrame:
-    return radar.report_alert_table(scored(spark, sf))
+    return radar.report_alert_table(scored(spark, sf), radar.radar_amounts(contracts(spark, sf)))
 
 
 @query
@@ -484,6 +530,11 @@ def territory_all_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def first_territory(spark: SparkSession, sf: str) -> DataFrame:
+    return rankings.first_territory(contracts(spark, sf))
+
+
+@query
+def first_territory_province(spark: SparkSession, sf: str) -> DataFrame:
     return rankings.first_territory(contracts(spark, sf).withColumn("region", F.lit(None).cast("string")))
 
 
@@ -589,7 +640,7 @@ def scan_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def flag_findings(spark: SparkSession, sf: str) -> DataFrame:
-    found = forensic.flag_findings(forensic.scan_text(testmap.text_pages(spark, sf), ["Importes (€)", "Fechas"]))
+    found = forensic.flag_findings(forensic.scan_text(testmap.text_pages(spark, sf)))
     return found.groupBy("kind", "flag").agg(F.count("*").alias("n"))
 
 
@@ -598,8 +649,11 @@ def flag_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_contracts_(spark: SparkSession, sf: str) -> DataFrame:
-    """Feed files read as a stream; the table then equals the batch result."""
-    folder, table = _feed_folder(spark, sf), scratch_dir(spark, "stream-contracts")
+    """Half of the feed written by a batch job, the other half read as a stream into the same table."""
+    pages, table = testmap.feed_pages(spark, sf), scratch_dir(spark, "stream-contracts")
+    second = F.crc32("source_file") % 2 == 1
+    tables.write_contracts(feed.feed_contracts(feed.feed_entries(pages.where(~second)), max_year=MAX_YEAR), table)
+    folder = _feed_folder(spark, sf, pages.where(second))
     stream_contracts(spark, folder, table, scratch_dir(spark, "mark"), MAX_YEAR, pattern="*.txt").awaitTermination()
     return tables.load_contracts(spark, table)
 

@@ -168,8 +168,8 @@ i AS (
   FROM s
 ),
 r AS (
-  SELECT {GROUP}, total, n_contracts, first_date, last_date, individual_amounts, is_alert, limit_amount, pct_limit,
-    risk_level, days_between, signals, risk_index,
+  SELECT {GROUP}, total, n_contracts, first_date, last_date, is_alert, limit_amount, pct_limit, risk_level,
+    days_between, signals, risk_index,
     CASE WHEN risk_index >= 75 THEN 'Alta' WHEN risk_index >= 50 THEN 'Media' WHEN risk_index >= 25 THEN 'Baja'
       ELSE 'Informativa' END AS priority,
     {pct('pct_limit')} AS pct_text, {euros('total')} AS total_text, {euros('limit_amount')} AS limit_text
@@ -211,7 +211,8 @@ BUDGET = """WITH lines AS (
     CAST(floor(CAST(round(l_extendedprice * 100) AS BIGINT) / 2) AS BIGINT) / 100.0::DOUBLE AS importel
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), entities AS (
-  SELECT c_custkey AS idente, 'Entidad ' || (c_custkey % 500) AS entity,
+  SELECT c_custkey AS idente, CASE WHEN c_custkey % 500 % 7 = 0 THEN 'Entidad "' || (c_custkey % 500) || '", zona' || chr(10) || 'dos'
+    ELSE 'Entidad ' || (c_custkey % 500) END AS entity,
     lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') AS code
   FROM customer
 )"""
@@ -316,11 +317,22 @@ def sql() -> dict[str, str]:
 
     # Sources and sinks
     out["feed_entries"] = f"""
-SELECT 'https://feeds.example.org/minor/page-' || {PAGE} || '.atom' AS source_file, count(*) AS n_entries,
-  0 AS first_ord, CAST(count(*) - 1 AS INTEGER) AS last_ord, count(*) AS n_whole
+SELECT 'https://feeds.example.org/minor/page-' || {PAGE} || '.atom' AS source_file, count(*) + 1 AS n_entries,
+  0 AS first_ord, CAST(count(*) AS INTEGER) AS last_ord, count(*) + 1 AS n_whole
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY {PAGE}"""
     on(FEED, feed_contracts="SELECT * FROM fc", stream_contracts="SELECT * FROM fc", contracts_load=f"""
-SELECT fiscal_year, region, count(*) AS n_contracts, {money('amount')} AS total FROM fc GROUP BY 1, 2""")
+SELECT 2024 AS max_year, CASE WHEN fiscal_year <= 2024 THEN fiscal_year END AS fiscal_year, region, count(*) AS n_contracts,
+  {money('amount')} AS total FROM fc GROUP BY 1, 2, 3
+UNION ALL
+SELECT 2030, fiscal_year, region, count(*), {money('amount')} FROM fc GROUP BY 1, 2, 3""")
+    on(FEED.replace(" WHERE feed_amount <= 50000", ""), feed_contracts_any_amount="SELECT * FROM fc")
+    on(BASE, feed_rejects=f"""
+SELECT 'https://feeds.example.org/minor/page-' || {PAGE} || '.atom' AS source_file, reason, count(*) AS n
+FROM (SELECT *, CASE WHEN l_orderkey % 101 = 0 THEN 'no buyer'
+    WHEN CASE WHEN l_linenumber = 7 THEN l_extendedprice ELSE amount END > 50000 THEN 'over limit' END AS reason FROM k)
+WHERE reason IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT DISTINCT 'https://feeds.example.org/minor/page-' || {PAGE} || '.atom', 'malformed', 1 FROM k""")
+    on(PAGES.replace(f" WHERE {PAGE} % 7 <> 3", ""), feed_page_chain_whole="SELECT * FROM chain")
     on(PAGES, feed_page_chain="SELECT * FROM chain",
        feed_missing_pages="SELECT page, next_url, next_page FROM chain WHERE NOT next_is_present")
     out["manifest_source"] = """
@@ -332,11 +344,14 @@ FROM pages WINDOW w AS (PARTITION BY page_id // 100 ORDER BY page_id)"""
 SELECT entity, CAST(sum(CAST(importer AS DECIMAL(24,4))) AS DOUBLE) AS total, count(*) AS n_lines
 FROM lines JOIN entities USING (idente) WHERE tipreig = 'G' AND cdcta LIKE '2%' GROUP BY entity"""
     on(groups(), export_tables="""
-SELECT '01_alertas' AS table_name, count(*) FILTER (is_alert) AS n_rows FROM r
-UNION ALL SELECT '02_radar_completo', count(*) FROM r
-UNION ALL SELECT '03_top_adjudicatarios', count(DISTINCT supplier) FROM c
-UNION ALL SELECT '04_relaciones_organo_adjudicatario', count(*) FROM (SELECT DISTINCT buyer, supplier FROM c)
-UNION ALL SELECT '05_contratos_filtrados', count(*) FROM c""")
+SELECT '01_alertas' AS table_name, concat_ws('|', supplier, buyer, contract_type, fiscal_year, risk_index, priority, signals, first_date,
+  total_text) AS content, total AS value FROM r WHERE is_alert
+UNION ALL SELECT '02_radar_completo', concat_ws('|', supplier, buyer, contract_type, fiscal_year, risk_index, priority, signals, first_date,
+  total_text), total FROM r
+UNION ALL SELECT '03_top_adjudicatarios', supplier, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) FROM c GROUP BY supplier
+UNION ALL SELECT '04_relaciones_organo_adjudicatario', concat_ws('|', buyer, supplier), CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)
+  FROM c GROUP BY buyer, supplier
+UNION ALL SELECT '05_contratos_filtrados', concat_ws('|', file_url, buyer, subject, award_date, cpv), amount FROM c""")
 
     # Filters, search and facets
     on_screen = """SELECT {} FROM c
@@ -344,14 +359,18 @@ WHERE buyer IN ('Hospital de Cádiz', 'Universidad de León', 'Gobierno de Andal
   AND contract_type IN ('Obras', 'Servicios') AND contains(lower(supplier), 'supplier#') AND amount BETWEEN 0 AND 40000"""
     on(
         BASE,
-        contracts_parquet_sink=f"""
-SELECT fiscal_year, count(*) AS n_contracts, {money('amount')} AS total FROM c GROUP BY fiscal_year""",
+        contracts_parquet_sink="SELECT * FROM c",
         export_filtered_contracts=on_screen.format(
             "award_date, region, province, municipality, buyer_type, buyer, fiscal_year, contract_type, cpv, subject, "
             "supplier, amount, file_url"
         ),
         ui_filter_semantics=on_screen.format("*"),
         query_contracts="""SELECT * FROM c
+WHERE region IN ('Galicia', 'Andalucía', 'Cataluña', 'Castilla y León') AND contract_type IN ('Servicios', 'Suministros')
+  AND fiscal_year IN (2021, 2022, 2023, 2024) AND lower(supplier) LIKE '%supplier#0000000%'
+  AND lower(subject) LIKE '%de %' AND (lower(buyer) LIKE '%hospital%' OR lower(buyer) LIKE '%ayuntamiento%')
+  AND amount >= 500 AND amount <= 9000""",
+        query_contracts_table="""SELECT * FROM c
 WHERE region IN ('Galicia', 'Andalucía', 'Cataluña', 'Castilla y León') AND contract_type IN ('Servicios', 'Suministros')
   AND fiscal_year IN (2021, 2022, 2023, 2024) AND lower(supplier) LIKE '%supplier#0000000%'
   AND lower(subject) LIKE '%de %' AND (lower(buyer) LIKE '%hospital%' OR lower(buyer) LIKE '%ayuntamiento%')
@@ -359,7 +378,7 @@ WHERE region IN ('Galicia', 'Andalucía', 'Cataluña', 'Castilla y León') AND c
         query_contracts_like="""SELECT * FROM c
 WHERE lower(supplier) LIKE '%supplier%1_%' AND lower(buyer) LIKE '%universidad de %a%'""",
         facet_values="""SELECT DISTINCT buyer AS value FROM c
-WHERE buyer IS NOT NULL AND region IN ('Galicia', 'Aragón', 'Castilla y León') ORDER BY value LIMIT 5000""",
+WHERE buyer IS NOT NULL AND region IN ('Galicia', 'Aragón', 'Castilla y León')""",
         facet_cascade="""
 SELECT 'region' AS facet, region AS value, count(*) AS n FROM c WHERE region IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'province', province, count(*) FROM c
@@ -456,22 +475,25 @@ SELECT DISTINCT buyer, NULL FROM c WHERE buyer NOT LIKE 'Ayunt%'""",
     # Radar
     report = """supplier, buyer, contract_type, fiscal_year, n_contracts, total_text, limit_text, pct_text, risk_index,
   priority, risk_level, signals, days_between, individual_amounts"""
+    texts = f"(SELECT {GROUP}, individual_amounts FROM g) USING ({GROUP})"
     on(
         groups(),
         radar="SELECT * FROM r",
         stream_radar="SELECT * FROM r",
-        radar_groups="SELECT * FROM g",
+        radar_groups="SELECT * EXCLUDE (individual_amounts) FROM g",
+        radar_amounts=f"""SELECT supplier_key AS supplier, buyer, contract_type, fiscal_year, amount, count(*) AS n FROM c
+WHERE supplier_key IS NOT NULL AND buyer IS NOT NULL AND contract_type IS NOT NULL AND fiscal_year IS NOT NULL GROUP BY 1, 2, 3, 4, 5""",
         radar_summary="""SELECT count(*) FILTER (risk_level LIKE '🚨%') AS over_limit,
   count(*) FILTER (risk_level LIKE '🔴%') AS over_95, count(*) FILTER (risk_level LIKE '🟠%') AS over_90,
   count(*) AS n_groups FROM r""",
-        priority_case=f"SELECT * FROM r WHERE is_alert ORDER BY {RISK_ORDER} LIMIT 1",
-        priority_alerts=f"""SELECT * FROM r WHERE is_alert OR NOT (SELECT bool_or(is_alert) FROM r)
+        priority_case=f"SELECT * FROM r JOIN {texts} WHERE is_alert ORDER BY {RISK_ORDER} LIMIT 1",
+        priority_alerts=f"""SELECT * FROM r JOIN {texts} WHERE is_alert OR NOT (SELECT bool_or(is_alert) FROM r)
 ORDER BY {RISK_ORDER} LIMIT 18""",
         report_summary=f"""SELECT (SELECT count(*) FROM c) AS n_contracts, (SELECT {money('amount')} FROM c) AS total_amount,
   (SELECT count(DISTINCT buyer) FROM c) AS n_buyers, (SELECT count(DISTINCT supplier) FROM c) AS n_suppliers,
   count(*) AS n_groups, count(*) FILTER (is_alert) AS n_alerts,
   coalesce(CAST(sum(CAST(total AS DECIMAL(18,2))) FILTER (is_alert) AS DOUBLE), 0) AS alert_amount FROM r""",
-        report_alert_table=f"SELECT {report} FROM r WHERE is_alert",
+        report_alert_table=f"SELECT {report} FROM r JOIN {texts} WHERE is_alert",
         report_alert_table_short=f"""SELECT supplier, buyer, contract_type, fiscal_year, n_contracts, total_text, pct_text,
   risk_index FROM r WHERE is_alert ORDER BY {RISK_ORDER} LIMIT 40""",
         risk_scatter=f"SELECT {GROUP}, n_contracts, total, total_text, risk_level FROM r",
@@ -508,7 +530,9 @@ WHERE fiscal_year IS NOT NULL GROUP BY 1, 2""",
         spend_by_territory_count="""SELECT municipality AS place, count(*) AS value FROM c
 WHERE municipality IS NOT NULL GROUP BY 1""",
         territory_all_levels=levels,
-        first_territory=f"""SELECT 'province' AS level, province AS place, {money('amount')} AS total,
+        first_territory=f"""SELECT 'region' AS level, region AS place, {money('amount')} AS total,
+  count(amount) AS n_contracts FROM c WHERE region IS NOT NULL GROUP BY region""",
+        first_territory_province=f"""SELECT 'province' AS level, province AS place, {money('amount')} AS total,
   count(amount) AS n_contracts FROM c GROUP BY province""",
         monthly_heatmap=f"SELECT CAST(year(award_date) AS INTEGER) AS year, {months} FROM c WHERE award_date IS NOT NULL GROUP BY 1",
         amount_histogram="""SELECT * FROM (
@@ -593,7 +617,6 @@ SELECT (SELECT count(*) FROM r) AS n_entities,
     start + length(value) + {ref.SCAN_CONTEXT} - greatest(start - {ref.SCAN_CONTEXT}, 0)), chr(10), ' ') || '...' AS context
 FROM placed""",
         flag_findings=f"""SELECT kind, CASE WHEN kind <> {lit(ref.AMOUNTS)} THEN 'OK' {bands} ELSE 'OK' END AS flag, count(*) AS n
-FROM (SELECT kind, CASE WHEN kind = {lit(ref.AMOUNTS)} THEN {amount} END AS n FROM placed
-  WHERE kind IN ({lit(ref.AMOUNTS)}, 'Fechas')) GROUP BY 1, 2""",
+FROM (SELECT kind, CASE WHEN kind = {lit(ref.AMOUNTS)} THEN {amount} END AS n FROM placed) GROUP BY 1, 2""",
     )
     return out

@@ -35,12 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a small file over all cores. A table with enough splits is left as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def money(c: Column) -> Column:
     """A tenth of the price, cut to the cent in whole numbers so that any engine gets the same double."""
     return F.floor(F.round(c * 100) / 10).cast("bigint") / 100.0
@@ -93,7 +87,7 @@ def _awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     has_supplier = F.col("l_orderkey") % 17 != 0
     date = F.when(F.col("l_orderkey") % 29 != 0, F.add_months(F.col("l_shipdate").cast("date"), YEARS_SHIFT))
     return (
-        spread(read("lineitem"))
+        read("lineitem")
         .join(read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
         .join(read("part").select("p_partkey", "p_name", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
@@ -119,7 +113,10 @@ def _awards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def budget_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0")
-    name = F.concat(F.lit(" Entidad "), (F.col("c_custkey") % 500).cast("string"), F.lit("  "))
+    number = (F.col("c_custkey") % 500).cast("string")
+    # Some names hold what a CSV file has to quote.
+    quoted = F.concat(F.lit(' Entidad "'), number, F.lit('", zona\ndos '))
+    name = F.when(F.col("c_custkey") % 500 % 7 == 0, quoted).otherwise(F.concat(F.lit(" Entidad "), number, F.lit("  ")))
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("idente"),
         name.alias("nombreente"),
@@ -148,8 +145,12 @@ def budget_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as they are, plus one page per order line that states ids, phones, dates and amounts."""
-    documents = spread(table(spark, sf_dir, "documents")).select("doc_id", F.lit(1).alias("page"), "text")
+    """Documents as they are, plus one page per order line that states ids, phones, dates and amounts.
+
+    The test tables are single row groups, which no reader can split, so their rows are dealt out here.
+    """
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    documents = table(spark, sf_dir, "documents").repartition(tasks).select("doc_id", F.lit(1).alias("page"), "text")
     key = F.col("l_orderkey")
     digits = F.lpad((key * 7919 % 100_000_000).cast("string"), 8, "0")
     price = F.floor(F.col("l_extendedprice")).cast("bigint")
@@ -165,7 +166,7 @@ def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(digits, 5, 4), F.lit(" 0001 22, correo linea"), F.col("l_linenumber").cast("string"),
         F.lit("@ejemplo.es; IVA incluido 18.000 € y 14.500 EUR."),
     )
-    lines = spread(table(spark, sf_dir, "lineitem")).select(
+    lines = table(spark, sf_dir, "lineitem").repartition(tasks).select(
         (key + 1_000_000_000).alias("doc_id"), F.col("l_linenumber").alias("page"), text.alias("text")
     )
     return documents.unionByName(lines)
@@ -209,13 +210,24 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     postcode = F.when(city.isNull() & (key % 3 == 0), F.concat("nation_code", F.lit("001")))
     place = F.when(city.isNotNull() | postcode.isNotNull(), F.concat(_tag("cbc:CityName", city),
                                                                     _tag("cbc:PostalZone", postcode)))
-    located = F.when(key % 2 == 0, _tag("cac-place-ext:LocatedContractingParty", _tag("cac:Party", place)))
-    realized = F.when(key % 2 == 1, _tag("cac:RealizedLocation", _tag("cac:Address", place)))
+    subentity = F.when(city.isNotNull() & (key % 5 == 1), F.upper("province"))
+    place = F.concat(place, _tag("cbc:CountrySubentity", subentity))
+    elsewhere = F.lit("<cbc:CityName>SEVILLA</cbc:CityName><cbc:PostalZone>41001</cbc:PostalZone>")
+    # A party deeper down does not count, nor does any place after the first that can be used.
+    deeper = F.when(key % 3 == 0, _tag("cac:AgentParty", _tag("cac:Party", elsewhere))).otherwise("")
+    party_place = F.concat(deeper, _tag("cac:Party", place))
+    located = F.when(key % 2 == 0, _tag("cac-place-ext:LocatedContractingParty", F.when(place.isNotNull(), party_place)))
+    unusable = F.lit("<cac-place-ext:LocatedContractingParty><cac:Party><cbc:CityName> </cbc:CityName></cac:Party>"
+                     "</cac-place-ext:LocatedContractingParty>")
+    located = F.coalesce(located, F.when((key % 2 == 1) & (key % 3 == 1), unusable))
+    realized = F.when((key % 2 == 1) | (place.isNotNull() & (key % 3 == 1)), _tag("cac:RealizedLocation", _tag(
+        "cac:Address", F.when(key % 2 == 1, place).otherwise(elsewhere))))
     date = F.col("award_date").cast("string")
     written = F.when(key % 13 == 0, F.concat(F.lit("00"), F.substring(date, 3, 8))).otherwise(date)
     has_link = key % 11 != 0
     entry = F.concat(
         F.lit("<entry>"),
+        F.when(key % 4 == 0, "<!-- see <![CDATA[ --><?note a > b?>").otherwise(""),
         F.concat(F.lit("<title><![CDATA["), "subject", F.lit("]]></title>")),
         _tag("id", F.when(~has_link, F.col("file_url")).otherwise("urn:x")),
         _tag("summary", in_summary),
@@ -225,7 +237,10 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<cac:ProcurementProject>"), _tag("cbc:TypeCode", lookup(F.col("contract_type"), TYPE_CODES)),
         _tag("cbc:ItemClassificationCode", F.col("cpv")), F.coalesce(realized, F.lit("")),
         F.lit("</cac:ProcurementProject>"),
-        _tag("cac:WinningParty", F.concat(F.lit("<cbc:Name> </cbc:Name>"), _tag("cbc:Name", _xml(F.col("supplier_key"))))),
+        _tag("cac:WinningParty", F.concat(F.lit("<cbc:Name> </cbc:Name>"), F.coalesce(
+            F.concat(F.lit('<cbc:Name note="a > b" kind=\'"\'>'), _xml(F.col("supplier_key")), F.lit("</cbc:Name>")), F.lit("")))),
+        F.when(F.col("supplier_key").isNotNull() & (key % 9 == 0),
+               "<cac:WinningParty><cbc:Name>Otro SL</cbc:Name></cac:WinningParty>").otherwise(""),
         F.when(key % 5 == 0, _tag("cbc:TaxExclusiveAmount", F.replace(amount, F.lit(","), F.lit("")))).otherwise(""),
         _tag("cbc:AwardDate", written),
         F.lit("</entry>"),
@@ -245,7 +260,7 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.concat(F.lit("https://feeds.example.org/minor/page-"), F.col("page").cast("string"), F.lit(".atom"))
             .alias("source_file"),
-            F.concat(head, "entries", F.lit("\n</feed>")).alias("value"),
+            F.concat(head, "entries", F.lit("\n<entry><title>cut</entry>\n</feed>")).alias("value"),
         )
     )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,10 +26,6 @@ def get_session(master: str | None = None, app: str = "tenderlens", **conf: str)
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared folder the cluster names; a local one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tenderlens-")
+    """A fresh folder under spark.checkpoint.dir, or under the warehouse where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

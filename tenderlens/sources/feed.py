@@ -30,9 +30,12 @@ from tenderlens.functions import (
 from tenderlens.refdata import LIMIT_INGEST, NO_SUBJECT, NO_SUPPLIER, WORKS_CODES
 
 FEED_FILES = "*.{atom,xml}"
-CDATA = r"(?s)<!\[CDATA\[(.*?)\]\]>"
-ENTRY = r"(?s)<(?:[\w.-]+:)?entry[\s>].*?</(?:[\w.-]+:)?entry\s*>"
-ALL_ENTRIES = r"(?s)<(?:[\w.-]+:)?entry[\s>].*</(?:[\w.-]+:)?entry\s*>"
+# Comments, CDATA sections and processing instructions, whichever begins first: none is looked for inside another.
+SPECIAL = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>"
+# What may stand in a start tag: a > only between quotes.
+ATTRIBUTES = r"(?:\s(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)?(?<!/)>"
+ENTRY = rf"(?s)<(?:[\w.-]+:)?entry{ATTRIBUTES}.*?</(?:[\w.-]+:)?entry\s*>"
+ALL_ENTRIES = rf"(?s)<(?:[\w.-]+:)?entry{ATTRIBUTES}.*</(?:[\w.-]+:)?entry\s*>"
 SPACE = r"(?U)^\s+|\s+$"
 
 # Direct children of an entry; the reader also tells whether the entry is well formed.
@@ -53,20 +56,23 @@ def read_feed_pages(spark: SparkSession, folder: str | list[str], pattern: str =
 
 
 def _plain_xml(page: Column) -> Column:
-    """The page with CDATA sections as escaped text and without comments, so that tags are only tags."""
+    """The page with CDATA sections as escaped text, without comments and instructions, so that tags are only tags."""
     def escape(c: Column) -> Column:
         for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
             c = F.replace(c, F.lit(char), F.lit(entity))
         return c
 
+    def content(special: Column) -> Column:
+        inside = F.substring(special, F.lit(10), F.length(special) - 12)
+        return F.when(special.startswith("<![CDATA["), escape(inside)).otherwise("")
+
     def unwrap(text: Column) -> Column:
-        contents = F.transform(F.regexp_extract_all(text, F.lit(CDATA), F.lit(1)), escape)
+        contents = F.transform(F.regexp_extract_all(text, F.lit(SPECIAL), F.lit(0)), content)
         return F.array_join(
-            F.zip_with(F.split(text, CDATA, -1), contents, lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), ""
+            F.zip_with(F.split(text, SPECIAL, -1), contents, lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), ""
         )
 
-    flat = F.when(page.contains("<![CDATA["), unwrap(page)).otherwise(page)
-    return let(flat, lambda t: F.when(t.contains("<!--"), F.regexp_replace(t, r"(?s)<!--.*?-->", "")).otherwise(t))
+    return F.when(page.contains("<!") | page.contains("<?"), unwrap(page)).otherwise(page)
 
 
 def feed_entries(pages: DataFrame) -> DataFrame:
@@ -88,12 +94,12 @@ def _blank_to_null(c: Column) -> Column:
 
 def _elements(xml: Column, name: str) -> Column:
     """All elements of a name at any depth, as XML. Comments and CDATA are gone, so a tag is a tag."""
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{name}(?:\s[^>]*)?(?<!/)>.*?</{name}\s*>"), F.lit(0))
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{name}{ATTRIBUTES}.*?</{name}\s*>"), F.lit(0))
 
 
 def _texts(xml: Column, name: str) -> Column:
     """Texts of all leaf elements of a name at any depth, without those of white space alone."""
-    raw = F.regexp_extract_all(xml, F.lit(rf"<{name}(?:\s[^>]*)?(?<!/)>([^<]*)</{name}\s*>"), F.lit(1))
+    raw = F.regexp_extract_all(xml, F.lit(rf"<{name}{ATTRIBUTES}([^<]*)</{name}\s*>"), F.lit(1))
 
     def plain(text: Column) -> Column:
         # Character references are rare; the XML reader knows them all.
@@ -145,11 +151,12 @@ def contract_territory(xml: Column) -> Column:
     def read(address: Column) -> Column:
         return let(place_struct(*[_first(_texts(address, field)) for field in PLACE_FIELDS]), _usable)
 
-    # A contracting party has one party element, which may hold other parties: it ends at the last closing tag.
-    parties = F.transform(
-        _elements(xml, "LocatedContractingParty"), lambda x: F.regexp_extract(x, r"(?s)<Party(?:\s[^>]*)?(?<!/)>.*</Party\s*>", 0)
-    )
-    addresses = F.concat(F.filter(parties, lambda x: x != ""), _elements(xml, "RealizedLocation"))
+    # Of a contracting party only a party directly below it counts: the XML reader gives its content as text.
+    parties = F.flatten(F.transform(
+        F.filter(_elements(xml, "LocatedContractingParty"), lambda x: x.contains("<Party")),
+        lambda x: F.coalesce(F.from_xml(x, "Party array<string>")["Party"], F.array().cast("array<string>")),
+    ))
+    addresses = F.concat(F.filter(parties, lambda x: x.isNotNull()), _elements(xml, "RealizedLocation"))
     return F.aggregate(addresses, F.lit(None).cast(PLACE), lambda found, address: F.coalesce(found, read(address)))
 
 
@@ -188,9 +195,32 @@ def split_well_formed(entries: DataFrame) -> DataFrame:
     )
 
 
-def feed_rejects(entries: DataFrame) -> DataFrame:
-    """Entries that are not well-formed XML."""
-    return split_well_formed(entries).where(~F.col("well_formed")).select("source_file", "entry_ord", "entry_xml")
+def _with_buyer_and_amount(entries: DataFrame, carried: list[str]) -> DataFrame:
+    """Entries of ``split_well_formed`` with what decides whether they are contracts."""
+    def head(name: str) -> Column:
+        return _blank_to_null(F.get(f"head.{name}", F.lit(0)))
+
+    xml = F.regexp_replace("entry_xml", PREFIX, "$1")
+    good = entries.select(*carried, "head", F.explode(F.array(xml)).alias("xml")).select(
+        *carried, "xml", "head", head("title").alias("title"), head("updated").alias("updated"), head("id").alias("id"),
+        extract_summary(head("summary")).alias("summary"),
+    )
+    # Buyer and amount usually stand in the summary; the entry itself is only searched where they do not.
+    buyer = F.coalesce("summary.buyer", _first(_texts(_inside(F.col("xml"), "ContractingParty"), "Name")))
+    amount = F.coalesce("summary.amount", _first_valid(_texts(F.col("xml"), "TaxExclusiveAmount"), parse_money))
+    # One-element explodes keep each parse in one place: later filters and columns cannot repeat it.
+    return good.select("*", F.inline(F.array(F.struct(buyer.alias("buyer"), amount.alias("amount")))))
+
+
+def feed_rejects(entries: DataFrame, limit: float | None = LIMIT_INGEST) -> DataFrame:
+    """Entries that do not become contracts, with the first reason that holds."""
+    parsed = split_well_formed(entries)
+    carried = ["source_file", "entry_ord", "entry_xml"]
+    broken = parsed.where(~F.col("well_formed")).select(*carried, F.lit("malformed").alias("reason"))
+    over = F.lit(False) if limit is None else F.col("amount") > limit
+    reason = F.when(F.col("buyer").isNull(), "no buyer").when(F.col("amount").isNull(), "no amount").when(over, "over limit")
+    refused = _with_buyer_and_amount(parsed.where("well_formed"), carried).select(*carried, reason.alias("reason"))
+    return broken.unionByName(refused.where(F.col("reason").isNotNull()))
 
 
 def feed_contracts(
@@ -198,30 +228,18 @@ def feed_contracts(
     min_year: int = 2010,
     max_year: int | None = None,
     keep: Iterable[str] = (),
+    limit: float | None = LIMIT_INGEST,
 ) -> DataFrame:
-    """Contracts of well-formed entries. Entries without buyer or amount, or above the limit, are left out.
+    """Contracts of well-formed entries. Entries without buyer or amount are left out, and those above ``limit``.
 
+    A contract above the limit is no minor one; ``None`` takes all. ``feed_rejects`` lists what is left out.
     ``keep`` names columns of the entries, such as the file they come from, to carry along.
     """
     carried = list(keep)
-
-    def head(name: str) -> Column:
-        return _blank_to_null(F.get(f"head.{name}", F.lit(0)))
-
-    xml = F.regexp_replace("entry_xml", PREFIX, "$1")
-    good = split_well_formed(entries).where("well_formed").select(
-        *carried, "head", F.explode(F.array(xml)).alias("xml")
-    ).select(
-        *carried, "xml", "head", head("title").alias("title"), head("updated").alias("updated"), head("id").alias("id"),
-        extract_summary(head("summary")).alias("summary"),
-    )
-    # Buyer and amount usually stand in the summary; the entry itself is only searched where they do not.
-    buyer = F.coalesce("summary.buyer", _first(_texts(_inside(F.col("xml"), "ContractingParty"), "Name")))
-    amount = F.coalesce("summary.amount", _first_valid(_texts(F.col("xml"), "TaxExclusiveAmount"), parse_money))
-    # One-element explodes keep each parse in one place: later filters and columns cannot repeat it.
-    known = good.select("*", F.inline(F.array(F.struct(buyer.alias("buyer"), amount.alias("amount"))))).where(
-        F.col("buyer").isNotNull() & (F.col("amount") <= LIMIT_INGEST)
+    known = _with_buyer_and_amount(split_well_formed(entries).where("well_formed"), carried).where(
+        F.col("buyer").isNotNull() & (F.col("amount").isNotNull() if limit is None else F.col("amount") <= limit)
     )
+
     inferred = F.struct(
         infer_geography(F.col("buyer")).alias("place"), infer_municipality(F.col("buyer")).alias("municipality")
     )
@@ -265,7 +283,8 @@ def _resolve(base: Column, href: Column) -> Column:
 def feed_page_chain(pages: DataFrame, base_url: Column | None = None) -> DataFrame:
     """Next page that each page names, and whether that page is there.
 
-    Links are resolved against ``base_url``, the file path by default; pages are matched by file name.
+    Links are resolved against ``base_url``, the file path by default, and pages are matched by their whole address, so
+    equal file names in two folders are two pages.
     """
     frame = F.from_xml(F.regexp_replace(_plain_xml(F.col("value")), ALL_ENTRIES, ""), FEED_HEAD, XML_OPTIONS)
     next_link = F.get(F.filter("head.link", lambda x: (x["_rel"] == "next") & (x["_href"] != "")), F.lit(0))["_href"]
@@ -274,17 +293,19 @@ def feed_page_chain(pages: DataFrame, base_url: Column | None = None) -> DataFra
     def file_name(c: Column) -> Column:
         return F.substring_index(F.regexp_replace(c, r"[?#].*$", ""), "/", -1)
 
+    def address(c: Column) -> Column:
+        return F.regexp_replace(c, r"[?#].*$", "")
+
     links = (
         pages.select("source_file", base.alias("base"), F.explode(F.array(frame)).alias("head"))
         .select("source_file", _resolve(F.col("base"), next_link).alias("next_url"))
-        .withColumn("next_page", file_name(F.col("next_url")))
-    )
-    present = pages.select(file_name(F.col("source_file")).alias("next_page")).distinct().withColumn(
-        "is_present", F.lit(True)
+        .withColumn("address", address(F.col("next_url")))
     )
+    present = pages.select(address(base).alias("address")).distinct().withColumn("is_present", F.lit(True))
     found = F.when(F.col("next_url").isNotNull(), F.coalesce("is_present", F.lit(False)))
-    return links.join(present, "next_page", "left").select(
-        file_name(F.col("source_file")).alias("page"), "next_url", "next_page", found.alias("next_is_present")
+    return links.join(present, "address", "left").select(
+        file_name(F.col("source_file")).alias("page"), "next_url", file_name(F.col("next_url")).alias("next_page"),
+        found.alias("next_is_present"),
     )
 
 

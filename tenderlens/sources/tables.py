@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenderlens import schema
 from tenderlens.operators.radar import by_risk
 from tenderlens.operators.rankings import buyer_supplier_relations, top_suppliers
+from tenderlens.refdata import LIMIT_INGEST
 from tenderlens.sources.feed import FEED_FILES, feed_contracts, feed_entries, read_feed_pages
 
 
-def write_contracts(contracts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Contracts as Parquet by fiscal year. Rebalancing evens out file sizes and splits a hot year."""
+#: Part of the cache key: to be raised with every change of what the parser makes of a page.
+PARSER_VERSION = 2
+
+
+def write_contracts(contracts: DataFrame, path: str, mode: str = "overwrite", part: str | None = None) -> None:
+    """Contracts as Parquet by fiscal year. Rebalancing evens out file sizes and splits a hot year.
+
+    ``overwrite`` replaces the table, ``append`` adds a part to it. A named part is replaced alone, in the years it
+    holds, so writing it again, as a stream does with a batch that failed, changes nothing.
+    """
     fields = [F.col(f.name).cast(f.dataType) for f in schema.CONTRACTS]
+    if mode not in ("overwrite", "append"):
+        raise ValueError("mode is overwrite or append")
+    whole = mode == "overwrite" and part is None
     (
-        contracts.select(*fields).hint("rebalance", F.col("fiscal_year"))
-        .write.mode(mode).option("compression", "snappy").option("partitionOverwriteMode", "static")
-        .partitionBy("fiscal_year").parquet(path)
+        contracts.select(*fields, F.lit(part or f"{mode}-{uuid.uuid4().hex}").alias("part")).hint("rebalance", F.col("fiscal_year"))
+        .write.mode("overwrite").option("compression", "snappy")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
+        .partitionBy("part", "fiscal_year").parquet(path)
     )
 
 
@@ -40,13 +56,17 @@ def ingest_or_reuse(
     force: bool = False,
     max_year: int | None = None,
     pattern: str = FEED_FILES,
+    min_year: int = 2010,
+    limit: float | None = LIMIT_INGEST,
 ) -> DataFrame:
-    """Contracts of a feed folder, parsed once per state of the folder."""
-    path = f"{cache_root.rstrip('/')}/contracts-{folder_signature(spark, folder, pattern)}"
+    """Contracts of a feed folder, parsed once per state of the folder, set of arguments and version of the parser."""
+    last = max_year or date.today().year + 1
+    made_by = f"v{PARSER_VERSION}-{min_year}-{last}-{'any' if limit is None else limit}"
+    path = f"{cache_root.rstrip('/')}/contracts-{made_by}-{folder_signature(spark, folder, pattern)}"
     if not force and _is_complete(spark, path):
         return load_contracts(spark, path)
     entries = feed_entries(read_feed_pages(spark, folder, pattern))
-    write_contracts(feed_contracts(entries, max_year=max_year), path)
+    write_contracts(feed_contracts(entries, min_year, last, limit=limit), path)
     return load_contracts(spark, path)
 
 
@@ -57,10 +77,13 @@ def _is_complete(spark: SparkSession, path: str) -> bool:
 
 
 def read_budget(spark: SparkSession, lines_csv: str, entities_csv: str) -> tuple[DataFrame, DataFrame]:
-    """Budget lines and entities from CSV files with header; columns are matched by name, codes stay text."""
+    """Budget lines and entities from CSV files with header; columns are matched by name, codes stay text.
+
+    Quoted fields may hold separators, line breaks and doubled quotes.
+    """
     def read(path: str, wanted) -> DataFrame:
         # Without inference every column is text, whatever their number and order.
-        return spark.read.option("header", True).csv(path).select(*[F.col(f.name).cast(f.dataType) for f in wanted])
+        return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).select(*[F.col(f.name).cast(f.dataType) for f in wanted])
 
     return read(lines_csv, schema.BUDGET_LINES), read(entities_csv, schema.BUDGET_ENTITIES)
 
@@ -76,10 +99,10 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest_source(manifests: DataFrame) -> DataFrame:
-    """One row per visited address."""
+    """One row per visited address; a run that visited none keeps a row without address."""
     return manifests.select(
         F.col("fecha_utc").alias("fetched_at"), F.col("fuente").alias("source"),
-        F.posexplode("urls_visitadas").alias("visit", "url"),
+        F.posexplode_outer("urls_visitadas").alias("visit", "url"),
         (F.col("url") == F.col("ultimo_url")).alias("is_last"),
         F.size("errores").alias("n_errors"),
     )

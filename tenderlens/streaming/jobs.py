@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tenderlens import schema
-from tenderlens.operators.radar import radar
+from tenderlens.operators.radar import folded_amounts, groups_of, refold, score
+from tenderlens.refdata import LIMIT_INGEST
+from tenderlens.schema import GROUP_KEYS
 from tenderlens.sources.feed import FEED_FILES, feed_contracts, feed_entries
-from tenderlens.sources.tables import load_contracts
+from tenderlens.sources.tables import write_contracts
+
+#: Groups of a fiscal year are dealt over so many folders; a batch rewrites those in which its groups are.
+BUCKETS = 64
 
 
 def stream_contracts(
@@ -19,38 +28,59 @@ def stream_contracts(
     max_year: int | None = None,
     max_files: int | None = None,
     pattern: str = FEED_FILES,
+    limit: float | None = LIMIT_INGEST,
 ) -> StreamingQuery:
-    """Feed files that were not seen before, parsed and appended to the contract table."""
+    """Feed files that were not seen before, parsed and added to the contract table.
+
+    Each batch is a part of the table, written by the writer of batch jobs: a table may be filled by both, and a batch
+    that runs twice replaces its own part.
+    """
     reader = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     pages = reader.load(folder).select(F.col("_metadata.file_path").alias("source_file"), "value")
-    contracts = feed_contracts(feed_entries(pages), max_year=max_year)
+    contracts = feed_contracts(feed_entries(pages), max_year=max_year, limit=limit)
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def add(batch: DataFrame, number: int) -> None:
+        write_contracts(batch, table, "append", part=f"stream-{stream}-{number}")
+
     return (
-        contracts.writeStream.format("parquet").outputMode("append").partitionBy("fiscal_year")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(table)
+        contracts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 def stream_radar(
-    spark: SparkSession, table: str, radar_table: str, checkpoint: str, min_contracts: int = 2
+    spark: SparkSession, table: str, radar_table: str, checkpoint: str, min_contracts: int = 2, amounts_table: str | None = None
 ) -> StreamingQuery:
-    """Radar of every fiscal year that got new contracts.
+    """Radar kept up to date: the cost of a batch follows its news.
 
-    A group lies within one year, so a batch rewrites the year folders it touches and leaves the others alone.
-    Rewriting is idempotent: a batch that runs twice gives the same folders.
+    A batch is folded by group and amount and kept as an increment; then the groups in the folders it touches are
+    scored from their increments, and those folders of the radar are rewritten. Increments carry the batch's number
+    in their path, so a batch that runs twice gives the same tables.
     """
-    def refresh(batch: DataFrame, _: int) -> None:
-        # Award years span 2010 to next year, so this list is short.
-        years = [r[0] for r in batch.select("fiscal_year").where("fiscal_year IS NOT NULL").distinct().collect()]
-        if not years:
+    amounts = amounts_table or f"{radar_table.rstrip('/')}-amounts"
+
+    def refresh(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*GROUP_KEYS), F.lit(BUCKETS)).cast("int")
+        folded_amounts(batch).withColumns({"bucket": bucket, "batch": F.lit(number)}).hint(
+            "rebalance", F.col("fiscal_year"), F.col("bucket")
+        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fiscal_year", "bucket", "batch").parquet(amounts)
+        kept = session.read.schema(INCREMENTS).parquet(amounts)
+        # Years span 2010 to next year, so this list is short.
+        touched = kept.where(F.col("batch") == number).select("fiscal_year", "bucket").distinct().collect()
+        if not touched:
             return
-        touched = load_contracts(batch.sparkSession, table).where(F.col("fiscal_year").isin(years))
+        by_year: dict[int, list[int]] = {}
+        for year, b in touched:
+            by_year.setdefault(year, []).append(b)
+        here = reduce(or_, [(F.col("fiscal_year") == y) & F.col("bucket").isin(b) for y, b in by_year.items()])
         (
-            radar(touched, min_contracts, ordered=False)
-            .hint("rebalance", F.col("fiscal_year"))
+            score(groups_of(refold(kept.where(here))), min_contracts).withColumn("bucket", bucket)
+            .hint("rebalance", F.col("fiscal_year"), F.col("bucket"))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("fiscal_year").parquet(radar_table)
+            .partitionBy("fiscal_year", "bucket").parquet(radar_table)
         )
 
     new = spark.readStream.schema(schema.CONTRACTS).format("parquet").load(table)
@@ -58,3 +88,9 @@ def stream_radar(
         new.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+INCREMENTS = (
+    "supplier string, buyer string, contract_type string, amount double, n bigint, total decimal(28,2), first_date date, "
+    "last_date date, fiscal_year int, bucket int, batch bigint"
+)
