@@ -2,8 +2,9 @@
 
 Each page is read where it lies: no shuffle, no Python. One pass of a pattern cuts the page into pieces, text and
 matches in turn; the surroundings of a match are put together from its neighbours. Every match has at least one
-character, so ``SCAN_CONTEXT`` matches on either side always cover the surroundings, and the work grows linearly
-with the text.
+character, so ``SCAN_CONTEXT`` matches on either side always cover the surroundings, and of each neighbour only the
+nearest ``SCAN_CONTEXT`` characters are copied. The work grows linearly with the text. Matches are numbered within page
+and pattern, so their order can be restored.
 """
 
 from __future__ import annotations
@@ -33,21 +34,29 @@ def _pieces(text: str, pattern: str) -> Column:
 
 
 def _hits(text: str, kind: str) -> Column:
-    """Array of (value, context) for one pattern, null if there is no match."""
+    """Array of (value, context, ordinal) for one pattern, null if there is no match."""
     reach = 2 * SCAN_CONTEXT + 1
 
-    def with_context(pieces: Column) -> Column:
+    def with_context(parts: Column) -> Column:
         def one(piece: Column, i: Column) -> Column:
             first = F.greatest(i - reach, F.lit(0))
-            before = F.right(F.array_join(F.slice(pieces, first + 1, i - first), ""), F.lit(SCAN_CONTEXT))
-            after = F.left(F.array_join(F.slice(pieces, i + 2, reach), ""), F.lit(SCAN_CONTEXT))
+            before = F.right(F.array_join(F.slice(parts["ends"], first + 1, i - first), ""), F.lit(SCAN_CONTEXT))
+            after = F.left(F.array_join(F.slice(parts["starts"], i + 2, reach), ""), F.lit(SCAN_CONTEXT))
             context = F.replace(F.concat(before, piece, after), F.lit("\n"), F.lit(" "))
-            hit = F.struct(piece.alias("value"), F.concat(F.lit("..."), context, F.lit("...")).alias("context"))
+            hit = F.struct(piece.alias("value"), F.concat(F.lit("..."), context, F.lit("...")).alias("context"),
+                           F.shiftright(i, 1).alias("ordinal"))
             return F.when((i % 2 == 1) & piece.isNotNull(), hit)
 
-        return F.when(F.size(pieces) > 1, F.filter(F.transform(pieces, one), lambda hit: hit.isNotNull()))
+        return F.filter(F.transform(parts["pieces"], one), lambda hit: hit.isNotNull())
 
-    hits = let(_pieces(text, SCAN_PATTERNS[kind]), with_context)
+    def cut(pieces: Column) -> Column:
+        near = F.struct(
+            pieces.alias("pieces"), F.transform(pieces, lambda p: F.right(p, F.lit(SCAN_CONTEXT))).alias("ends"),
+            F.transform(pieces, lambda p: F.left(p, F.lit(SCAN_CONTEXT))).alias("starts"),
+        )
+        return F.when(F.size(pieces) > 1, let(near, with_context))
+
+    hits = let(_pieces(text, SCAN_PATTERNS[kind]), cut)
     if kind in NEEDED:
         return F.when(reduce(or_, [F.col(text).contains(word) for word in NEEDED[kind]]), hits)
     return hits

@@ -612,7 +612,7 @@ SELECT (SELECT count(*) FROM r) AS n_entities,
     bands = " ".join(f"WHEN n BETWEEN {low} AND {high} THEN {lit(text)}" for low, high, text in ref.AMOUNT_FLAGS)
     on(
         scan(),
-        scan_text=f"""SELECT doc_id, page, 'Pág. ' || page AS location, kind, value,
+        scan_text=f"""SELECT doc_id, page, 'Pág. ' || page AS location, kind, value, CAST(i - 1 AS INTEGER) AS ordinal,
   '...' || replace(substr(text, greatest(start - {ref.SCAN_CONTEXT}, 0) + 1,
     start + length(value) + {ref.SCAN_CONTEXT} - greatest(start - {ref.SCAN_CONTEXT}, 0)), chr(10), ' ') || '...' AS context
 FROM placed""",

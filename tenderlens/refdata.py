@@ -55,30 +55,77 @@ INE_PROVINCES = {
 }
 GALICIA_CODES = ("15", "27", "32", "36")
 
-# Province names by region, with the spellings in use.
-REGION_PROVINCES = {
-    "Andalucía": ("Almería", "Cádiz", "Córdoba", "Granada", "Huelva", "Jaén", "Málaga", "Sevilla"),
-    "Aragón": ("Huesca", "Teruel", "Zaragoza"),
-    "Asturias": ("Asturias",),
-    "Islas Baleares": ("Baleares", "Illes Balears"),
-    "Canarias": ("Las Palmas", "Santa Cruz de Tenerife", "Tenerife", "Gran Canaria"),
-    "Cantabria": ("Cantabria",),
-    "Castilla-La Mancha": ("Albacete", "Ciudad Real", "Cuenca", "Guadalajara", "Toledo"),
-    "Castilla y León": ("Ávila", "Burgos", "León", "Palencia", "Salamanca", "Segovia", "Soria", "Valladolid",
-                        "Zamora"),
-    "Cataluña": ("Barcelona", "Girona", "Gerona", "Lleida", "Lérida", "Tarragona"),
-    "Comunidad Valenciana": ("Alicante", "Alacant", "Castellón", "Castelló", "Valencia", "València"),
-    "Extremadura": ("Badajoz", "Cáceres"),
-    "Galicia": ("A Coruña", "La Coruña", "Coruña", "Lugo", "Ourense", "Orense", "Pontevedra"),
-    "Comunidad de Madrid": ("Madrid",),
-    "Región de Murcia": ("Murcia",),
-    "Navarra": ("Navarra", "Nafarroa"),
-    "País Vasco": ("Álava", "Araba", "Gipuzkoa", "Guipúzcoa", "Bizkaia", "Vizcaya"),
-    "La Rioja": ("La Rioja", "Rioja"),
-    "Ceuta": ("Ceuta",),
-    "Melilla": ("Melilla",),
+# Region of each province, with the spellings in use.
+PROVINCE_REGION = {
+    "Almería": "Andalucía",
+    "Cádiz": "Andalucía",
+    "Córdoba": "Andalucía",
+    "Granada": "Andalucía",
+    "Huelva": "Andalucía",
+    "Jaén": "Andalucía",
+    "Málaga": "Andalucía",
+    "Sevilla": "Andalucía",
+    "Huesca": "Aragón",
+    "Teruel": "Aragón",
+    "Zaragoza": "Aragón",
+    "Asturias": "Asturias",
+    "Baleares": "Islas Baleares",
+    "Illes Balears": "Islas Baleares",
+    "Las Palmas": "Canarias",
+    "Santa Cruz de Tenerife": "Canarias",
+    "Tenerife": "Canarias",
+    "Gran Canaria": "Canarias",
+    "Cantabria": "Cantabria",
+    "Albacete": "Castilla-La Mancha",
+    "Ciudad Real": "Castilla-La Mancha",
+    "Cuenca": "Castilla-La Mancha",
+    "Guadalajara": "Castilla-La Mancha",
+    "Toledo": "Castilla-La Mancha",
+    "Ávila": "Castilla y León",
+    "Burgos": "Castilla y León",
+    "León": "Castilla y León",
+    "Palencia": "Castilla y León",
+    "Salamanca": "Castilla y León",
+    "Segovia": "Castilla y León",
+    "Soria": "Castilla y León",
+    "Valladolid": "Castilla y León",
+    "Zamora": "Castilla y León",
+    "Barcelona": "Cataluña",
+    "Girona": "Cataluña",
+    "Gerona": "Cataluña",
+    "Lleida": "Cataluña",
+    "Lérida": "Cataluña",
+    "Tarragona": "Cataluña",
+    "Alicante": "Comunidad Valenciana",
+    "Alacant": "Comunidad Valenciana",
+    "Castellón": "Comunidad Valenciana",
+    "Castelló": "Comunidad Valenciana",
+    "Valencia": "Comunidad Valenciana",
+    "València": "Comunidad Valenciana",
+    "Badajoz": "Extremadura",
+    "Cáceres": "Extremadura",
+    "A Coruña": "Galicia",
+    "La Coruña": "Galicia",
+    "Coruña": "Galicia",
+    "Lugo": "Galicia",
+    "Ourense": "Galicia",
+    "Orense": "Galicia",
+    "Pontevedra": "Galicia",
+    "Madrid": "Comunidad de Madrid",
+    "Murcia": "Región de Murcia",
+    "Navarra": "Navarra",
+    "Nafarroa": "Navarra",
+    "Álava": "País Vasco",
+    "Araba": "País Vasco",
+    "Gipuzkoa": "País Vasco",
+    "Guipúzcoa": "País Vasco",
+    "Bizkaia": "País Vasco",
+    "Vizcaya": "País Vasco",
+    "La Rioja": "La Rioja",
+    "Rioja": "La Rioja",
+    "Ceuta": "Ceuta",
+    "Melilla": "Melilla",
 }
-PROVINCE_REGION = {p: region for region, names in REGION_PROVINCES.items() for p in names}
 # Longest name first; names of one length keep the order above.
 PROVINCES_LONGEST_FIRST = tuple(sorted(PROVINCE_REGION, key=len, reverse=True))
 
@@ -184,17 +231,6 @@ AMOUNT_FLAGS = (
     (16_300.0, 16_500.0, "🚨 Trampa IVA 10% ≈ 15k sin IVA"),
 )
 
-BUDGET_CHAPTERS = {
-    1: "Personal",
-    2: "Gastos en bienes y servicios",
-    3: "Gastos financieros",
-    4: "Transferencias corrientes",
-    6: "Inversiones reales",
-    7: "Transferencias de capital",
-    8: "Activos financieros",
-    9: "Pasivos financieros",
-}
-
 # Approximate coordinates (latitude, longitude) for bubble maps.
 REGION_CENTROIDS = {
     "Andalucía": (37.40, -4.60), "Aragón": (41.60, -0.90), "Asturias": (43.35, -5.85),

@@ -131,23 +131,24 @@ def test_graph(few):
 
 def test_budget(spark):
     lines = spark.createDataFrame([
-        ("1", "G", "221", "120000", "130000", "118000"), ("1", "G", " 226", "80000", "85000", "n/d"),
-        ("2", "G", "221", "50000", "52000", "49000"), ("3", "I", "100", "99999", "99999", "99999"),
-        ("4", "G", "220", "n/d", "1", "1"),
+        ("1", "G", "221", "64000", "71000", "60500"), ("1", "G", " 226", "31000", "35000", "n/d"),
+        ("2", "G", "221", "17000", "18000", "16000"), ("3", "I", "100", "77777", "77777", "77777"),
+        ("4", "G", "220", "n/d", "1", "1"), ("4", "G", "220", "1e25", "1", "1"), ("4", "G", "220", "NaN", "1", "Infinity"),
     ], "idente string, tipreig string, cdcta string, importer string, imported string, importel string")
     entities = spark.createDataFrame([
-        ("1", " Concello de Santiago ", "15078"), ("2", "Concello de Ames", "15002"), ("3", "Entidad Ingreso", "15000"),
+        ("1", " Concello de Betanzos ", "15009"), ("2", "Concello de Cee", "15023"), ("3", "Entidad Ingreso", "15000"),
         ("4", "Otra", "01059"),
     ], "idente string, nombreente string, codbdgel string")
     ranking = budget.budget_ranking(lines, entities, provinces=None)
     assert [(r.entity, r.total, r.n_lines) for r in ranking.collect()] == [
-        ("Concello de Santiago", 200000.0, 2), ("Concello de Ames", 50000.0, 1), ("Otra", None, 1)]
-    assert budget.budget_ranking(lines, entities).count() == 2
+        ("Concello de Betanzos", 95000.0, 2), ("Concello de Cee", 17000.0, 1), ("Otra", None, 3)]
+    assert budget.budget_ranking(lines, entities).count() == 3
+    assert budget.budget_ranking(lines, entities, provinces=["15"]).count() == 2
     assert [r.entity for r in budget.budget_ranking(lines, entities, provinces=["01"]).collect()] == ["Otra"]
     total = budget.budget_ranking_total(ranking, top=1).first()
-    assert (total.n_entities, total.shown_total) == (3, 200000.0)
-    detail = budget.budget_entity_detail(lines, entities, "%SANTIAGO%", chapter=2).collect()
-    assert [(r.account, r.recognised, r.settled) for r in detail] == [("221", 120000.0, 118000.0), ("226", 80000.0, None)]
+    assert (total.n_entities, total.shown_total) == (3, 95000.0)
+    detail = budget.budget_entity_detail(lines, entities, "%BETANZOS%", chapter=2).collect()
+    assert [(r.account, r.recognised, r.settled) for r in detail] == [("221", 64000.0, 60500.0), ("226", 31000.0, None)]
 
 
 def brute_force(doc, page, text):

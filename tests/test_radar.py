@@ -24,7 +24,8 @@ def one(df) -> Row:
 
 
 def test_services_accumulate(spark):
-    r = one(rd.radar(contracts(spark, [{"amount": 7000.0}, {"amount": 7000.0}])))
+    rows = contracts(spark, [{"amount": 7000.0}, {"amount": 7000.0}])
+    r = one(rd.priority_case(rd.radar(rows, ordered=False), rd.radar_amounts(rows)))
     assert (r.is_alert, r.n_contracts, r.total, r.pct_limit, r.risk_index, r.priority) == (True, 2, 14000.0, 93.3, 56, "Media")
     assert "90 %" in r.signals and "repetidos" in r.signals
     assert (r.individual_amounts, r.days_between) == ("7.000,00 € | 7.000,00 €", None)
@@ -72,11 +73,43 @@ def test_one_missing_date_and_recurrent_supplier(spark):
     assert r.days_between == 3 and "proveedor recurrente (5 contratos)" in r.signals
 
 
-def test_a_hot_group_lists_each_amount_once_with_its_count(spark):
-    rows = contracts(spark, [{"amount": 10.0}] * 30 + [{"amount": 20.0}])
-    assert one(rd.radar(rows, inline_amounts=5)).individual_amounts == "20,00 € | 10,00 € ×30"
-    whole = one(rd.radar(rows)).individual_amounts
-    assert whole == " | ".join(["20,00 €"] + ["10,00 €"] * 30)
+def test_amounts_have_one_notation_at_any_size(spark):
+    for n in (30, 12_000):
+        rows = contracts(spark, [{"amount": 20.0}]).union(contracts(spark, [{"amount": 10.0}]).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n)))).drop("r"))
+        amounts = rd.radar_amounts(rows)
+        assert sorted((r.amount, r.n) for r in amounts.collect()) == [(10.0, n), (20.0, 1)]
+        shown = one(rd.with_amount_text(rd.radar(rows, ordered=False), amounts))
+        assert shown.n_contracts == n + 1 and shown.individual_amounts == " | ".join(["20,00 €"] + ["10,00 €"] * n)
+
+
+def test_no_list_per_group_in_the_radar(spark):
+    rows = random_contracts(spark, 50)
+    table = rd.radar(rows, ordered=False)
+    for frame in (table, rd.priority_case(table), rd.priority_alerts(table), rd.report_alert_table_short(table), rd.radar_summary(table)):
+        assert "collect_list" not in frame._jdf.queryExecution().toString()
+
+
+def test_impossible_amounts_do_not_stop_the_radar(spark):
+    rows = contracts(spark, [{"amount": 7000.0}, {"amount": 1e25}, {"amount": float("nan")}, {"amount": float("inf")}])
+    r = one(rd.radar(rows))
+    assert (r.n_contracts, r.total) == (3, 7000.0)  # NaN is no amount; the others count, but no total can hold them
+
+
+def test_a_hot_case_is_split(spark):
+    rows = random_contracts(spark, 200_000).withColumn("subject", F.sha2(F.col("amount").cast("string"), 512))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                                           "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(keep, ("1m", "512k", "-1", "1.5", "16")):
+            spark.conf.set(k, v)
+        detail = rd.case_detail(rows, rd.radar(rows, ordered=False).where("supplier IS NOT NULL"))
+        assert detail.count() == 200_000
+        joined = detail.agg(F.sum(F.length("subject")))
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
 
 
 def test_text_dates_are_read(spark):
@@ -108,12 +141,14 @@ def test_radar_matches_brute_force_and_does_not_depend_on_partitions(spark):
     first = rd.radar(rows).collect()
     assert first == rd.radar(rows.repartition(17)).collect()
     assert len(first) == len(groups)
+    shown = rd.with_amount_text(rd.radar(rows, ordered=False), rd.radar_amounts(rows))
+    texts = {(r.supplier, r.buyer, r.contract_type, r.fiscal_year): r.individual_amounts for r in shown.collect()}
     for g in first:
         members = groups[(g.supplier, g.buyer, g.contract_type, g.fiscal_year)]
         amounts = [m.amount for m in members]
         assert g.n_contracts == len(members)
         assert g.total == pytest.approx(sum(amounts))
-        assert g.individual_amounts.count("€") == len(members)
+        assert texts[g.supplier, g.buyer, g.contract_type, g.fiscal_year].count("€") == len(members)
         assert ("repetidos" in g.signals) == (len(set(amounts)) < len(amounts))
         low, high = (39000, 40000) if g.contract_type == "Obras" else (14000, 15000)
         assert ("pegado" in g.signals) == any(low <= a <= high for a in amounts)
@@ -131,7 +166,7 @@ def test_priority_and_reports(spark):
     summary = one(rd.report_summary(rows, table))
     assert (summary.n_contracts, summary.n_groups, summary.n_alerts) == (3000, table.count(), len(alerts))
     assert one(rd.radar_summary(table)).n_groups == table.count()
-    assert rd.report_alert_table(table).count() == len(alerts)
+    assert rd.report_alert_table(table, rd.radar_amounts(rows)).count() == len(alerts)
 
 
 def test_treemap_bounds_the_share(spark):
