@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -46,8 +47,9 @@ _LOW, _WORD, _WORD_MASK = 31, np.uint64(32), np.uint64(0xFFFFFFFF)
 class WordEncoder:
     """Ids of a lower-casing word vocabulary by the tokenizers library, which sees each word between blanks once.
 
-    Such a vocabulary drops white space, so words between ASCII blanks are encoded independently. Words of ASCII letters
-    with punctuation after them are looked up in two parts, as the vocabulary's own pattern parts them there.
+    Such a vocabulary drops white space, so words between ASCII blanks are encoded independently. Words of letters with
+    punctuation after them are looked up in two parts, as the vocabulary's own pattern parts them there. Parts that the
+    pattern cannot part further are given to the library as one text, whose ids are cut where a word ends.
     """
 
     def __init__(self, path: str):
@@ -59,7 +61,32 @@ class WordEncoder:
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
-        self.cut = re.compile(rb"([a-z]+)([^a-z0-9'\x80-\xff]+)").fullmatch
+        self.cut = re.compile(rb"([a-z\x80-\xff]+)([^a-zA-Z0-9'\x80-\xff]+)").fullmatch
+        self.marks = re.compile(rb"[^a-zA-Z0-9'\s\x80-\xff]+").fullmatch
+        ends = [t.endswith("</w>") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])]
+        self.ends = np.array(ends, bool)
+
+    def _whole(self, part: bytes) -> bool:
+        """Whether the pattern makes one piece of it, and normalization leaves it as it is."""
+        if part.isascii():
+            return part.isalpha() or self.marks(part) is not None
+        text = part.decode()
+        return text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
+
+    def _parts(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(part, its ids)."""
+        whole = [p for p in parts if self._whole(p)]
+        rest = [p for p in parts if not self._whole(p)]
+        for at in range(0, len(whole), 4096):
+            some = whole[at:at + 4096]
+            ids = np.array(self.library.encode(b" ".join(some).decode(), add_special_tokens=False).ids, self.kind)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(some):  # not met so far; asked one by one all the same
+                rest += some
+                continue
+            raw, size = ids.tobytes(), self.kind.itemsize
+            yield from zip(some, (raw[a * size:b * size] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist())))
+        yield from zip(rest, self._library(rest))
 
     def _library(self, texts: list[bytes]) -> list[bytes]:
         out = []
@@ -80,9 +107,9 @@ class WordEncoder:
         for word in set().union(*split) - known.keys():
             low = word.lower() if word.isascii() else word
             m = self.cut(low)
-            halves[word] = m.groups() if m else (low,)
+            halves[word] = m.groups() if m and (low.isascii() or self._whole(m[1])) else (low,)
         new = list({p for both in halves.values() for p in both} - parts.keys())
-        parts.update(zip(new, self._library(new)))
+        parts.update(self._parts(new))
         for word, both in halves.items():
             known[word] = b"".join(map(parts.__getitem__, both))
         out = [b"".join(map(known.__getitem__, words)) for words in split]

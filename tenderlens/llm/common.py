@@ -41,6 +41,14 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has; case does not count."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a string or binary column holds about `size` bytes in each piece; longer texts stay whole."""
     for batch in batches:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tenderlens.llm.common import slices
+from tenderlens.llm.common import free_name, slices
 
 SIMILARITY = 0.8
 MIN_WORDS = 5
@@ -264,5 +264,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def drop_leaking(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """The rows of docs, all columns, whose document holds no item."""
-    found = find_leaks(docs, items, id_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col("_leak")), "left_anti")
+    leak = free_name(docs, "_leak")
+    found = find_leaks(docs, items, id_col, **options).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col(leak)), "left_anti")

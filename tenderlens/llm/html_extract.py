@@ -62,23 +62,28 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z0-9]+")
 
-_styles: dict[tuple[int, str, str], tuple[int, bool, bool]] = {}
+# A class such as with-sidebar names the rest of the page.
+BESIDE = set("with without has no".split())
 
+_styles: dict[tuple[int, str, str], tuple[int, bool, bool, bool]] = {}
 
-def _style(parent: int, tag: str, attrs: str) -> tuple[int, bool, bool]:
-    """(path, is no candidate, is an article) of an element below a path."""
+
+def _style(parent: int, tag: str, attrs: str) -> tuple[int, bool, bool, bool]:
+    """(path, is no candidate, is an article, is a header) of an element below a path."""
     key = (parent, tag, attrs)
     if key not in _styles:
         if len(_styles) > 100_000:
             _styles.clear()
         given = {m[0].lower(): unescape(m[1] or m[2] or m[3]).lower() for m in ATTRIBUTE.findall(attrs)} if attrs.strip() else {}
         names = " ".join(sorted(given.get("class", "").split()))
-        words = set(WORDS.findall(names + " " + given.get("id", "")))
-        # Words run together or cut by capitals are left; a class says "noise" only in a word of its own.
+        # Words run together are left: a class says "noise" only in a word of its own.
+        words = [set(WORDS.findall(name)) for name in [*names.split(), given.get("id", "")]]
+        words = set().union(*(w for w in words if not w & BESIDE))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
         never = tag in NEVER or hidden or given.get("role") in ROLES or (bool(words & NOISE) and tag not in ("html", "body", "main"))
         article = tag in ("article", "main") or given.get("role") in ("main", "article") or given.get("itemprop") == "articlebody"
-        _styles[key] = (xxhash.xxh64_intdigest(f"{parent}/{tag}.{names}") >> 1, never, article)
+        header = tag == "header" or "header" in words
+        _styles[key] = (xxhash.xxh64_intdigest(f"{parent}/{tag}.{names}") >> 1, never, article, header)
     return _styles[key]
 
 
@@ -138,11 +143,11 @@ class Page:
             for other in CLOSES.get(tag, ()):
                 self._end(other, FENCES - {"section"} if tag in ("li", "dt", "dd") else {"table", "article"})
         top = self.open[-1]
-        path, never, article = _style(top[1], tag, attrs)
+        path, never, article, header = _style(top[1], tag, attrs)
         if len(self.open) >= DEEPEST:  # what lies deeper belongs to the element there
             path = top[1]
         # A header heads the page unless it stands in an article.
-        never = never or (tag == "header" and not top[3])
+        never = never or (header and not top[3] and not article)
         if not top[2]:
             top[4].append(path)
         if attrs.rstrip().endswith("/") and tag in ("svg", "path", "use"):

@@ -27,6 +27,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tenderlens.llm.common import free_name
+
 ROUNDS = 8
 
 # Notations of personal data.
@@ -184,7 +186,9 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     found = f"transform(regexp_extract_all({text}, {pattern}, 0), m -> {each})"
     # Most texts hold neither a digit nor an @ and are passed on as they are.
     plain = f"{text} is null or not {text} rlike '[0-9@]'"
-    marked = docs.withColumn("_found", F.expr(f"if({plain}, array(), {found})"))
-    joined = (f"if(size(_found) = 0, {text}, array_join(zip_with(split({text}, {pattern}, -1), _found, "
+    hits = free_name(docs, "_found")
+    marked = docs.withColumn(hits, F.expr(f"if({plain}, array(), {found})"))
+    joined = (f"if(size({hits}) = 0, {text}, array_join(zip_with(split({text}, {pattern}, -1), {hits}, "
               "(piece, f) -> concat(piece, coalesce(f.new, ''))), ''))")
-    return marked.withColumns({text_col: F.expr(joined), count_col: F.expr("cast(size(filter(_found, f -> f.kind <> '')) as bigint)")}).drop("_found")
+    n = f"cast(size(filter({hits}, f -> f.kind <> '')) as bigint)"
+    return marked.withColumns({text_col: F.expr(joined), count_col: F.expr(n)}).drop(hits)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tenderlens.llm.common import components, slices, written
+from tenderlens.llm.common import components, free_name, slices, written
 
 SEED = 42
 RADIUS = 4
@@ -144,7 +144,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """The rows of docs, all columns, of which one stays from each group: the smallest id, then the smallest text hash."""
     key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     chosen = labelled(docs, id_col, text_col, width, radius).groupBy("root").agg(F.min(key).alias("k")).select(
-        F.col("k.i").alias("_i"), F.col("k.h").alias("_h"))
-    keyed = docs.withColumns({"_i0": F.col(id_col).cast("bigint"), "_h0": F.xxhash64(F.col(text_col).cast("string"))})
-    kept = keyed.join(chosen, keyed._i0.eqNullSafe(chosen._i) & (keyed._h0 == chosen._h), "left_semi")
-    return kept.dropDuplicates(["_i0", "_h0"]).drop("_i0", "_h0")
+        F.col("k.i").alias("chosen_id"), F.col("k.h").alias("chosen_hash"))
+    i, h = free_name(docs, "_id"), free_name(docs, "_hash")
+    keyed = docs.withColumns({i: F.col(id_col).cast("bigint"), h: F.xxhash64(F.col(text_col).cast("string"))})
+    kept = keyed.join(chosen, keyed[i].eqNullSafe(chosen.chosen_id) & (keyed[h] == chosen.chosen_hash), "left_semi")
+    return kept.dropDuplicates([i, h]).drop(i, h)

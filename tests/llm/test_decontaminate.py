@@ -67,7 +67,7 @@ def test_tables(spark):
     rows = [(1, f"before {item} after"), (2, item.upper().replace(",", " ;")), (3, "nothing of it"), (4, None), (5, ""), (6, f"{item}\n{item}"),
             (7, "é 🎉 " + other), (8, item.replace("fox", "cat").replace("lazy", "tired")), (9, "word " * 50_000 + item), (1, f"before {item} after"),
             (None, item), (10, "The quick brown fox, it seems"), (11, "the dog")]
-    docs = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id bigint, text string, item_id int, start string")
+    docs = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id bigint, text string, item_id int, _leak string")
     items = spark.createDataFrame([(1, item, 0), (2, other, 0), (3, item, 0), (4, None, 0), (5, "", 0), (6, "the dog", 0)],
                                   "item_id bigint, text string, doc_id int")
     got = d.find_leaks(docs, items).collect()

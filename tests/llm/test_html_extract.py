@@ -20,6 +20,8 @@ def test_structure():
     assert text("<article><header><h1>own</h1></header>b</article>") == "own b"
     assert text("<p>x</p><script>var a='</p><p>no';</script><style>p{}</style><!-- c <p>no --><p>y&amp;&lt;b&gt;&nbsp; z</p>") == "x y&<b> z"
     assert text("<main><p>m</p></main><p>outside</p>") == "m"
+    assert text("<div class='page-header'>x</div><div class='text with-sidebar has-comments'><div class='header'>y</div><p>z</p></div>") == "z"
+    assert text("<article><div class=entry-header>own</div>z</article>") == "own z"
     assert text("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>1<td>2<tr><td>3</table>") == "a b c d 1 2 3"
     assert text("<p hidden>no</p><p style='display: none'>no</p><p role=alert>no</p><p>yes</p>") == "yes"
 

@@ -126,7 +126,7 @@ TEXTS = [
 
 def test_by_definition(spark):
     rows = [(i, t, "x", 9) for i, t in enumerate(TEXTS)] + [(None, TEXTS[0], "x", 9), (0, TEXTS[0], "x", 9), (50, None, "x", 9)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _found2 string, n_private int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _found string, n_private int")
     out = pii.pseudonymize(docs, KEY)
     assert out.columns == docs.columns
     want = [(i, *(plain_text(t) if t is not None else (None, 0))) for i, t, *_ in rows]

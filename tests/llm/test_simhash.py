@@ -46,7 +46,7 @@ def test_documents(spark):
     long = [" ".join(rng.choices("abcdefghij", k=300)) for _ in range(6)]
     near = [t.replace("a b", "a q", 1) for t in long for _ in range(2)]
     rows = [(i if i != 3 else None, t, "zz", i) for i, t in enumerate(TEXTS + long + near)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, fp string, component_id int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _id string, chosen_id int")
     got = simhash.near_duplicates(docs).collect()
     prints = [plain_fingerprint(r[1]) for r in rows]
     roots = plain_components(sorted(set(prints)), 4)
