@@ -11,11 +11,11 @@ SF = "/root/testdata/sf0.001"
 HEADLINES = (
     "radar", "report_summary", "priority_alerts", "graph_edges", "graph_nodes", "scan_text", "feed_contracts", "facet_cascade",
     "budget_ranking", "budget_entity_detail", "spend_concentration", "amount_histogram", "territory_all_levels", "fold_text",
-    "contract_territory", "query_contracts", "radar_amounts", "radar_groups", "priority_case", "report_alert_table",
-    "feed_entries", "feed_rejects", "feed_contracts_any_amount", "feed_page_chain", "feed_page_chain_whole", "contracts_load",
-    "contracts_parquet_sink", "export_tables", "query_contracts_table", "budget_source", "manifest_source", "flag_findings",
-    "first_territory", "supplier_timeline", "case_detail", "stream_contracts", "stream_radar", "dataset_metadata",
-    "graph_filter", "parse_mixed_dates", "province_in_text", "top_supplier_contracts",
+    "contract_territory", "query_contracts", "radar_amounts", "priority_case",
+    "feed_rejects", "feed_page_chain_whole",
+    "contracts_parquet_sink", "query_contracts_table", "budget_source", "manifest_source", "flag_findings",
+    "first_territory", "supplier_timeline", "stream_contracts", "stream_radar", "dataset_metadata",
+    "graph_filter", "parse_mixed_dates", "province_in_text",
 )
 
 
