@@ -212,7 +212,8 @@ def leaks_in(index: Index, texts: list[bytes | None]) -> Iterator[tuple[int, int
         inside = min(max(at + size // 2, 0), len(start) - 1)
         for probe in {min(max(at, 0), len(start) - 1), inside, min(max(at + size - 1, 0), len(start) - 1)}:
             doc = int(np.searchsorted(first_word, probe, "right")) - 1
-            if tried.get((doc, k), -1) >= at:
+            # A start before the first word of all texts is negative.
+            if (doc, k) in tried and tried[doc, k] >= at:
                 continue
             low, high = max(at - slack, int(first_word[doc])), min(at + size + 2 * slack, int(first_word[doc + 1]))
             if high <= low:

@@ -61,6 +61,16 @@ def test_clean_documents_have_no_leaks():
     assert list(d.leaks_in(index, [" ".join(rng.choices(vocabulary, k=3000)).encode() for _ in range(20)])) == []
 
 
+def test_item_without_its_first_words_at_the_very_beginning():
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdeinorst", k=rng.randint(2, 7))) for _ in range(3000)]
+    for lost in (1, 2):
+        item, after = rng.choices(vocabulary, k=20), rng.choices(vocabulary, k=50)
+        index = d.Index([(1, " ".join(item))], 0.8, 5)
+        text = " ".join(item[lost:] + after).encode()
+        assert [(e, s) for _, _, e, s, _ in d.leaks_in(index, [text])] == [(lost, 0)]
+
+
 def test_tables(spark):
     item = "The quick brown fox, it seems, jumps over the very lazy dog again."
     other = "Naïve élan vital und größere Straßen führen nach Süden oder Osten"
