@@ -8,8 +8,9 @@ word that begins such a window is walked the same way, and equal keys propose an
 item's size, and as many words more on either side as edits are allowed, is then aligned exactly.
 
 With edits in a fifth of the words some stretch of a few words is untouched or back in step, and each word of an item
-starts a window of its own; the recall this reaches is measured in tests/llm. Items of fewer than `min_words` words are not
-searched for, as common phrases would match them.
+starts a window of its own; the recall this reaches is measured in tests/llm. Items of under ten words have too few windows
+for that. At most one edit is allowed in them, so they are looked up whole or less one word, and none is missed. Items of
+fewer than `min_words` words are not searched for, as common phrases would match them.
 
 Items are handled in blocks of bounded size, each sent to the executors once; documents are never shuffled.
 
@@ -37,6 +38,8 @@ WALKS, STEPS, KEYS, SAMPLED = 4, 14, 4, 4
 VOTES = 4
 #: A key has to reach this far from its first word, else common pairs of words would match everywhere.
 REACH = 3
+#: Items of fewer words in which at most one edit is allowed are looked up by all their words but one.
+SHORT = 10
 #: Words of the items that are sent to the executors at once.
 BLOCK_WORDS = 200_000
 
@@ -101,8 +104,18 @@ def window_keys(words: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray,
                 yield _scramble(key), stood[chosen[-1]]
 
 
+def _joined(words: np.ndarray, size: int, gap: int | None = None) -> np.ndarray:
+    """A hash of the `size` words from each word on, without the one at `gap`."""
+    n = max(0, len(words) - size + 1)
+    key = np.full(n, _MIX[2])
+    for j in range(size):
+        if j != gap:
+            key = (key ^ (key >> np.uint64(31))) * _MIX[0] + words[j:j + n]
+    return _scramble(key)
+
+
 class Index:
-    """Keys of all windows of a block of items."""
+    """Keys of all windows of a block of items; of short items, the hashes of their words."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], similarity: float, min_words: int):
         by_words: dict[tuple[bytes, ...], list] = {}
@@ -114,12 +127,17 @@ class Index:
         self.allowed = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
         self.slack = np.array(self.allowed, np.int64)
         keys, owners, offsets, firsts = [], [], [], []
+        #: of short items, by (words of the stretch of text, the one of them left out): (hash, item)
+        short: dict[tuple[int, int | None], list[tuple[int, int]]] = {}
         for k, words in enumerate(self.words):
             text = b" ".join(words)
             h = word_hashes(text, *word_bounds(text))
+            firsts.append(h)
+            if len(h) < SHORT and self.allowed[k] <= 1:
+                _enter_short(short, k, h, self.allowed[k])
+                continue
             at = np.arange(len(h), dtype=np.int32)
             padded = np.concatenate([h, np.zeros(1, np.uint64)])  # where the item ends, no key goes on
-            firsts.append(h)
             for key, stood in window_keys(padded, at):
                 good = (stood < len(h)) & (stood - at >= REACH)
                 keys.append(key[good])
@@ -133,9 +151,26 @@ class Index:
         self.offset = np.concatenate([np.zeros(0, np.int32), *offsets])[order]
         self.first = _bits(np.concatenate([none, *firsts]))
         self.maybe = _bits(self.key)
+        self.short = {}
+        for form, entries in short.items():
+            entries.sort()
+            self.short[form] = np.array([h for h, _ in entries], np.uint64), np.array([k for _, k in entries], np.int64)
+        self.maybe_short = _bits(np.concatenate([none, *(hashes for hashes, _ in self.short.values())]))
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
-        """Rows (item, word of the text at which it would begin), unique, that enough keys agree on within the edits."""
+        """Rows (item, word of the text at which it would begin), unique and in order: those of short and of other items."""
+        found = [self._voted(words)]
+        for (size, gap), (hashes, owners) in self.short.items():
+            key = _joined(words, size, gap)
+            hit = np.flatnonzero(self.maybe_short[key >> np.uint64(42)])
+            left = np.searchsorted(hashes, key[hit], "left")
+            n = np.searchsorted(hashes, key[hit], "right") - left
+            entry = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found.append(np.stack([owners[entry], np.repeat(hit, n)], 1))
+        return np.unique(np.concatenate(found), axis=0) if self.short else found[0]
+
+    def _voted(self, words: np.ndarray) -> np.ndarray:
+        """Rows that enough keys agree on within the edits."""
         at = np.flatnonzero(self.first[words >> np.uint64(42)]).astype(np.int32)
         found = []
         if len(at) and len(self.key):
@@ -158,6 +193,25 @@ class Index:
         return np.stack([owner[kept], (spot[kept] & ((1 << 40) - 1)) - (1 << 32)], 1)
 
 
+def _enter_short(short: dict, k: int, words: np.ndarray, allowed: int) -> None:
+    """Every form of text that is the item but for the allowed edit: its hash under the size and gap that show it."""
+    m = len(words)
+
+    def enter(size: int, gap: int | None, kept: np.ndarray) -> None:
+        short.setdefault((size, gap), []).append((int(_joined(kept, len(kept))[0]), k))
+
+    if not allowed or m == 1:
+        enter(m, None, words)
+        return
+    for i in range(m):
+        rest = np.delete(words, i)
+        enter(m - 1, None, rest)  # a word lacks; with i at either end also the whole item, or another word there
+        if 0 < i < m - 1:
+            enter(m, i, rest)  # another word
+        if i:
+            enter(m + 1, i, words)  # a word more
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     table = np.zeros(1 << 22, bool)
     table[values >> np.uint64(42)] = True

@@ -54,6 +54,21 @@ def test_recall(share):
     assert found >= 0.95 * len(items)
 
 
+@pytest.mark.parametrize("size", range(1, 10))
+def test_short_items_are_all_found(size):
+    rng = random.Random(size)
+    vocabulary = ["".join(rng.choices("abcdeinorst", k=rng.randint(2, 7))) for _ in range(3000)] + ["the", "of", "and"] * 300
+    for n in {0, size // 5}:
+        items = [rng.choices(vocabulary, k=size) for _ in range(100)]
+        index = d.Index([(i, " ".join(w)) for i, w in enumerate(items)], 0.8, 1)
+        for i, words in enumerate(items):
+            around = rng.choices(vocabulary, k=60)
+            at = rng.choice([0, 60, rng.randrange(61)])
+            text = [w.encode() for w in around[:at] + edited(rng, words, vocabulary, n) + around[at:]]
+            want = {k for k, w in enumerate(items) if plain_distance([x.encode() for x in w], text) <= size // 5}
+            assert i in want and want == {j for _, k, *_ in d.leaks_in(index, [b"x y", b" ".join(text), b"z"]) for j in index.ids[k]}
+
+
 def test_clean_documents_have_no_leaks():
     rng = random.Random(8)
     vocabulary = ["".join(rng.choices("abcdeinorst", k=rng.randint(2, 6))) for _ in range(800)]
