@@ -289,12 +289,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                item_text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS,
                block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, edits, n_words (of the item), similarity, start, end (code points) of each leaked passage."""
+    return _passages(docs, items, id_col, text_col, item_col, item_text_col, similarity, min_words, block_words).drop("text_hash")
+
+
+def _passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+              item_text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS,
+              block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of find_leaks with text_hash, that of the whole document."""
     spark = docs.sparkSession
     asked = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     total = asked.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     blocks = 1 + total // block_words
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    schema = "doc_id bigint, item_id bigint, edits int, n_words int, similarity double, start int, end int"
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
+    schema = "doc_id bigint, text_hash bigint, item_id bigint, edits int, n_words int, similarity double, start int, end int"
 
     def search(block: int) -> DataFrame:
         rows = asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
@@ -302,23 +310,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 1, 2 << 20):
-                ids, raw, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+                ids, raw, hashes, out = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), []
                 for doc, k, edits, s, e in leaks_in(index.value, raw):
                     size = len(index.value.words[k])
                     chars = len(raw[doc][:s].decode())
-                    out += [(ids[doc], item, edits, size, 1 - edits / size, chars, chars + len(raw[doc][s:e].decode()))
+                    out += [(ids[doc], hashes[doc], item, edits, size, 1 - edits / size, chars, chars + len(raw[doc][s:e].decode()))
                             for item in index.value.ids[k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, (
-                    pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()))],
-                    ["doc_id", "item_id", "edits", "n_words", "similarity", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, (
+                    pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()))],
+                    ["doc_id", "text_hash", "item_id", "edits", "n_words", "similarity", "start", "end"])
 
         return texts.mapInArrow(work, schema)
 
     return reduce(DataFrame.unionAll, [search(b) for b in range(blocks)])
 
 
-def drop_leaking(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The rows of docs, all columns, whose document holds no item."""
-    leak = free_name(docs, "_leak")
-    found = find_leaks(docs, items, id_col, **options).select(F.col("doc_id").alias(leak)).distinct()
-    return docs.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col(leak)), "left_anti")
+def drop_leaking(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of docs, all columns, whose own text holds no item: ids may be null or repeat."""
+    leak, leak_hash = free_name(docs, "_leak"), free_name(docs, "_leak_hash")
+    found = _passages(docs, items, id_col, text_col, **options).select(
+        F.col("doc_id").alias(leak), F.col("text_hash").alias(leak_hash)).distinct()
+    return docs.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col(leak))
+                     & (F.xxhash64(F.col(text_col).cast("string")) == F.col(leak_hash)), "left_anti")

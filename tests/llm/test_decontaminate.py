@@ -107,3 +107,12 @@ def test_tables(spark):
     blocks = d.find_leaks(docs, items, block_words=10)
     assert sorted(map(tuple, blocks.collect()), key=str) == sorted(map(tuple, got), key=str)
     assert d.find_leaks(docs.where("false"), items).count() == 0 and d.find_leaks(docs, items.where("false")).count() == 0
+
+
+def test_clean_rows_stay_where_ids_are_null_or_repeat(spark):
+    item = "The quick brown fox, it seems, jumps over the very lazy dog again."
+    rows = [(None, item), (None, "a clean text"), (None, None), (1, "before " + item), (1, "also clean"), (2, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, body string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = d.drop_leaking(docs, items, text_col="body").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
