@@ -34,7 +34,25 @@ ROUNDS = 8
 # Notations of personal data.
 _NOT_BEFORE, _NOT_AFTER = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 _EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
-_IBAN = _NOT_BEFORE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _NOT_AFTER
+#: Countries by the length of their IBANs.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    """An IBAN of its country's own length, else a candidate of any length that ends before a listed country's next one."""
+    own = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+                   for n, names in sorted(_IBAN_LENGTHS.items(), reverse=True))
+    listed = "|".join(sorted(set(" ".join(_IBAN_LENGTHS.values()).split())))
+    group = f"(?! (?:{listed})[0-9]{{2}} ?[A-Z0-9]{{4}}) ?[A-Z0-9]"
+    other = f"[A-Z]{{2}}[0-9]{{2}}(?:{group}{{4}}){{2,7}}(?:{group}{{1,3}})?"
+    return f"{_NOT_BEFORE}(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{own}){_NOT_AFTER}|{other}{_NOT_AFTER})"
+
+
+_IBAN = _iban()
 _SSN = _NOT_BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _NOT_AFTER
 _IP = r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])"
 _ISO = _NOT_BEFORE + r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}" + _NOT_AFTER

@@ -160,3 +160,16 @@ def test_kept_valid():
         assert luhn(plain(m)[1]) % 10 == 0 and plain(m)[1] != m
     new = plain("GB82 WEST 1234 5698 7654 32")[1].replace(" ", "")
     assert mod97(new[4:] + new[:4]) == 1 and new[:2] == "GB"
+
+
+def test_ibans_before_more_capitals_or_digits(spark):
+    ibans = ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "AT611904300234573201", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034",
+             "PL61 1090 1014 0000 0712 1981 2874", "LT12 1000 0111 0100 1000", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00", "MT84 MALT 0110 0001 2345 MTLC AST0 01S",
+             "GB82 WEST 1234 5698 7654 32"]
+    rows = [f"{iban}{after}" for iban in ibans for after in (" EUR", " 12", " 2024", " BANK", " A", ", x", "")]
+    rows += ["AB12 " + iban for iban in ibans]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.text, r.n_private) for r in pii.pseudonymize(docs, KEY).collect()}
+    for i, t in enumerate(rows):
+        iban = next(x for x in ibans if x in t)
+        assert got[i] == (t.replace(iban, plain(iban)[1]), 1) and iban not in got[i][0]
