@@ -2,7 +2,7 @@
 
 Pages of one host share templates. Their DOMs are merged into one tree per host: an element is known by the path of tags and
 classes that leads to it, and holds the child sequences (styles) and text blocks (contents) it was seen with, each with
-its number of pages. A sequence or block that differs from page to page carries information, one that stays the same
+its number of pages, copies of a page counted once. A sequence or block that differs from page to page carries information, one that stays the same
 is template; with n of the m pages of an element,
 
     presentation importance = -sum p log_m p over its child sequences
@@ -10,7 +10,7 @@ is template; with n of the m pages of an element,
     importance              = (1 - 0.9 ** l) * presentation + 0.9 ** l * content,  l child sequences
 
 A branch all of whose elements are below the threshold, and a block whose own importance is below it, go from every page
-of the host, unless nothing would be left of a page.
+of the host, unless nothing would be left of a page. Nothing goes from a marked article.
 
 What tags, roles and class names state plainly is taken as stated: menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are no candidates at all, and where a page marks its article (or main part)
@@ -20,16 +20,18 @@ Trees are folded as counts by (host, element, feature), in each task before the
 is a few rows more, not a group in one task. Only what is low reaches the pages again, a few entries per host.
 
 Defined cases: a null or empty html and pages without text give an empty text; broken, unclosed and truncated markup is read
-as far as it goes; null urls form one host; repeated pages count each; other columns are not read.
+as far as it goes; null urls form one host; repeated pages get a row each; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -65,11 +67,14 @@ WORDS = re.compile(r"[a-z0-9]+")
 # A class such as with-sidebar names the rest of the page.
 BESIDE = set("with without has no".split())
 
-_styles: dict[tuple[int, str, str], tuple[int, bool, bool, bool]] = {}
+#: How surely a block belongs to the article: in the main part of a page, in a marked article.
+MAIN, ARTICLE = 1, 2
 
+_styles: dict[tuple[int, str, str], tuple[int, bool, int, bool]] = {}
 
-def _style(parent: int, tag: str, attrs: str) -> tuple[int, bool, bool, bool]:
-    """(path, is no candidate, is an article, is a header) of an element below a path."""
+
+def _style(parent: int, tag: str, attrs: str) -> tuple[int, bool, int, bool]:
+    """(path, is no candidate, 0 or MAIN or ARTICLE, is a header) of an element below a path."""
     key = (parent, tag, attrs)
     if key not in _styles:
         if len(_styles) > 100_000:
@@ -81,21 +86,22 @@ def _style(parent: int, tag: str, attrs: str) -> tuple[int, bool, bool, bool]:
         words = set().union(*(w for w in words if not w & BESIDE))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
         never = tag in NEVER or hidden or given.get("role") in ROLES or (bool(words & NOISE) and tag not in ("html", "body", "main"))
-        article = tag in ("article", "main") or given.get("role") in ("main", "article") or given.get("itemprop") == "articlebody"
+        article = (ARTICLE if tag == "article" or given.get("role") == "article" or given.get("itemprop") == "articlebody"
+                   else MAIN if tag == "main" or given.get("role") == "main" else 0)
         header = tag == "header" or "header" in words
         _styles[key] = (xxhash.xxh64_intdigest(f"{parent}/{tag}.{names}") >> 1, never, article, header)
     return _styles[key]
 
 
 class Page:
-    """Blocks of a page in order: (paths from the root, text, inside an article); the child sequences of its elements."""
+    """Blocks of a page in order: (paths from the root, text, 0 or MAIN or ARTICLE); the child sequences of its elements."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[tuple[int, ...], str, bool]] = []
+        self.blocks: list[tuple[tuple[int, ...], str, int]] = []
         self.sequences: list[tuple[int, int]] = []
         self.above: dict[int, tuple[int, ...]] = {}
-        #: open elements: tag, path, no candidate, inside an article, its children
-        self.open: list[tuple[str, int, bool, bool, list[int]]] = [("", 0, False, False, [])]
+        #: open elements: tag, path, no candidate, 0 or MAIN or ARTICLE, its children
+        self.open: list[tuple[str, int, bool, int, list[int]]] = [("", 0, False, 0, [])]
         self.text: list[str] = []
         at = 0
         while at < len(html):
@@ -152,7 +158,7 @@ class Page:
             top[4].append(path)
         if attrs.rstrip().endswith("/") and tag in ("svg", "path", "use"):
             return
-        self.open.append((tag, path, top[2] or never, (top[3] or article) and not never, []))
+        self.open.append((tag, path, top[2] or never, 0 if never else max(top[3], article), []))
 
     def _end(self, tag: str, fences: set[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -179,8 +185,15 @@ class Page:
 
     def candidates(self) -> list[tuple[tuple[int, ...], str]]:
         """The blocks of the articles, or all where no article is marked."""
+        return [(paths, text) for paths, text, _ in self._candidates()]
+
+    def _candidates(self) -> list[tuple[tuple[int, ...], str, int]]:
         marked = any(inside for _, _, inside in self.blocks)
-        return [(paths, text) for paths, text, inside in self.blocks if inside or not marked]
+        return [b for b in self.blocks if b[2] or not marked]
+
+    def content(self) -> int:
+        """A hash of the candidates: copies of a page share it."""
+        return hash_of(repr(self.candidates()))
 
     def features(self) -> set[tuple[int, int, int]]:
         """(element, kind, feature), once each: 0 a child sequence, 1 a block, 2 the page itself, 3 an element above."""
@@ -196,10 +209,10 @@ class Page:
         return out
 
     def main_text(self, low: set[int]) -> str:
-        """The candidates without low branches and blocks."""
-        found = self.candidates()
-        kept = [t for paths, t in found if hash_of(t) not in low and low.isdisjoint(paths)] if low else [t for _, t in found]
-        return " ".join(kept or [t for _, t in found])
+        """The candidates without low branches and blocks; those of a marked article all stay."""
+        found = self._candidates()
+        kept = [t for paths, t, inside in found if inside == ARTICLE or not low or (hash_of(t) not in low and low.isdisjoint(paths))]
+        return " ".join(kept or [t for _, t, _ in found])
 
 
 def hash_of(text: str) -> int:
@@ -212,17 +225,30 @@ def _host(url: str) -> object:
 
 def low_parts(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """host, low: the elements and blocks of each host's style tree below the threshold; hosts without any are left out."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            held: Counter = Counter()
+            pages: dict[tuple[str, int], bytes] = {}
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.update((host, *f) for f in Page(html or "").features())
+                page = Page(html or "")
+                key, packed = (host, page.content()), zlib.compress(np.array(sorted(page.features()), np.int64).tobytes(), 1)
+                pages[key] = min(packed, pages.get(key, packed))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in pages], pa.string()), pa.array([c for _, c in pages], pa.int64()),
+                                              pa.array(list(pages.values()), pa.binary())], ["host", "content", "features"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1, 1 << 20):
+            held: Counter = Counter()
+            for host, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.update((host, *f) for f in np.frombuffer(zlib.decompress(packed), np.int64).reshape(-1, 3).tolist())
             rows = list(zip(*held)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int8()),
                                               pa.array(rows[3], pa.int64()), pa.array(list(held.values()), pa.int64())], names)
 
     names = ["host", "element", "kind", "feature", "n"]
-    seen = pages.select(_host(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(
+    # Copies of a page fold in each task, so the smallest of their features stands for all.
+    distinct = pages.select(_host(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(
+        read, "host string, content bigint, features binary").groupBy("host", "content").agg(F.min("features").alias("features"))
+    seen = distinct.select("host", "features").mapInArrow(
         count, "host string, element bigint, kind tinyint, feature bigint, n bigint")
     tree = written(seen.groupBy("host", "element", "kind", "feature").agg(F.sum("n").alias("n")), "style-tree")
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))

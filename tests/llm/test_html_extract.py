@@ -85,3 +85,18 @@ def test_templates(spark):
     want = plain_low([("site.example", m) for i, _, m in rows if i < 30])
     assert want and all(hash_of(t) in low[host] for host, t in want)
     assert extract(pages.where("false")).count() == 0
+
+
+def test_copies_that_share_a_host_lose_nothing(spark):
+    marked = "<article><p>a story</p><blockquote>quoted</blockquote><table><tr><td>cell</td></tr></table></article>"
+    bare = "<div class=text><p>another story</p></div><div class=once><p>of its own class</p></div>"
+    rows = [(i, f"<div class=text><p>story {i}</p></div><div class=end><p>All rights</p></div>") for i in range(20)]
+    rows += [(100 + i, marked) for i in range(10)] + [(200 + i, bare) for i in range(10)]
+    # Statistics never reach into a marked article, distinct pages or not.
+    rows += [(300 + i, f"<article><p>text {i}</p><h2>Further reading</h2></article>") for i in range(12)]
+    pages = spark.createDataFrame([(i, "http://host.example/", m) for i, m in rows], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    assert {got[i] for i, m in rows if m == marked} == {"a story quoted cell"}
+    assert {got[i] for i, m in rows if m == bare} == {"another story of its own class"}
+    assert all(got[300 + i] == f"text {i} Further reading" for i in range(12))
+    assert all(got[i] == f"story {i}" for i in range(20))
