@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlens.llm import ans, bpe, chat, ctph, decontaminate, html_extract, langid, pii, simhash, token_counts
+from tenderlens.llm import (ans, bpe, chat, ctph, decontaminate, html_extract, langid, phrases, pii, prefix_trie, quality, simhash,
+                            token_counts)
 from tenderlens.llm.common import table, written
+from tenderlens.llm.sql import SQL  # noqa: F401  registered beside the queries
 
 
 #: A production run takes its key from a secret store; results here must be repeatable.
@@ -70,6 +72,22 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(examples)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_collocations(table(spark, sf_dir, "documents")).withColumnRenamed("grp", "lang")
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own_from = F.crc32(F.col("conv_id").cast("string")) % 9
+    return prefix_trie.prefix_trie(prefix_trie.forked(
+        prefix_trie.conversations(table(spark, sf_dir, "conversations")), 5, own_from))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted", "n_passages")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,8 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
+    "op13_quality_classifier": op13_quality_classifier,
     "pipeline": pipeline,
 }
-
-#: None of the ten can be expressed in SQL without its method; tests/llm holds each against a brute-force version.
-SQL: dict[str, str] = {}
