@@ -4,8 +4,10 @@ A sample of the documents (one in `share`) is mined level by level with a lowere
 set proposed; its negative border are the phrases outside it whose shorter parts all lie in it. One pass over all documents
 then counts the proposed and the border exactly: at each place of a text a phrase is counted if both its parts, without
 the last and without the first word, are proposed. Occurrences of a phrase are never more than those of its parts, so what
-this pass leaves out can only be frequent if a border phrase is. Those border failures join the proposed, and a further
-pass counts just the phrases that this brings in, until a pass has no failures. The outcome never depends on the sample.
+this pass leaves out can only be frequent if a border phrase is. Those border failures trigger a further pass, which counts
+every phrase with a failure inside it whose other parts are proposed, and so on until a pass has no failures. What a pass
+leaves uncounted holds a failure not yet followed up, so one such pass closes the search: its phrases need no border of
+their own. The outcome never depends on the sample, which is itself mined level by level.
 
 Tasks know the proposed set as a Bloom filter of fixed size, the only thing broadcast. A false positive counts as proposed
 everywhere, in the counting and in the search for failures, so it costs counts and never changes one. Texts are cut into
@@ -73,16 +75,18 @@ def phrase_hashes(groups: list[str], phrases: list[str]) -> np.ndarray:
     return out
 
 
-def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return [(h + np.uint64(r) * step) & np.uint64(bits - 1) for r in range(PROBES)]
+def _slot(h: np.ndarray, r: int, bits: int) -> np.ndarray:
+    return (h + np.uint64(r) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
 
 
 def holds(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which hashes the filter lets through."""
-    out = np.ones(len(h), bool)
-    for s in _slots(h, len(filter_) * 8):
-        out &= (filter_[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    at = np.arange(len(h))
+    for r in range(PROBES):  # each probe looks only at what the ones before let through
+        s = _slot(h[at], r, len(filter_) * 8)
+        at = at[(filter_[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(h), bool)
+    out[at] = True
     return out
 
 
@@ -140,24 +144,40 @@ class Words:
         self.follows = piece[1:] == piece[:-1] if self.n else np.zeros(0, bool)
         self.hashes = np.fromiter(map(_word_hash, self.words.to_pylist()), np.uint64, len(self.words))
 
-    def eligible(self, filter_: np.ndarray, seed: np.uint64, most: int) -> list[np.ndarray]:
-        """By length from 2 words on: at which places stands a phrase whose parts are all proposed."""
+    def eligible(self, proposed: np.ndarray, failures: np.ndarray | None, seed: np.uint64, most: int) -> list[np.ndarray]:
+        """By length from 2 words on: at which places stands a phrase whose parts are all proposed.
+
+        With failures, parts that are one or hold one count as proposed too, and only phrases with such a part are named:
+        none of them can be eligible without the failures.
+        """
         out = []
+
+        def known(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            inside = holds(proposed, h)
+            failed = np.zeros(len(h), bool)
+            if failures is not None:
+                rest = np.flatnonzero(~inside)
+                failed[rest] = holds(failures, h[rest])
+            return inside | failed, failed
+
+        # A word's place in the filters is looked up once per distinct word.
+        good, bad = (v[self.ids] for v in known(_extend(np.full(len(self.hashes), seed), self.hashes)))
         word = self.hashes[self.ids]
-        # A word's place in the filter is looked up once per distinct word.
-        proposed = holds(filter_, _extend(np.full(len(self.hashes), seed), self.hashes))[self.ids]
         h = _extend(np.full(self.n, seed), word)
         run = np.ones(self.n, bool)
         for k in range(2, most + 1):
             m = max(self.n - k + 1, 0)
             run = run[:m] & self.follows[k - 2:][:m]
-            can = run & proposed[:m] & proposed[1:][:m]
-            out.append(can)
+            can = run & good[:m] & good[1:][:m]
+            holding = can & (bad[:m] | bad[1:][:m])
+            out.append(can if failures is None else holding)
             if k < most:
                 h = _extend(h[:m], word[k - 1:][:m])
-                proposed = np.zeros(m, bool)
                 at = np.flatnonzero(can)
-                proposed[at] = holds(filter_, h[at])
+                good, bad = np.zeros(m, bool), holding.copy()
+                good[at], failed = known(h[at])
+                bad[at] |= failed
+                good |= holding
         return out
 
     def counted(self, at: np.ndarray, k: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,44 +208,43 @@ class Words:
                                            pa.scalar(b" ", pa.large_binary())) if k > 1 else self.words.take(pa.array(self.ids[at]))
 
 
-_COUNTS = "grp string, k int, phrase string, f bigint"
 _ROWS = 1 << 16
 
 
-def _rows(group: str, k: int, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(group: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phrase and group as one string, as a phrase has no line end: a key of one column is cheaper to sum over."""
+    keys = pc.binary_join_element_wise(phrases, pa.scalar(group.encode(), pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
     for i in range(0, len(counts), _ROWS):
-        p = phrases.slice(i, _ROWS).cast(pa.large_string()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([group] * len(p), pa.string()), pa.array(np.full(len(p), k, np.int32)), p,
-                                          pa.array(counts[i:i + _ROWS].astype(np.int64))], ["grp", "k", "phrase", "f"])
+        key = keys.slice(i, _ROWS).cast(pa.large_string()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([key, pa.array(counts[i:i + _ROWS].astype(np.int64))], ["key", "f"])
 
 
-def _count_chunk(group: str, data: bytes, lead: int, most: int, filter_: np.ndarray, before: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _count_chunk(group: str, data: bytes, lead: int, most: int, proposed: np.ndarray, failures: np.ndarray | None = None,
+                 words_too: bool = True) -> Iterator[pa.RecordBatch]:
     w = Words(data)
     if w.n <= lead:
         return
-    seed = _seed(group)
     with np.errstate(over="ignore"):
-        now = w.eligible(filter_, seed, most)
-        old = w.eligible(before, seed, most) if before is not None else None
-    if before is None:
-        yield from _rows(group, 0, pa.array([b""], pa.large_binary()), np.array([w.n - lead]))
+        named = w.eligible(proposed, failures, _seed(group), most)
+    if words_too:
+        yield from _rows(group, pa.array([b""], pa.large_binary()), np.array([w.n - lead]))
         counts = np.bincount(w.ids[lead:], minlength=len(w.words))
         seen = np.flatnonzero(counts)
-        yield from _rows(group, 1, w.words.take(pa.array(seen)), counts[seen])
-    for k, can in enumerate(now, 2):
-        at, counts = w.counted(np.flatnonzero(can if old is None else can & ~old[k - 2]), k, lead)
+        yield from _rows(group, w.words.take(pa.array(seen)), counts[seen])
+    for k, can in enumerate(named, 2):
+        at, counts = w.counted(np.flatnonzero(can), k, lead)
         if len(at):
-            yield from _rows(group, k, w.phrases(at, k), counts)
+            yield from _rows(group, w.phrases(at, k), counts)
 
 
-def counts(docs: DataFrame, most: int, filter_, before=None) -> DataFrame:
-    """(grp, k, phrase, f) of every phrase that is eligible under the filter (a broadcast) and was not under the one before.
+def counts(docs: DataFrame, least: int, most: int, proposed, failures=None, words_too: bool = True) -> DataFrame:
+    """(grp, k, phrase, f) of every phrase that is eligible and occurs `least` times; proposed and failures are broadcasts.
 
-    docs has grp and text (binary). Without a filter before, words (k = 1) and each group's number of words (k = 0, phrase
-    empty) are counted too.
+    docs has grp and text (binary). With words_too, words (k = 1) and each group's number of words (k = 0, phrase empty, of
+    whatever size) are counted as well.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, old = filter_.value, None if before is None else before.value
+        filters = proposed.value, None if failures is None else failures.value
         for b in slices(batches, 1, CHUNK_BYTES):
             by: dict[str, list[bytes]] = {}
             for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -233,9 +252,13 @@ def counts(docs: DataFrame, most: int, filter_, before=None) -> DataFrame:
                     by.setdefault(g, []).append(t)
             for g, texts in by.items():
                 for data, lead in chunks(iter(texts)):
-                    yield from _count_chunk(g, data, lead, most, new, old)
+                    yield from _count_chunk(g, data, lead, most, *filters, words_too)
 
-    return docs.mapInArrow(work, _COUNTS).groupBy("grp", "k", "phrase").agg(F.sum("f").alias("f"))
+    sums = docs.mapInArrow(work, "key string, f bigint").groupBy("key").agg(F.sum("f").alias("f")).where(
+        (F.col("f") >= least) | F.col("key").startswith("\n"))
+    phrase = F.substring_index("key", "\n", 1)
+    return sums.select(F.expr("substring(key, instr(key, '\n') + 1)").alias("grp"), F.when(phrase == "", 0).otherwise(
+        F.length(phrase) - F.length(F.translate(phrase, " ", "")) + 1).alias("k"), phrase.alias("phrase"), "f")
 
 
 def _filter_of(phrases: DataFrame, bits: int, onto: np.ndarray | None = None) -> np.ndarray:
@@ -246,7 +269,7 @@ def _filter_of(phrases: DataFrame, bits: int, onto: np.ndarray | None = None) ->
         for b in batches:
             h = phrase_hashes(b.column(0).to_pylist(), b.column(1).to_pylist())
             with np.errstate(over="ignore"):
-                s = np.concatenate(_slots(h, bits)).astype(np.int64)
+                s = np.concatenate([_slot(h, r, bits) for r in range(PROBES)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((s // per).astype(np.int32)), pa.array((s % per).astype(np.int32))], ["segment", "bit"])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,30 +302,40 @@ def _outside(frequent: DataFrame, filter_, most: int) -> DataFrame:
     return frequent.where(F.col("k").between(1, most - 1)).select("grp", "phrase").mapInArrow(work, "grp string, phrase string")
 
 
-def closed(docs: DataFrame, least: int, most: int, proposed: np.ndarray) -> tuple[list[DataFrame], np.ndarray, int]:
-    """(written tables of frequent phrases, filter of all of them, passes over docs), from the proposed phrases onwards.
+def _level_by_level(docs: DataFrame, least: int, most: int, bits: int) -> np.ndarray:
+    """The filter of all phrases of fewer than `most` words that occur `least` times."""
+    context, found = docs.sparkSession.sparkContext, np.zeros(bits // 8, np.uint8)
+    for k in range(1, most):
+        filter_ = context.broadcast(found)
+        # Phrases up to k - 1 words are in the filter already, so those of k words are all that is new.
+        level = written(counts(docs, least, k, filter_, words_too=k == 1).where(F.col("k") == k), "phrase-level")
+        found = _filter_of(level, bits, found)
+        filter_.unpersist()
+        drop_written(level)
+    return found
 
-    Nothing proposed makes this a search level by level.
-    """
+
+def closed(docs: DataFrame, least: int, most: int, proposed: np.ndarray) -> tuple[list[DataFrame], int]:
+    """(written tables of frequent phrases, passes over docs) from the proposed phrases on."""
     context = docs.sparkSession.sparkContext
-    tables, filter_, before, passes = [], context.broadcast(proposed), None, 0
+    tables, passes, failures = [], 0, None
+    filter_ = context.broadcast(proposed)
     while True:
-        # The sum of all words stands in the table whatever it is: groups of few words are told apart from none.
-        new = written(counts(docs, most, filter_, before).where((F.col("f") >= least) | (F.col("k") == 0)), "phrase-counts")
-        passes += 1
+        new = written(counts(docs, least, most, filter_, failures, words_too=passes == 0), "phrase-counts")
         tables.append(new)
-        failures = written(_outside(new, filter_, most), "border-failures")
-        if before is not None:
-            before.unpersist()
-        done = failures.isEmpty()
-        if not done:
-            wider = _filter_of(failures, len(filter_.value) * 8, filter_.value)
-            before, filter_ = filter_, context.broadcast(wider)
-        drop_written(failures)
-        if done:
-            last = filter_.value
-            filter_.unpersist()
-            return tables, last, passes
+        passes += 1
+        if failures is not None:  # whatever holds a failure is counted now
+            failures.unpersist()
+            break
+        failed = written(_outside(new, filter_, most), "border-failures")
+        more = not failed.isEmpty()
+        if more:
+            failures = context.broadcast(_filter_of(failed, len(proposed) * 8))
+        drop_written(failed)
+        if not more:
+            break
+    filter_.unpersist()
+    return tables, passes
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, most: int = 4, share: int = 8, group_col: str = "lang", text_col: str = "text",
@@ -314,12 +347,10 @@ def frequent_phrases(docs: DataFrame, least: int = 30, most: int = 4, share: int
                        F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(share)).alias("draw"))
     whole = rows.select("grp", "text")
     sample = written(rows.where("draw = 0").select("grp", "text"), "phrase-sample")
-    lowered = max(2, -(-least // (2 * share)))
-    tried, proposed, _ = closed(sample, lowered, most, np.zeros(bits // 8, np.uint8))
-    for t in [*tried, sample]:
-        drop_written(t)
-    tables, _, passes = closed(whole, least, most, proposed)
-    return tables, passes
+    lowered = max(2, -(-3 * least // (4 * share)))
+    proposed = _level_by_level(sample, lowered, most, bits)
+    drop_written(sample)
+    return closed(whole, least, most, proposed)
 
 
 def _wide(c: Column) -> Column:

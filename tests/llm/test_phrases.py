@@ -84,11 +84,25 @@ def test_border_failures_take_more_passes(spark):
     rows = [("en", "a b c d")] * 30
     docs = frame(spark, rows)
     tables, passes = phrases.frequent_phrases(docs, share=1_000_000, bits=1 << 16)
-    assert passes == 4 and {r.phrase for t in tables for r in t.where("k = 4").collect()} == {"a b c d"}
+    assert passes == 2 and {r.phrase for t in tables for r in t.where("k = 4").collect()} == {"a b c d"}
     _, passes = phrases.frequent_phrases(docs, share=1, bits=1 << 16)
     assert passes == 1
 
 
+@pytest.mark.parametrize("drop", [0.1, 0.5, 0.9])
+def test_one_expansion_closes(spark, drop):
+    """Whatever is taken out of the proposed set, no frequent phrase is lost and none is counted twice."""
+    rng, rows = random.Random(drop), corpus(9) * 2
+    docs = frame(spark, rows).select(F.coalesce("lang", F.lit("und")).alias("grp"), F.col("text").cast("binary").alias("text"))
+    _, f = plain_counts(rows)
+    want = {(g, " ".join(p)): c for g, count in f.items() for p, c in count.items() if c >= 30}
+    some = [(g, p) for g, p in sorted(want) if rng.random() > drop] or [("en", "the")]
+    proposed = phrases._filter_of(spark.createDataFrame(some, "grp string, phrase string"), 1 << 16)
+    tables, _ = phrases.closed(docs, 30, 4, proposed)
+    got = [(r.grp, r.phrase, r.f) for t in tables for r in t.where("k > 0").collect()]
+    assert sorted(got) == sorted((g, p, c) for (g, p), c in want.items())
+
+
 def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     monkeypatch.setattr(phrases, "CHUNK_BYTES", 40)
     rng = random.Random(1)
@@ -96,9 +110,11 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     none = np.full(1 << 10, 255, np.uint8)  # everything is proposed
     got = defaultdict(Counter)
     for data, lead in phrases.chunks(iter([text.encode(), b"aa b", text[:500].encode()])):
-        for batch in phrases._count_chunk("g", data, lead, 4, none, None):
+        for batch in phrases._count_chunk("g", data, lead, 4, none):
             for r in batch.to_pylist():
-                got[r["k"]][r["phrase"]] += r["f"]
+                phrase, group = r["key"].split("\n")
+                assert group == "g"
+                got[len(phrase.split(" ")) if phrase else 0][phrase] += r["f"]
     n, f = plain_counts([("g", text), ("g", "aa b"), ("g", text[:500])])
     assert got[0][""] == n["g"]
     for k in range(1, 5):
