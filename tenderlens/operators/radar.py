@@ -30,16 +30,16 @@ COLUMNS = (
 )
 
 
-def folded_amounts(contracts: DataFrame) -> DataFrame:
-    """One row per group and amount: how often, their exact total, first and last date."""
+def folded_amounts(contracts: DataFrame, *also: str) -> DataFrame:
+    """One row per group and amount (and value of the columns in ``also``): how often, their exact total, first and last date."""
     date = F.col("award_date") if "award_date" in contracts.columns else F.lit(None).cast("date")
     if dict(contracts.dtypes).get("award_date") == "string":
         date = parse_mixed_dates(date)
     rows = contracts.select(
         F.col("supplier_key").alias("supplier"), "buyer", "contract_type", "fiscal_year",
-        F.col("amount").cast("double").alias("amount"), date.alias("award_date"),
+        F.col("amount").cast("double").alias("amount"), date.alias("award_date"), *also,
     ).dropna(subset=[*GROUP_KEYS, "amount"])
-    return rows.groupBy(*GROUP_KEYS, "amount").agg(
+    return rows.groupBy(*GROUP_KEYS, "amount", *also).agg(
         F.count("*").alias("n"),
         exact_sum(F.col("amount")).alias("total"),
         F.min("award_date").alias("first_date"),

@@ -10,7 +10,7 @@ from tenderlens import functions as fn
 from tenderlens.operators import budget, facets, filters, forensic, graph, radar, rankings
 from tenderlens.plans import testmap
 from tenderlens.session import scratch_dir
-from tenderlens.sources import feed, tables
+from tenderlens.sources import chain, feed, tables
 from tenderlens.streaming import stream_contracts, stream_radar
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +145,30 @@ def feed_missing_pages(spark: SparkSession, sf: str) -> DataFrame:
     return feed.missing_pages(_gappy_feed(spark, sf))
 
 
+def _tangled_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of which some name an earlier page, the one after next, or none; some are not there."""
+    page = F.regexp_extract("source_file", r"page-(\d+)", 1).cast("bigint")
+    to = F.when(page % 50 == 20, page - 5).when(page % 50 == 30, page + 2).otherwise(page + 1)
+    link = F.when(page % 50 == 49, "").otherwise(F.concat(F.lit('<link rel="next" href="page-'), to.cast("string"), F.lit('.atom"/>')))
+    named = F.regexp_replace("value", F.lit('<link rel="next" href="page-[0-9]+.atom"/>'), link)
+    return testmap.feed_pages(spark, sf).where(page % 50 != 40).select("source_file", named.alias("value"))
+
+
+@query
+def feed_chain_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return chain.feed_chain_rank(_tangled_feed(spark, sf))
+
+
+@query
+def feed_chain_rank_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return chain.feed_chain_rank(testmap.feed_pages(spark, sf))
+
+
+@query
+def feed_chains(spark: SparkSession, sf: str) -> DataFrame:
+    return chain.feed_chains(chain.feed_chain_rank(_tangled_feed(spark, sf)))
+
+
 @query
 def export_tables(spark: SparkSession, sf: str) -> DataFrame:
     folder, kept = scratch_dir(spark, "export"), scratch_dir(spark, "radar")
@@ -667,3 +691,39 @@ def stream_radar_(spark: SparkSession, sf: str) -> DataFrame:
     year = F.col("fiscal_year").cast("int").alias("fiscal_year")
     return spark.read.parquet(out).withColumn("fiscal_year", year).select(*radar.COLUMNS)
 
+
+@query
+def stream_radar_replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """The streamed radar after parts and the whole table were written again between its batches."""
+    table, out, mark = (scratch_dir(spark, name) for name in ("contracts", "stream-radar", "mark"))
+    rows = contracts(spark, sf)
+    second = F.col("file_url").rlike("[13579]$")
+
+    def follow() -> None:
+        stream_radar(spark, table, out, mark).awaitTermination()
+
+    tables.write_contracts(rows, table, "append", part="a")
+    follow()
+    # The part loses half of its rows and a year, then the whole table is replaced and a part of it written twice.
+    tables.write_contracts(rows.where(~second & (F.col("fiscal_year") != 2025)), table, "append", part="a")
+    tables.write_contracts(rows.where(second), table)
+    for _ in range(2):
+        tables.write_contracts(rows.where(~second), table, "append", part="b")
+    follow()
+    year = F.col("fiscal_year").cast("int").alias("fiscal_year")
+    return spark.read.parquet(out).withColumn("fiscal_year", year).select(*radar.COLUMNS)
+
+
+@query
+def contracts_part_rewritten(spark: SparkSession, sf: str) -> DataFrame:
+    """A part written again without one of its years, beside a part that stays."""
+    path, rows = scratch_dir(spark, "contracts"), contracts(spark, sf)
+    second = F.col("file_url").rlike("[13579]$")
+    tables.write_contracts(rows.where(~second), path)
+    tables.write_contracts(rows.where(second), path, "append", part="late")
+    tables.write_contracts(rows.where(second & F.col("fiscal_year").isin(2024, 2026, 2027)), path, "append", part="late")
+    tables.write_contracts(rows.where(~second), path, "append", part="again")
+    tables.write_contracts(rows.limit(0), path, "append", part="again")
+    found = tables.load_contracts(spark, path)
+    return found.groupBy("fiscal_year", F.col("file_url").rlike("[13579]$").cast("int").alias("half")).agg(
+        F.count("*").alias("n_contracts"), F.countDistinct("file_url").alias("n_urls"), fn.exact_sum(F.col("amount")).cast("double").alias("total"))

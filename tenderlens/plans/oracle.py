@@ -203,6 +203,37 @@ PAGES = f"""WITH p AS (
   FROM p
 )"""
 
+# Every walk along the links, with the pages passed; a walk ends where no page follows or where it meets itself.
+CHAINS = f"""WITH RECURSIVE p AS (
+  SELECT DISTINCT {PAGE} AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {{there}}
+), link AS (
+  SELECT n, {{link}} AS nx FROM p
+), walk AS (
+  SELECT n AS start, n AS here, [n] AS seen, false AS met FROM link
+  UNION ALL
+  SELECT w.start, l.nx, list_append(w.seen, l.nx), list_contains(w.seen, l.nx)
+  FROM walk w JOIN link l ON l.n = w.here JOIN p ON p.n = l.nx WHERE NOT w.met
+), over AS (
+  SELECT start, here, seen, met FROM walk QUALIFY row_number() OVER (PARTITION BY start ORDER BY len(seen) DESC) = 1
+), named AS (
+  SELECT nx, count(*) AS c FROM link GROUP BY nx
+), ranked AS (
+  SELECT o.start AS n, CASE WHEN met THEN
+      list_min(list_transform(seen[list_position(seen, here):], lambda x: 'https://feeds.example.org/minor/page-' || x || '.atom'))
+    ELSE 'https://feeds.example.org/minor/page-' || here || '.atom' END AS chain,
+    CASE WHEN NOT met THEN len(seen) - 1 END AS pages_after,
+    CASE WHEN met THEN 'cycle' WHEN l.nx IS NULL THEN 'last' ELSE 'missing' END AS ends_in, met AND start = here AS on_cycle,
+    coalesce(c, 0) AS n_named_by
+  FROM over o JOIN link l ON l.n = o.here LEFT JOIN named m ON m.nx = o.start
+), chains AS (
+  SELECT 'https://feeds.example.org/minor/page-' || n || '.atom' AS page, chain,
+    max(pages_after) OVER (PARTITION BY chain) - pages_after + 1 AS position, pages_after, ends_in, on_cycle, n_named_by
+  FROM ranked
+)"""
+TANGLED = CHAINS.format(
+    there=f"{PAGE} % 50 <> 40",
+    link="CASE WHEN n % 50 = 49 THEN NULL WHEN n % 50 = 20 THEN n - 5 WHEN n % 50 = 30 THEN n + 2 ELSE n + 1 END")
+
 BUDGET = """WITH lines AS (
   SELECT o_custkey AS idente, CASE WHEN l_returnflag = 'R' THEN 'I' ELSE 'G' END AS tipreig,
     l_linenumber || '' || (l_partkey % 100) AS cdcta,
@@ -335,6 +366,10 @@ UNION ALL SELECT DISTINCT 'https://feeds.example.org/minor/page-' || {PAGE} || '
     on(PAGES.replace(f" WHERE {PAGE} % 7 <> 3", ""), feed_page_chain_whole="SELECT * FROM chain")
     on(PAGES, feed_page_chain="SELECT * FROM chain",
        feed_missing_pages="SELECT page, next_url, next_page FROM chain WHERE NOT next_is_present")
+    on(CHAINS.format(there="true", link="n + 1"), feed_chain_rank_whole="SELECT * FROM chains")
+    on(TANGLED, feed_chain_rank="SELECT * FROM chains", feed_chains="""SELECT *, ends_in = 'last' AND n_beginnings = 1 AND n_forks = 0
+  AS is_complete FROM (SELECT chain, max(ends_in) AS ends_in, count(*) AS n_pages, count(*) FILTER (n_named_by = 0) AS n_beginnings,
+  count(*) FILTER (n_named_by > 1) AS n_forks, max(pages_after) AS most_after FROM chains GROUP BY chain)""")
     out["manifest_source"] = """
 SELECT '2024-01-01T00:00:00Z#' || (page_id // 100) AS fetched_at, 'contratos menores' AS source,
   CAST(row_number() OVER w - 1 AS INTEGER) AS visit, url,
@@ -360,6 +395,9 @@ WHERE buyer IN ('Hospital de Cádiz', 'Universidad de León', 'Gobierno de Andal
     on(
         BASE,
         contracts_parquet_sink="SELECT * FROM c",
+        contracts_part_rewritten=f"""SELECT fiscal_year, CAST(regexp_matches(file_url, '[13579]$') AS INTEGER) AS half, count(*) AS n_contracts,
+  count(DISTINCT file_url) AS n_urls, {money('amount')} AS total FROM c
+WHERE regexp_matches(file_url, '[02468]$') OR fiscal_year IN (2024, 2026, 2027) GROUP BY 1, 2""",
         export_filtered_contracts=on_screen.format(
             "award_date, region, province, municipality, buyer_type, buyer, fiscal_year, contract_type, cpv, subject, "
             "supplier, amount, file_url"
@@ -479,7 +517,7 @@ SELECT DISTINCT buyer, NULL FROM c WHERE buyer NOT LIKE 'Ayunt%'""",
     on(
         groups(),
         radar="SELECT * FROM r",
-        stream_radar="SELECT * FROM r",
+        stream_radar="SELECT * FROM r", stream_radar_replayed="SELECT * FROM r",
         radar_groups="SELECT * EXCLUDE (individual_amounts) FROM g",
         radar_amounts=f"""SELECT supplier_key AS supplier, buyer, contract_type, fiscal_year, amount, count(*) AS n FROM c
 WHERE supplier_key IS NOT NULL AND buyer IS NOT NULL AND contract_type IS NOT NULL AND fiscal_year IS NOT NULL GROUP BY 1, 2, 3, 4, 5""",

@@ -280,28 +280,37 @@ def _resolve(base: Column, href: Column) -> Column:
     return F.regexp_replace(joined, r"(?<!:/)/(?:\./)+", "/")
 
 
-def feed_page_chain(pages: DataFrame, base_url: Column | None = None) -> DataFrame:
-    """Next page that each page names, and whether that page is there.
+def _address(c: Column) -> Column:
+    return F.regexp_replace(c, r"[?#].*$", "")
 
-    Links are resolved against ``base_url``, the file path by default, and pages are matched by their whole address, so
-    equal file names in two folders are two pages.
+
+def page_links(pages: DataFrame, base_url: Column | None = None) -> DataFrame:
+    """source_file, own_address, next_url and address (without query and fragment) of the next page that each page names.
+
+    Links are resolved against ``base_url``, the file path by default.
     """
     frame = F.from_xml(F.regexp_replace(_plain_xml(F.col("value")), ALL_ENTRIES, ""), FEED_HEAD, XML_OPTIONS)
     next_link = F.get(F.filter("head.link", lambda x: (x["_rel"] == "next") & (x["_href"] != "")), F.lit(0))["_href"]
     base = F.col("source_file") if base_url is None else base_url
+    return (
+        pages.select("source_file", base.alias("base"), F.explode(F.array(frame)).alias("head"))
+        .select("source_file", _address(F.col("base")).alias("own_address"), _resolve(F.col("base"), next_link).alias("next_url"))
+        .withColumn("address", _address(F.col("next_url")))
+    )
 
-    def file_name(c: Column) -> Column:
-        return F.substring_index(F.regexp_replace(c, r"[?#].*$", ""), "/", -1)
 
-    def address(c: Column) -> Column:
-        return F.regexp_replace(c, r"[?#].*$", "")
+def feed_page_chain(pages: DataFrame, base_url: Column | None = None) -> DataFrame:
+    """Next page that each page names, and whether that page is there.
 
-    links = (
-        pages.select("source_file", base.alias("base"), F.explode(F.array(frame)).alias("head"))
-        .select("source_file", _resolve(F.col("base"), next_link).alias("next_url"))
-        .withColumn("address", address(F.col("next_url")))
-    )
-    present = pages.select(address(base).alias("address")).distinct().withColumn("is_present", F.lit(True))
+    Links are resolved against ``base_url``, the file path by default, and pages are matched by their whole address, so
+    equal file names in two folders are two pages.
+    """
+    def file_name(c: Column) -> Column:
+        return F.substring_index(_address(c), "/", -1)
+
+    base = F.col("source_file") if base_url is None else base_url
+    links = page_links(pages, base_url)
+    present = pages.select(_address(base).alias("address")).distinct().withColumn("is_present", F.lit(True))
     found = F.when(F.col("next_url").isNotNull(), F.coalesce("is_present", F.lit(False)))
     return links.join(present, "address", "left").select(
         file_name(F.col("source_file")).alias("page"), "next_url", file_name(F.col("next_url")).alias("next_page"),

@@ -11,6 +11,7 @@ from tenderlens import schema
 from tenderlens.operators.radar import by_risk
 from tenderlens.operators.rankings import buyer_supplier_relations, top_suppliers
 from tenderlens.refdata import LIMIT_INGEST
+from tenderlens.sources import parts
 from tenderlens.sources.feed import FEED_FILES, feed_contracts, feed_entries, read_feed_pages
 
 
@@ -21,24 +22,19 @@ PARSER_VERSION = 2
 def write_contracts(contracts: DataFrame, path: str, mode: str = "overwrite", part: str | None = None) -> None:
     """Contracts as Parquet by fiscal year. Rebalancing evens out file sizes and splits a hot year.
 
-    ``overwrite`` replaces the table, ``append`` adds a part to it. A named part is replaced alone, in the years it
-    holds, so writing it again, as a stream does with a batch that failed, changes nothing.
+    ``overwrite`` replaces the table, ``append`` adds a part to it. A named part is replaced alone and as a whole: writing
+    it again, as a stream does with a batch that failed, leaves exactly the rows written last, whatever years they have.
     """
     fields = [F.col(f.name).cast(f.dataType) for f in schema.CONTRACTS]
     if mode not in ("overwrite", "append"):
         raise ValueError("mode is overwrite or append")
-    whole = mode == "overwrite" and part is None
-    (
-        contracts.select(*fields, F.lit(part or f"{mode}-{uuid.uuid4().hex}").alias("part")).hint("rebalance", F.col("fiscal_year"))
-        .write.mode("overwrite").option("compression", "snappy")
-        .option("partitionOverwriteMode", "static" if whole else "dynamic")
-        .partitionBy("part", "fiscal_year").parquet(path)
-    )
+    parts.write_version(contracts.select(*fields).hint("rebalance", F.col("fiscal_year")), path,
+                        part or f"{mode}-{uuid.uuid4().hex}", "fiscal_year", whole=mode == "overwrite" and part is None)
 
 
 def load_contracts(spark: SparkSession, path: str) -> DataFrame:
-    """Contracts with the declared schema; conditions on the year read only its folder."""
-    return spark.read.schema(schema.CONTRACTS).parquet(path).select(*schema.CONTRACTS.fieldNames())
+    """Contracts with the declared schema, of the newest version of each part; conditions on the year read only its folders."""
+    return parts.read_current(spark, path, schema.CONTRACTS)
 
 
 def folder_signature(spark: SparkSession, folder: str, pattern: str = FEED_FILES) -> str:
@@ -63,19 +59,13 @@ def ingest_or_reuse(
     last = max_year or date.today().year + 1
     made_by = f"v{PARSER_VERSION}-{min_year}-{last}-{'any' if limit is None else limit}"
     path = f"{cache_root.rstrip('/')}/contracts-{made_by}-{folder_signature(spark, folder, pattern)}"
-    if not force and _is_complete(spark, path):
+    if not force and parts.is_committed(spark, path):
         return load_contracts(spark, path)
     entries = feed_entries(read_feed_pages(spark, folder, pattern))
     write_contracts(feed_contracts(entries, min_year, last, limit=limit), path)
     return load_contracts(spark, path)
 
 
-def _is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether the job that wrote the folder has finished."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
-
-
 def read_budget(spark: SparkSession, lines_csv: str, entities_csv: str) -> tuple[DataFrame, DataFrame]:
     """Budget lines and entities from CSV files with header; columns are matched by name, codes stay text.
 

@@ -6,13 +6,14 @@ import hashlib
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tenderlens import schema
 from tenderlens.operators.radar import folded_amounts, groups_of, refold, score
 from tenderlens.refdata import LIMIT_INGEST
 from tenderlens.schema import GROUP_KEYS
+from tenderlens.sources import parts
 from tenderlens.sources.feed import FEED_FILES, feed_contracts, feed_entries
 from tenderlens.sources.tables import write_contracts
 
@@ -33,7 +34,7 @@ def stream_contracts(
     """Feed files that were not seen before, parsed and added to the contract table.
 
     Each batch is a part of the table, written by the writer of batch jobs: a table may be filled by both, and a batch
-    that runs twice replaces its own part.
+    that runs twice, even with other rows than before, replaces its own part as a whole.
     """
     reader = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", pattern)
     if max_files:
@@ -53,44 +54,75 @@ def stream_contracts(
 def stream_radar(
     spark: SparkSession, table: str, radar_table: str, checkpoint: str, min_contracts: int = 2, amounts_table: str | None = None
 ) -> StreamingQuery:
-    """Radar kept up to date: the cost of a batch follows its news.
-
-    A batch is folded by group and amount and kept as an increment; then the groups in the folders it touches are
-    scored from their increments, and those folders of the radar are rewritten. Increments carry the batch's number
-    in their path, so a batch that runs twice gives the same tables.
+    """Radar kept up to date with a contract table: the cost of a batch follows its news.
+
+    The stream is the table's registry. Each batch compares the versions that the table holds now with those taken in
+    before: new ones are folded by group and amount and kept as increments, one folder per version; those that a rewritten
+    part or table has superseded are taken back, increments and all. The groups in the folders that either touches are
+    scored anew from the increments of current versions alone, so totals, dates and flags are those of the table as it is;
+    folders left without a group go. Which versions are in is recorded last: a batch that breaks off is done again from the
+    start and gives the same tables.
     """
-    amounts = amounts_table or f"{radar_table.rstrip('/')}-amounts"
+    amounts = (amounts_table or f"{radar_table.rstrip('/')}-amounts").rstrip("/")
+    log = f"{amounts}/_taken"
 
     def refresh(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
+        now = parts.current(session, table)
+        held = {v for _, v in now}
+        taken = _taken(session, log)
+        news, gone = [(p, v) for p, v in now if v not in taken], sorted(taken - held)
+        if not news and not gone:
+            return
         bucket = F.pmod(F.xxhash64(*GROUP_KEYS), F.lit(BUCKETS)).cast("int")
-        folded_amounts(batch).withColumns({"bucket": bucket, "batch": F.lit(number)}).hint(
-            "rebalance", F.col("fiscal_year"), F.col("bucket")
-        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fiscal_year", "bucket", "batch").parquet(amounts)
+        if news:
+            rows = parts.read_versions(session, table, news, _VERSIONED)
+            folded_amounts(rows, "version").withColumn("bucket", bucket).hint(
+                "rebalance", F.col("fiscal_year"), F.col("bucket")
+            ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                "fiscal_year", "bucket", "version").parquet(amounts)
         kept = session.read.schema(INCREMENTS).parquet(amounts)
-        # Years span 2010 to next year, so this list is short.
-        touched = kept.where(F.col("batch") == number).select("fiscal_year", "bucket").distinct().collect()
-        if not touched:
-            return
-        by_year: dict[int, list[int]] = {}
+        changed = [v for _, v in news] + gone
+        # Years span 2010 to next year, so these lists are short.
+        touched = {tuple(r) for r in kept.where(F.col("version").isin(changed)).select("fiscal_year", "bucket").distinct().collect()}
+        if touched:
+            by_year: dict[int, list[int]] = {}
+            for year, b in touched:
+                by_year.setdefault(year, []).append(b)
+            here = reduce(or_, [(F.col("fiscal_year") == y) & F.col("bucket").isin(b) for y, b in by_year.items()])
+            valid = kept.where(here & F.col("version").isin(sorted(held)))
+            (
+                score(groups_of(refold(valid)), min_contracts).withColumn("bucket", bucket)
+                .hint("rebalance", F.col("fiscal_year"), F.col("bucket"))
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("fiscal_year", "bucket").parquet(radar_table)
+            )
+            full = {tuple(r) for r in valid.select("fiscal_year", "bucket").distinct().collect()}
+            for year, b in touched - full:
+                parts.delete_folder(session, f"{radar_table.rstrip('/')}/fiscal_year={year}/bucket={b}")
+        session.createDataFrame([(v, v in held, number) for v in changed], TAKEN).coalesce(1).write.mode("append").parquet(log)
         for year, b in touched:
-            by_year.setdefault(year, []).append(b)
-        here = reduce(or_, [(F.col("fiscal_year") == y) & F.col("bucket").isin(b) for y, b in by_year.items()])
-        (
-            score(groups_of(refold(kept.where(here))), min_contracts).withColumn("bucket", bucket)
-            .hint("rebalance", F.col("fiscal_year"), F.col("bucket"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("fiscal_year", "bucket").parquet(radar_table)
-        )
-
-    new = spark.readStream.schema(schema.CONTRACTS).format("parquet").load(table)
+            for v in gone:
+                parts.delete_folder(session, f"{amounts}/fiscal_year={year}/bucket={b}/version={v}")
+
+    commits = spark.readStream.schema(parts.REGISTRY).parquet(parts.registry_path(table))
     return (
-        new.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
+        commits.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
+def _taken(spark: SparkSession, log: str) -> set[str]:
+    """Versions whose rows are in the radar. A version comes in once and goes once."""
+    if not parts.exists(spark, log):
+        return set()
+    rows = spark.read.schema(TAKEN).parquet(log).select("version", "taken").distinct().collect()
+    return {r.version for r in rows if r.taken} - {r.version for r in rows if not r.taken}
+
+
+_VERSIONED = T.StructType([*schema.CONTRACTS.fields, T.StructField("version", T.StringType())])
 INCREMENTS = (
     "supplier string, buyer string, contract_type string, amount double, n bigint, total decimal(28,2), first_date date, "
-    "last_date date, fiscal_year int, bucket int, batch bigint"
+    "last_date date, fiscal_year int, bucket int, version string"
 )
+TAKEN = "version string, taken boolean, batch bigint"
