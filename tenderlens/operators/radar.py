@@ -225,6 +225,17 @@ def report_alert_table(radar_table: DataFrame, amounts: DataFrame) -> DataFrame:
     return with_amount_text(alerts, amounts).orderBy(*by_risk()).select(*REPORT_COLUMNS)
 
 
+def report_alert_amounts(radar_table: DataFrame, amounts: DataFrame) -> DataFrame:
+    """The amounts of all alerts as rows, in order of risk, then amount: for groups of any size.
+
+    A row per group and amount with its number of contracts, dealt out by ranges of that order; no group is put together,
+    neither as a list nor in a cell. The alerts are rebalanced, so the join splits a hot group.
+    """
+    alerts = radar_table.where("is_alert").hint("rebalance")
+    return amounts.join(alerts.drop("n_contracts"), list(GROUP_KEYS)).orderBy(*by_risk(), F.desc("amount")).select(
+        *GROUP_KEYS, "risk_index", "risk_level", "total_text", "amount", "n")
+
+
 def report_alert_table_short(radar_table: DataFrame, top: int = 40) -> DataFrame:
     """The first alerts with the columns of the printed report."""
     return radar_table.where("is_alert").orderBy(*by_risk()).limit(top).select(*SHORT_REPORT_COLUMNS)

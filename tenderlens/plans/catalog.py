@@ -10,7 +10,7 @@ from tenderlens import functions as fn
 from tenderlens.operators import budget, facets, filters, forensic, graph, radar, rankings
 from tenderlens.plans import testmap
 from tenderlens.session import scratch_dir
-from tenderlens.sources import chain, feed, tables
+from tenderlens.sources import chain, feed, revisions, tables
 from tenderlens.streaming import stream_contracts, stream_radar
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,24 @@ def feed_contracts_any_amount(spark: SparkSession, sf: str) -> DataFrame:
     return feed.feed_contracts(feed.feed_entries(testmap.feed_pages(spark, sf)), max_year=MAX_YEAR, limit=None)
 
 
+@query
+def feed_latest_revisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries published again: a third of the pages corrected, corrections first, the first editions late and twice."""
+    page = F.regexp_extract("source_file", r"page-(\d+)", 1).cast("bigint")
+    named = F.regexp_replace("value", r'(?s)<id>urn:x</id>(.*?)<link href="([^"]*)"/>', r'<id>$2</id>$1<link href="$2"/>')
+    first = testmap.feed_pages(spark, sf).select("source_file", named.alias("value"))
+    corrected = first.where(page % 3 == 1).select("source_file", F.replace(F.replace(
+        "value", F.lit("<updated>1999"), F.lit("<updated>2001")), F.lit("<title><![CDATA["), F.lit("<title><![CDATA[Rectificado: ")).alias("value"))
+    path = scratch_dir(spark, "revisions")
+
+    def read(pages: DataFrame) -> DataFrame:
+        return feed.feed_contracts(feed.feed_entries(pages), max_year=MAX_YEAR, revisions=True)
+
+    for pages in (corrected, first, first):
+        revisions.upsert_revisions(read(pages), path, buckets=8)
+    return tables.load_contracts(spark, path)
+
+
 @query
 def budget_source(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_dir(spark, "budget")
@@ -499,6 +517,11 @@ def report_alert_table(spark: SparkSession, sf: str) -> DataFrame:
     return radar.report_alert_table(scored(spark, sf), radar.radar_amounts(contracts(spark, sf)))
 
 
+@query
+def report_alert_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    return radar.report_alert_amounts(scored(spark, sf), radar.radar_amounts(contracts(spark, sf)))
+
+
 @query
 def report_alert_table_short(spark: SparkSession, sf: str) -> DataFrame:
     return radar.report_alert_table_short(scored(spark, sf))

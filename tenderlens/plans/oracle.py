@@ -6,7 +6,7 @@ reads text or XML that was made from the tables, the SQL states the expected res
 
 from __future__ import annotations
 
-from tenderlens import refdata as ref
+from tenderlens import refdata as ref, schema
 
 GROUP = "supplier, buyer, contract_type, fiscal_year"
 
@@ -356,6 +356,11 @@ SELECT 2024 AS max_year, CASE WHEN fiscal_year <= 2024 THEN fiscal_year END AS f
   {money('amount')} AS total FROM fc GROUP BY 1, 2, 3
 UNION ALL
 SELECT 2030, fiscal_year, region, count(*), {money('amount')} FROM fc GROUP BY 1, 2, 3""")
+    on(FEED, feed_latest_revisions="""SELECT * EXCLUDE (l_orderkey, l_linenumber) REPLACE (CASE WHEN (CAST(floor(l_orderkey / 250.0) AS BIGINT) + (l_linenumber // 8) * 1000000000) % 3 = 1
+  THEN 'Rectificado: ' || subject ELSE subject END AS subject)
+FROM (SELECT *, CAST(regexp_extract(file_url, '/(\d+)-(\d+)$', 1) AS BIGINT) AS l_orderkey,
+  CAST(regexp_extract(file_url, '/(\d+)-(\d+)$', 2) AS BIGINT) AS l_linenumber FROM fc)
+QUALIFY row_number() OVER (PARTITION BY file_url ORDER BY """ + ", ".join(f"{c} DESC NULLS LAST" for c in schema.CONTRACTS.fieldNames()) + ") = 1")
     on(FEED.replace(" WHERE feed_amount <= 50000", ""), feed_contracts_any_amount="SELECT * FROM fc")
     on(BASE, feed_rejects=f"""
 SELECT 'https://feeds.example.org/minor/page-' || {PAGE} || '.atom' AS source_file, reason, count(*) AS n
@@ -532,6 +537,9 @@ ORDER BY {RISK_ORDER} LIMIT 18""",
   count(*) AS n_groups, count(*) FILTER (is_alert) AS n_alerts,
   coalesce(CAST(sum(CAST(total AS DECIMAL(18,2))) FILTER (is_alert) AS DOUBLE), 0) AS alert_amount FROM r""",
         report_alert_table=f"SELECT {report} FROM r JOIN {texts} WHERE is_alert",
+        report_alert_amounts=f"""SELECT {GROUP}, risk_index, risk_level, total_text, amount, count(*) AS n FROM r JOIN (
+  SELECT supplier_key AS supplier, buyer, contract_type, fiscal_year, amount FROM c WHERE amount IS NOT NULL) USING ({GROUP})
+WHERE is_alert GROUP BY ALL""",
         report_alert_table_short=f"""SELECT supplier, buyer, contract_type, fiscal_year, n_contracts, total_text, pct_text,
   risk_index FROM r WHERE is_alert ORDER BY {RISK_ORDER} LIMIT 40""",
         risk_scatter=f"SELECT {GROUP}, n_contracts, total, total_text, risk_level FROM r",

@@ -229,11 +229,13 @@ def feed_contracts(
     max_year: int | None = None,
     keep: Iterable[str] = (),
     limit: float | None = LIMIT_INGEST,
+    revisions: bool = False,
 ) -> DataFrame:
     """Contracts of well-formed entries. Entries without buyer or amount are left out, and those above ``limit``.
 
     A contract above the limit is no minor one; ``None`` takes all. ``feed_rejects`` lists what is left out.
-    ``keep`` names columns of the entries, such as the file they come from, to carry along.
+    ``keep`` names columns of the entries, such as the file they come from, to carry along. With ``revisions`` each has
+    its entry's id and time of change too, as ``upsert_revisions`` needs them.
     """
     carried = list(keep)
     known = _with_buyer_and_amount(split_well_formed(entries).where("well_formed"), carried).where(
@@ -264,6 +266,7 @@ def feed_contracts(
         F.year(award).alias("fiscal_year"),
         "amount",
         F.coalesce("p.link", http_id).alias("file_url"),
+        *([F.col("id").alias("entry_id"), F.col("updated").try_cast("timestamp").alias("updated")] if revisions else []),
     )
 
 

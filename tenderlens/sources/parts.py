@@ -57,18 +57,22 @@ def registry(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.schema(REGISTRY).parquet(registry_path(table))
 
 
+def new_version() -> str:
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
 def write_version(rows: DataFrame, table: str, part: str, by: str, whole: bool = False) -> str:
     """rows as the new version of a part, partitioned by a column; with ``whole`` all other parts end."""
-    spark = rows.sparkSession
-    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    version = new_version()
     rows.write.option("compression", "snappy").partitionBy(by).parquet(version_folder(table, part, version))
-    commit(spark, table, part, version, whole)
+    commit(rows.sparkSession, table, [(part, version)], whole)
     return version
 
 
-def commit(spark: SparkSession, table: str, part: str, version: str, whole: bool = False) -> None:
-    """Make a written version count: one file appears in the registry."""
-    spark.createDataFrame([(part, version, time.time_ns(), whole)], REGISTRY).coalesce(1).write.mode("append").parquet(registry_path(table))
+def commit(spark: SparkSession, table: str, versions: list[tuple[str, str]], whole: bool = False) -> None:
+    """Make written versions count, all at once: one file appears in the registry."""
+    stamp = time.time_ns()
+    spark.createDataFrame([(p, v, stamp, whole) for p, v in versions], REGISTRY).coalesce(1).write.mode("append").parquet(registry_path(table))
 
 
 def current(spark: SparkSession, table: str) -> list[tuple[str, str]]:

@@ -15,6 +15,7 @@ from tenderlens.refdata import LIMIT_INGEST
 from tenderlens.schema import GROUP_KEYS
 from tenderlens.sources import parts
 from tenderlens.sources.feed import FEED_FILES, feed_contracts, feed_entries
+from tenderlens.sources.revisions import upsert_revisions
 from tenderlens.sources.tables import write_contracts
 
 #: Groups of a fiscal year are dealt over so many folders; a batch rewrites those in which its groups are.
@@ -30,9 +31,12 @@ def stream_contracts(
     max_files: int | None = None,
     pattern: str = FEED_FILES,
     limit: float | None = LIMIT_INGEST,
+    revisions: bool = False,
 ) -> StreamingQuery:
     """Feed files that were not seen before, parsed and added to the contract table.
 
+    With ``revisions`` the table holds the newest revision of each entry id instead of every entry.
+
     Each batch is a part of the table, written by the writer of batch jobs: a table may be filled by both, and a batch
     that runs twice, even with other rows than before, replaces its own part as a whole.
     """
@@ -40,10 +44,13 @@ def stream_contracts(
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     pages = reader.load(folder).select(F.col("_metadata.file_path").alias("source_file"), "value")
-    contracts = feed_contracts(feed_entries(pages), max_year=max_year, limit=limit)
+    contracts = feed_contracts(feed_entries(pages), max_year=max_year, limit=limit, revisions=revisions)
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def add(batch: DataFrame, number: int) -> None:
+        if revisions:
+            upsert_revisions(batch, table)
+            return
         write_contracts(batch, table, "append", part=f"stream-{stream}-{number}")
 
     return (

@@ -16,6 +16,7 @@ HEADLINES = (
     "contracts_parquet_sink", "query_contracts_table", "budget_source", "manifest_source", "flag_findings",
     "first_territory", "supplier_timeline", "stream_contracts", "stream_radar", "dataset_metadata",
     "graph_filter", "parse_mixed_dates", "province_in_text",
+    "report_alert_table", "report_alert_amounts", "feed_chain_rank", "contracts_part_rewritten",
 )
 
 

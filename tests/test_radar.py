@@ -185,3 +185,35 @@ def test_case_detail_orders_by_date(spark):
         {"amount": 7600.0}, {"amount": 1.0, "buyer": "Other"}])
     detail = rd.case_detail(rows, rd.radar(rows).where("is_alert")).collect()
     assert [r.amount for r in detail] == [7500.0, 7000.0, 7600.0]
+
+
+def test_alert_amounts_as_rows(spark):
+    rows = random_contracts(spark)
+    table, amounts = rd.radar(rows, ordered=False), rd.radar_amounts(rows)
+    got = rd.report_alert_amounts(table, amounts)
+    found = [tuple(r) for r in got.collect()]
+    text = {}
+    for r in found:
+        text.setdefault(r[:4], []).extend([r[7]] * r[8])
+    want = {(r.supplier, r.buyer, r.contract_type, r.fiscal_year): r.individual_amounts for r in rd.report_alert_table(table, amounts).collect()}
+    assert {k: len(v) for k, v in text.items()} == {k: len(v.split(" | ")) for k, v in want.items()}
+    order = [(r.supplier, r.buyer, r.contract_type, r.fiscal_year) for r in rd.report_alert_table(table, amounts).collect()]
+    assert list(text) == order and all(v == sorted(v, reverse=True) for v in text.values())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+
+
+def test_a_hot_alert_is_split(spark):
+    """Amounts of one group that are most rows are joined by many tasks, as both sides are plain shuffles."""
+    rows = random_contracts(spark, 200_000).withColumn("amount", F.col("amount") + F.rand(1) * 1000)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                                           "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(keep, ("256k", "128k", "-1", "1.5", "16")):
+            spark.conf.set(k, v)
+        got = rd.report_alert_amounts(rd.radar(rows, ordered=False), rd.radar_amounts(rows)).drop("risk_level")
+        assert sum(r.supplier == "HOT" for r in got.collect()) > 1000
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
