@@ -135,8 +135,13 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                     radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id (smallest id reachable over links): a row for each row of docs."""
-    rows = written(labelled(docs, id_col, text_col, width, radius), "labelled")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return component_ids(written(labelled(docs, id_col, text_col, width, radius), "labelled"))
+
+
+def component_ids(rows: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id of labelled() rows; a group of any size is dealt over tasks."""
+    # Rebalanced, the groups are a plain shuffle as the rows are: next to an aggregate a hot group would not be split.
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id")).hint("rebalance")
     return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tenderlens.llm import simhash
+from tenderlens.llm.common import written
 
 
 def plain_fingerprint(text, width=4):
@@ -108,3 +109,21 @@ def test_components_of_chains_and_stars(spark):
     want = {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)} | {5000: 5000, 5001: 5000}
     assert got == want
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_a_hot_group_is_split(spark):
+    rows = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("fp"), F.when(
+        F.col("id") % 10 < 6, F.lit(7)).otherwise(F.xxhash64("id")).alias("root"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                                           "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.shuffle.partitions",
+                                           "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(keep, ("64k", "32k", "-1", "1.5", "16", "64k", "4k")):
+            spark.conf.set(k, v)
+        got = simhash.component_ids(written(rows, "labelled"))
+        found = got.collect()
+        assert len(found) == 60_000 and sum(r.component_id == 0 for r in found) == 36_000
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
