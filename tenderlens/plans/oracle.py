@@ -356,7 +356,7 @@ SELECT 2024 AS max_year, CASE WHEN fiscal_year <= 2024 THEN fiscal_year END AS f
   {money('amount')} AS total FROM fc GROUP BY 1, 2, 3
 UNION ALL
 SELECT 2030, fiscal_year, region, count(*), {money('amount')} FROM fc GROUP BY 1, 2, 3""")
-    on(FEED, feed_latest_revisions="""SELECT * EXCLUDE (l_orderkey, l_linenumber) REPLACE (CASE WHEN (CAST(floor(l_orderkey / 250.0) AS BIGINT) + (l_linenumber // 8) * 1000000000) % 3 = 1
+    on(FEED, feed_latest_revisions=r"""SELECT * EXCLUDE (l_orderkey, l_linenumber) REPLACE (CASE WHEN (CAST(floor(l_orderkey / 250.0) AS BIGINT) + (l_linenumber // 8) * 1000000000) % 3 = 1
   THEN 'Rectificado: ' || subject ELSE subject END AS subject)
 FROM (SELECT *, CAST(regexp_extract(file_url, '/(\d+)-(\d+)$', 1) AS BIGINT) AS l_orderkey,
   CAST(regexp_extract(file_url, '/(\d+)-(\d+)$', 2) AS BIGINT) AS l_linenumber FROM fc)
