@@ -1,7 +1,9 @@
 """The buyer-supplier graph as node and edge tables.
 
-Only the top pairs and the top attribute links enter the graph, so every frame after the top-k is bounded by
-its ``top`` parameter: at most ``top`` pairs and 2 x ``top`` links for each of four attributes.
+One fold sums the contracts of every supplier by buyer, type, CPV code, town and province; pairs and links are both cut
+from it, so contracts are read once where the fold is stored. Only the top pairs and the top attribute links enter the
+graph, so every frame after the top-k is bounded by its ``top`` parameter: at most ``top`` pairs and 2 x ``top`` links for
+each of four attributes.
 """
 
 from __future__ import annotations
@@ -29,27 +31,41 @@ def _node(prefix: str | Column, value: str) -> Column:
     return F.concat(head, F.lit("::"), F.col(value))
 
 
+def graph_folds(contracts: DataFrame) -> DataFrame:
+    """supplier, prefix, value, total, n_contracts: each supplier's contracts by buyer and by each attribute, in one pass."""
+    rows = known_suppliers(contracts.dropna(subset=["buyer", "supplier", "amount"]))
+    parts = F.array(*[
+        F.struct(F.lit(p).alias("prefix"), F.col(c).alias("value")) for c, p in (("buyer", "org"), *(a[:2] for a in ATTRIBUTES))
+    ])
+    return (
+        rows.select("supplier", "amount", F.inline(parts)).where(F.col("value").isNotNull())
+        .groupBy("supplier", "prefix", "value").agg(exact_sum(F.col("amount")).cast("double").alias("total"), F.count("*").alias("n_contracts"))
+    )
+
+
 def graph_edges(contracts: DataFrame, top: int = 80) -> DataFrame:
     """Top buyer-supplier pairs, and the top links of their suppliers to type, CPV code, town and province."""
-    rows = known_suppliers(contracts.dropna(subset=["buyer", "supplier", "amount"]))
-    pairs = buyer_supplier_relations(rows, top)
+    return edges_of_folds(graph_folds(contracts), top)
+
+
+def edges_of_folds(folds: DataFrame, top: int = 80) -> DataFrame:
+    """graph_edges() from the rows of graph_folds(), which it reads more than once: store them first if contracts are many."""
+    if top < 1:
+        raise ValueError("top is a positive number")
+    pairs = (
+        folds.where("prefix = 'org'").select("supplier", F.col("value").alias("buyer"), F.coalesce("total", F.lit(0.0)).alias("total"), "n_contracts")
+        .orderBy(F.desc("total"), "buyer", "supplier").limit(top)
+    )
     euros = F.concat(F.format_number("total", 0), F.lit(" €"))
     primary = pairs.select(
         _node("org", "buyer").alias("source"), _node("adj", "supplier").alias("target"), euros.alias("label"),
         "total", "n_contracts", F.lit(1).alias("depth"),
     )
 
-    # All four attributes in one pass: each contract of a top supplier gives one entry per attribute.
-    entries = F.array(*[
-        F.struct(F.lit(p).alias("prefix"), F.lit(name).alias("label"), F.lit(d).alias("depth"), F.col(c).alias("value"))
-        for c, p, name, d in ATTRIBUTES
-    ])
+    of = lambda k: F.coalesce(*[F.when(F.col("prefix") == a[1], F.lit(a[k])) for a in ATTRIBUTES])
     links = (
-        rows.join(F.broadcast(pairs.select("supplier").distinct()), "supplier", "left_semi")
-        .select("supplier", "amount", F.inline(entries))
-        .where(F.col("value").isNotNull())
-        .groupBy("supplier", "prefix", "label", "depth", "value")
-        .agg(exact_sum(F.col("amount")).cast("double").alias("total"), F.count("*").alias("n_contracts"))
+        folds.where("prefix <> 'org'").join(F.broadcast(pairs.select("supplier").distinct()), "supplier", "left_semi")
+        .withColumns({"label": of(2), "depth": of(3)})
     )
     # Spark keeps the best rows of each attribute in every task before the shuffle, so this window stays small.
     order = Window.partitionBy("prefix").orderBy(F.desc("total"), "supplier", "value")

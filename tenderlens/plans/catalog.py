@@ -623,19 +623,30 @@ def spend_concentration(spark: SparkSession, sf: str) -> DataFrame:
 # Graph
 
 
+def _stored(spark: SparkSession, rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in the shared folder, for what reads them more than once."""
+    path = scratch_dir(spark, purpose)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.edges_of_folds(_stored(spark, graph.graph_folds(contracts(spark, sf)), "graph-folds"))
+
+
 @query
 def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.graph_edges(contracts(spark, sf))
+    return _edges(spark, sf)
 
 
 @query
 def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.graph_nodes(graph.graph_edges(contracts(spark, sf)))
+    return graph.graph_nodes(_edges(spark, sf))
 
 
 @query
 def graph_filter(spark: SparkSession, sf: str) -> DataFrame:
-    edges = graph.graph_edges(contracts(spark, sf))
+    edges = _stored(spark, _edges(spark, sf), "graph-edges")
     return graph.graph_filter(edges, graph.graph_nodes(edges), depth=2, hidden_groups=["mun"])
 
 

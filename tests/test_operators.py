@@ -112,6 +112,20 @@ def test_facets(few):
     assert facets.dataset_metadata(few.limit(0)).first().total_amount == 0.0
 
 
+def test_graph_reads_contracts_once(spark, few, tmp_path):
+    few.write.parquet(f"{tmp_path}/contracts")
+    folds = graph.graph_folds(spark.read.parquet(f"{tmp_path}/contracts"))
+    assert folds._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert folds.groupBy("supplier", "prefix", "value").count().where("count > 1").isEmpty()
+    folds.write.parquet(f"{tmp_path}/folds")
+    stored = graph.edges_of_folds(spark.read.parquet(f"{tmp_path}/folds"))
+    assert sorted(stored.collect()) == sorted(graph.graph_edges(few).collect())
+    assert "/contracts" not in stored._jdf.queryExecution().executedPlan().toString()
+    assert graph.graph_edges(few.limit(0)).isEmpty() and graph.graph_edges(few, top=1).where("depth = 1").count() == 1
+    with pytest.raises(ValueError):
+        graph.graph_edges(few, top=0)
+
+
 def test_graph(few):
     edges = graph.graph_edges(few)
     nodes = {r.node: r for r in graph.graph_nodes(edges).collect()}
