@@ -19,6 +19,7 @@ import heapq
 import json
 import mmap
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ SLICE = 4 << 20
 
 # White space as Unicode defines it, and the public pattern that splits text before the merges.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_NEVER = 1 << 60
+_NEVER, _NONE = 1 << 60, (1 << 31) - 1
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -72,6 +73,12 @@ class Merger:
         self.joined = [vocab[a + b] for a, b in pairs]
         first = self.single
         self.byte_rank = [[self.rank.get(a << self.bits | b, _NEVER) for b in first] for a in first]
+        # The same tables for many pieces at once; the last key is above all pairs.
+        keys = sorted(self.rank)
+        self.keys = np.array([*keys, 1 << 62], np.int64)
+        self.key_rank = np.array([*map(self.rank.__getitem__, keys), _NONE], np.int32)
+        self.byte_ranks = np.minimum(np.array(self.byte_rank, np.int64), _NONE).astype(np.int32)
+        self.first, self.becomes = np.array(first, np.int32), np.array(self.joined, np.int32)
         self.split = regex.compile(PATTERN).findall
         self.uneven = regex.compile(r" \s|\s ").search
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
@@ -113,12 +120,60 @@ class Merger:
                 heapq.heappush(heap, (r, h))
         return [i for i in ids if i >= 0]
 
-    def words(self, text: str) -> list[str]:
-        """Pieces of a text without special tokens whose ids, in a row, are the ids of the text."""
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << self.bits | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.key_rank[at], _NONE)
+
+    def _merge_alike(self, words: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """(position, ids as 32-bit numbers) of words of one length: each step makes the next merge of every word left."""
+        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+        rows, ids, ranks = np.arange(len(words)), self.first[raw], self.byte_ranks[raw[:, :-1], raw[:, 1:]]
+        while len(rows):
+            width = ids.shape[1]
+            least = ranks.min(axis=1) if width > 1 else np.full(len(rows), _NONE, np.int32)
+            done = least == _NONE
+            if done.any():
+                out = ids[done].astype(np.uint32).tobytes()
+                yield from zip(rows[done].tolist(), (out[k:k + 4 * width] for k in range(0, len(out), 4 * width)))
+                rows, ids, ranks, least = rows[~done], ids[~done], ranks[~done], least[~done]
+                if not len(rows):
+                    return
+            every, at = np.arange(len(rows)), ranks.argmin(axis=1)  # the first of equal ones
+            stay = np.ones(ids.shape, bool)
+            stay[every, at + 1] = False
+            ids[every, at] = self.becomes[least]
+            ids = ids[stay].reshape(len(rows), width - 1)
+            stay = np.ones(ranks.shape, bool)
+            stay[every, at] = False
+            ranks = ranks[stay].reshape(len(rows), width - 2)
+            for some, pair in ((at > 0, at - 1), (at < width - 2, at)):
+                some = np.flatnonzero(some)
+                pair = pair[some]
+                ranks[some, pair] = self._ranks(ids[some, pair], ids[some, pair + 1])
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """merge() of many words, as 32-bit numbers."""
+        out, by_length = [b""] * len(words), {}
+        for k, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(k)
+        for length, group in by_length.items():
+            if length > 48 or length < 2 or len(group) < 32:  # too few or too long to pay
+                for k in group:
+                    out[k] = np.array(self.merge(words[k]), np.uint32).tobytes()
+                continue
+            for at in range(0, len(group), 1 << 14):
+                some = group[at:at + (1 << 14)]
+                for k, ids in self._merge_alike([words[k] for k in some]):
+                    out[some[k]] = ids
+        return out
+
+    def runs(self, text: str) -> list[tuple[bool, list[str]]]:
+        """A text without special tokens as lists of words (True), each with a space before it that is left out, and of pieces."""
         if self.uneven(text):
-            return self.split(text)
+            return [(False, self.split(text))]
         first, *rest = text.split(" ")
-        return [first, *(" " + w for w in rest)]
+        return [(False, self.split(first)), (True, rest)]
 
     def word_ids(self, word: str, memory: dict[str, list[int]] | None = None) -> list[int]:
         """Ids of a word; pieces that words have in common are merged once as long as memory holds them."""
@@ -237,31 +292,42 @@ class Encoder:
     """Ids of texts from the lexicon, what was merged before, and merges."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon):
-        self.merger, self.lexicon, self.memory, self.pieces = merger, lexicon, {}, {}
+        self.merger, self.lexicon = merger, lexicon
+        #: ids of words with a space before them; ids of pieces and special tokens, none of which is a piece
+        self.words: dict[str, bytes] = {}
+        self.pieces = {s: np.array([i], np.uint32).tobytes() for s, i in merger.special.items()}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        m, memory = self.merger, self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        split = []
+        m, words, pieces = self.merger, self.words, self.pieces
+        for memory in (words, pieces):
+            if len(memory) > REMEMBERED:  # what was met first is mostly frequent
+                for word in list(islice(reversed(memory), len(memory) - REMEMBERED // 3)):
+                    del memory[word]
+        cut = []
         for text in texts:
             text = text or ""
             plain = m.parts is None or not any(s in text for s in m.special)
-            split.append(m.words(text) if plain else
-                         [w for k, part in enumerate(m.parts(text)) for w in ((part,) if k % 2 else m.words(part))])
-        new = list({w for words in split for w in words if w not in memory})
-        raw = [w.encode() for w in new]
-        starts, ids = self.lexicon.starts, self.lexicon.ids
-        for w, row in zip(new, self.lexicon.find(raw).tolist()):
+            cut.append(m.runs(text) if plain else
+                       [run for k, part in enumerate(m.parts(text)) for run in ([(False, [part])] if k % 2 else m.runs(part))])
+        met = {kind: set().union(*(some for runs in cut for of, some in runs if of is kind)) for kind in (True, False)}
+        new = list(met[True] - words.keys())
+        raw = [b" " + w.encode() for w in new]
+        starts, ids = self.lexicon.starts.tolist(), self.lexicon.ids.tobytes()
+        alone, rest = [], {}
+        for k, (w, row) in enumerate(zip(new, self.lexicon.find(raw).tolist())):
             if row >= 0:
-                memory[w] = ids[starts[row]:starts[row + 1]].tobytes()
-            elif w in m.special:
-                memory[w] = np.array([m.special[w]], np.uint32).tobytes()
+                words[w] = ids[4 * starts[row]:4 * starts[row + 1]]
+            elif w.isascii() and w.isalpha():  # one piece
+                alone.append(k)
             else:
-                memory[w] = np.array(m.word_ids(w, self.pieces), np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(memory.__getitem__, words)), np.uint32) for words in split]
+                rest[w] = m.split(" " + w)
+        words.update(zip([new[k] for k in alone], m.merge_all([raw[k] for k in alone])))
+        unseen = list(met[False].union(*rest.values()) - pieces.keys())
+        pieces.update(zip(unseen, m.merge_all([p.encode() for p in unseen])))
+        for w, parts in rest.items():
+            words[w] = b"".join(map(pieces.__getitem__, parts))
+        return [np.frombuffer(b"".join([b"".join(map((words if of else pieces).__getitem__, some)) for of, some in runs]), np.uint32)
+                for runs in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.merger.token.__getitem__, ids.tolist())).decode("utf-8", "replace")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -43,6 +44,26 @@ def test_any_text(both, text):
     check(both, [text])
 
 
+def test_many_words_merge_like_each_alone(both):
+    rng = random.Random(2)
+    merger, library = both[0].merger, both[1]
+    words = ["".join(rng.choices("etaoin shrdl'é中0\n"[:k], k=rng.randint(1, 12))).encode() for k in (3, 9, 17) for _ in range(4000)]
+    words += [b"", b"a", b"x" * 49, b"ab" * 300] * 40
+    got = [np.frombuffer(x, np.uint32).tolist() for x in merger.merge_all(words)]
+    assert got == [merger.merge(w) for w in words] and merger.merge_all([]) == []
+    text = " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) + rng.choice(["", "ing", "ción", ".\nThe", "’s", "'ll"]) for _ in range(20_000))
+    assert both[0].encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_forgets_late_words_first(both, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)
+    coder = bpe.Encoder(both[0].merger, both[0].lexicon)
+    texts = [" ".join(f"w{i}x{k}" for k in range(200)) + "<|endoftext|>" for i in range(6)]
+    for text in texts * 2:
+        assert coder.encode([text])[0].tolist() == both[1].encode(text, add_special_tokens=False).ids
+        assert len(coder.words) <= 500 and "w0x1" in coder.words and "<|endoftext|>" in coder.pieces
+
+
 def test_automaton_is_minimal_and_exact(tmp_path):
     rng = random.Random(1)
     words = sorted({bytes(rng.choices(b"abc", k=rng.randint(1, 6))) for _ in range(300)})
