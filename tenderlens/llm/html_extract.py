@@ -10,11 +10,14 @@ is template; with n of the m pages of an element,
     importance              = (1 - 0.9 ** l) * presentation + 0.9 ** l * content,  l child sequences
 
 A branch all of whose elements are below the threshold, and a block whose own importance is below it, go from every page
-of the host, unless nothing would be left of a page. Nothing goes from a marked article.
+of the host; a page of template alone has no text. Nothing goes from a marked article.
 
 What tags, roles and class names state plainly is taken as stated: menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are no candidates at all, and where a page marks its article (or main part)
-the rest of the page is none either.
+the rest of the page is none either. Names are read more strictly the more a page says: outside an article, any word of
+a name counts; inside one, only names that say nothing else ("share-buttons", not "social-history"); on the article itself,
+only such classes, never its id. An article whose surroundings are named like noise counts if the page has no other and
+less text elsewhere.
 
 Trees are folded as counts by (host, element, feature), in each task before the shuffle; a host with a third of all pages
 is a few rows more, not a group in one task. Only what is low reaches the pages again, a few entries per host.
@@ -47,7 +50,7 @@ DEEPEST = 24
 # HTML's own sets of elements, and words by which sites name what is not the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
-NEVER = set("nav footer aside form button select option datalist dialog menu template svg math canvas object audio video map head".split())
+NEVER = set("nav footer aside form button select option datalist dialog menu template svg canvas object audio video map head".split())
 BLOCKS = set("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
              "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -64,32 +67,51 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z0-9]+")
 
+# Words that say nothing of their own in a name.
+FRAME = set("a area article block body bottom box button buttons by col column container content entry form group header heading icon icons "
+            "inner item items left link links list main module outer panel post posts right row section site slot the title top unit wrap wrapper".split())
+
 # A class such as with-sidebar names the rest of the page.
 BESIDE = set("with without has no".split())
 
 #: How surely a block belongs to the article: in the main part of a page, in a marked article.
 MAIN, ARTICLE = 1, 2
+#: Why a block is no candidate: by names alone, by names but in an article of its own, in any other way.
+NAMED, SPARE, OUT = 1, 2, 3
+
+#: (path, is no candidate whatever its names, is named like noise outside and inside an article, 0 or MAIN or ARTICLE, is a header)
+Style = tuple[int, bool, bool, bool, int, bool]
+_styles: dict[tuple[int, str, str], Style] = {}
+
 
-_styles: dict[tuple[int, str, str], tuple[int, bool, int, bool]] = {}
+def _noise(name: str) -> bool:
+    """Whether a name says noise and nothing else."""
+    words = {w for w in WORDS.findall(name) if not w.isdigit()}
+    return bool(words & NOISE) and words <= NOISE | FRAME
 
 
-def _style(parent: int, tag: str, attrs: str) -> tuple[int, bool, int, bool]:
-    """(path, is no candidate, 0 or MAIN or ARTICLE, is a header) of an element below a path."""
+def _style(parent: int, tag: str, attrs: str) -> Style:
+    """What an element below a path says about itself."""
     key = (parent, tag, attrs)
     if key not in _styles:
         if len(_styles) > 100_000:
             _styles.clear()
         given = {m[0].lower(): unescape(m[1] or m[2] or m[3]).lower() for m in ATTRIBUTE.findall(attrs)} if attrs.strip() else {}
-        names = " ".join(sorted(given.get("class", "").split()))
+        classes = given.get("class", "").split()
+        names = " ".join(sorted(classes))
         # Words run together are left: a class says "noise" only in a word of its own.
-        words = [set(WORDS.findall(name)) for name in [*names.split(), given.get("id", "")]]
+        words = [set(WORDS.findall(name)) for name in [*classes, given.get("id", "")]]
         words = set().union(*(w for w in words if not w & BESIDE))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-        never = tag in NEVER or hidden or given.get("role") in ROLES or (bool(words & NOISE) and tag not in ("html", "body", "main"))
+        never = tag in NEVER or hidden or given.get("role") in ROLES
         article = (ARTICLE if tag == "article" or given.get("role") == "article" or given.get("itemprop") == "articlebody"
                    else MAIN if tag == "main" or given.get("role") == "main" else 0)
+        inside = any(map(_noise, classes if article == ARTICLE else [*classes, given.get("id", "")]))
+        outside = inside if article == ARTICLE else bool(words & NOISE)
+        if tag in ("html", "body", "main"):
+            inside = outside = False
         header = tag == "header" or "header" in words
-        _styles[key] = (xxhash.xxh64_intdigest(f"{parent}/{tag}.{names}") >> 1, never, article, header)
+        _styles[key] = (xxhash.xxh64_intdigest(f"{parent}/{tag}.{names}") >> 1, never, outside, inside, article, header)
     return _styles[key]
 
 
@@ -100,8 +122,10 @@ class Page:
         self.blocks: list[tuple[tuple[int, ...], str, int]] = []
         self.sequences: list[tuple[int, int]] = []
         self.above: dict[int, tuple[int, ...]] = {}
-        #: open elements: tag, path, no candidate, 0 or MAIN or ARTICLE, its children
-        self.open: list[tuple[str, int, bool, int, list[int]]] = [("", 0, False, 0, [])]
+        #: articles in surroundings that are only named like noise: their blocks
+        self.spare: list[list[tuple[tuple[int, ...], str, int]]] = []
+        #: open elements: tag, path, no candidate (OUT, or NAMED where names alone say so), 0 or MAIN or ARTICLE, its children
+        self.open: list[tuple[str, int, int, int, list[int]]] = [("", 0, 0, 0, [])]
         self.text: list[str] = []
         at = 0
         while at < len(html):
@@ -130,7 +154,7 @@ class Page:
         self._flush()
 
     def _say(self, text: str) -> None:
-        if text and not self.open[-1][2]:
+        if text and self.open[-1][2] in (0, SPARE):
             self.text.append(text)
 
     def _flush(self) -> None:
@@ -138,8 +162,11 @@ class Page:
             text = " ".join(unescape("".join(self.text)).split())
             self.text = []
             if text:
-                paths = tuple(e[1] for e in self.open[1:DEEPEST])
-                self.blocks.append((paths, text, self.open[-1][3]))
+                at = len(self.open) - 1  # where the text stands, not what ends it
+                while self.open[at][2] in (NAMED, OUT):
+                    at -= 1
+                paths = tuple(e[1] for e in self.open[1:min(at + 1, DEEPEST)])
+                (self.spare[-1] if self.open[at][2] else self.blocks).append((paths, text, self.open[at][3]))
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag in BLOCKS:
@@ -149,16 +176,28 @@ class Page:
             for other in CLOSES.get(tag, ()):
                 self._end(other, FENCES - {"section"} if tag in ("li", "dt", "dd") else {"table", "article"})
         top = self.open[-1]
-        path, never, article, header = _style(top[1], tag, attrs)
+        path, never, outside, inside, article, header = _style(top[1], tag, attrs)
         if len(self.open) >= DEEPEST:  # what lies deeper belongs to the element there
             path = top[1]
         # A header heads the page unless it stands in an article.
         never = never or (header and not top[3] and not article)
+        named = inside if top[3] == ARTICLE or article == ARTICLE else outside
         if not top[2]:
             top[4].append(path)
         if attrs.rstrip().endswith("/") and tag in ("svg", "path", "use"):
             return
-        self.open.append((tag, path, top[2] or never, 0 if never else max(top[3], article), []))
+        out = OUT if never or top[2] == OUT else top[2]
+        if out == NAMED and article == ARTICLE and not named and not self._article_above():
+            out = SPARE
+            self._flush()
+            self.spare.append([])
+        elif out != OUT and named:
+            out = NAMED if not out else OUT
+        level = 0 if out in (NAMED, OUT) else max(top[3], article)
+        self.open.append((tag, path, out, level, []))
+
+    def _article_above(self) -> bool:
+        return any(e[0] == "article" or e[3] == ARTICLE for e in self.open)
 
     def _end(self, tag: str, fences: set[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -176,10 +215,10 @@ class Page:
         self._end(tag, {"article", "main", "body"} - {tag} if tag not in ("html", "body") else set())
 
     def _pop(self) -> None:
-        if self.open[-1][0] in BLOCKS:
+        if self.open[-1][0] in BLOCKS or (self.open[-1][2] == SPARE != self.open[-2][2]):
             self._flush()
-        _, path, never, _, children = self.open.pop()
-        if not never:
+        _, path, out, _, children = self.open.pop()
+        if not out:
             self.sequences.append((path, hash_of(",".join(map(str, children)))))
             self.above[path] = tuple(e[1] for e in self.open[1:])
 
@@ -188,6 +227,9 @@ class Page:
         return [(paths, text) for paths, text, _ in self._candidates()]
 
     def _candidates(self) -> list[tuple[tuple[int, ...], str, int]]:
+        if len(self.spare) == 1 and not any(inside == ARTICLE for _, _, inside in self.blocks):
+            if sum(len(b[1]) for b in self.spare[0]) > sum(len(b[1]) for b in self.blocks):
+                return self.spare[0]
         marked = any(inside for _, _, inside in self.blocks)
         return [b for b in self.blocks if b[2] or not marked]
 
@@ -212,7 +254,7 @@ class Page:
         """The candidates without low branches and blocks; those of a marked article all stay."""
         found = self._candidates()
         kept = [t for paths, t, inside in found if inside == ARTICLE or not low or (hash_of(t) not in low and low.isdisjoint(paths))]
-        return " ".join(kept or [t for _, t, _ in found])
+        return " ".join(kept)
 
 
 def hash_of(text: str) -> int:

@@ -26,6 +26,26 @@ def test_structure():
     assert text("<p hidden>no</p><p style='display: none'>no</p><p role=alert>no</p><p>yes</p>") == "yes"
 
 
+def test_names_never_drop_an_article():
+    assert text("<div class=menu>m</div><article class='post category-advertising'><p>a</p></article>") == "a"
+    assert text("<p>m</p><article id=login><h1>Login pages</h1>a</article>") == "Login pages a"
+    assert text("<article>a<div class=social-history>b</div><div class=share-buttons>no</div><p class=ad>no</p><div id=comments>no</div>c</article>") == "a b c"
+    assert text("<article>a<div class='post-comments'><p>no</p></div><div class='comment-culture'>b</div></article>") == "a b"
+    assert text("<article>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</article>") == "if x=1 then"
+    # The only article counts whatever its surroundings are called; articles beside another one do not.
+    assert text("<p>menu</p><div class='layout sidebar'><article><p>a story</p></article></div>") == "a story"
+    assert text("<p>menu</p><div class='layout sidebar'><span role=article>a story</span>x</div>") == "a story"
+    assert text("<p>a whole story</p><div class=related><article>teaser</article></div>") == "a whole story"
+    assert text("<article><div>a <span class=ad><div>no</div></span>b</div></article>") == "a b"
+    assert text("<div class=ad><p>no<b>no<div>no</div></div><div>a<span class=ad><div>no") == "a"
+    assert text("<article>a</article><div class=related><article>b</article></div>") == "a"
+    assert text("<p>a</p><div class=related><article>b</article><article>c</article></div>") == "a"
+    assert text("<p>a</p><aside><article>b</article></aside>") == "a"
+    assert text("<article>a</article><article class='comment'>b</article><article class=ad-box>c</article>") == "a"
+    assert text("<div class=comments><article class=comment>a</article></div><p>b</p>") == "b"
+    assert text("<article>a<div class=comments><article>b</article></div></article>") == "a"
+
+
 def test_broken_markup():
     assert text("") == text("   ") == text("<!-- never closed <p>x") == "" and text("<") == "<"
     assert text("a < b and c > d") == "a < b and c > d"
@@ -73,12 +93,14 @@ def test_templates(spark):
     rows = [(i, "https://Site.example/a", page(i, "<p>Sign up now</p>")) for i in range(30)]
     rows += [(100 + i, "https://few.example/a", page(1)) for i in range(3)] + [(200, None, "<p>alone</p>"), (201, "x", None), (202, "x", "")]
     rows += [(300 + i, "http://same.example/", "<article><p>all alike</p></article>") for i in range(12)]
+    rows += [(400, "https://site.example/b", "<body><div class=top><p>Welcome to our site</p></div><div class=end><p>All rights</p></div>")]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id bigint, url string, html string, text string")
     got = {r.page_id: r.text for r in extract(pages).collect()}
     assert len(got) == len(rows)
     assert all(got[i] == f"story {i} begins and goes on {i * 7}" for i in range(30))
     assert got[100] == "Welcome to our site story 1 begins and goes on 7 All rights"  # too few pages to tell
-    assert got[200] == "alone" and got[201] == got[202] == "" and got[300] == "all alike"  # never all of a page
+    assert got[200] == "alone" and got[201] == got[202] == "" and got[300] == "all alike"
+    assert got[400] == ""  # template alone
     from tenderlens.llm.html_extract import hash_of
 
     low = {r.host: set(r.low) for r in low_parts(pages).collect()}
