@@ -43,6 +43,13 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def delete_folders(spark: SparkSession, pattern: str) -> None:
+    """Delete every folder that a pattern of the file system names."""
+    place, system = _hadoop(spark, pattern)
+    for found in system.globStatus(place) or []:
+        system.delete(found.getPath(), True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place, system = _hadoop(spark, path)
     return system.exists(place)

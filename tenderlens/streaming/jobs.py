@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 from functools import reduce
 from operator import or_
 
@@ -20,6 +22,8 @@ from tenderlens.sources.tables import write_contracts
 
 #: Groups of a fiscal year are dealt over so many folders; a batch rewrites those in which its groups are.
 BUCKETS = 64
+#: So many runs of increments of about one size are merged into one.
+MERGED = 8
 
 
 def stream_contracts(
@@ -64,11 +68,12 @@ def stream_radar(
     """Radar kept up to date with a contract table: the cost of a batch follows its news.
 
     The stream is the table's registry. Each batch compares the versions that the table holds now with those taken in
-    before: new ones are folded by group and amount and kept as increments, one folder per version; those that a rewritten
-    part or table has superseded are taken back, increments and all. The groups in the folders that either touches are
+    before: new ones are folded by group and amount and kept as increments, a run of rows that name their version; rows of
+    versions that a rewritten part or table has superseded count no more. The groups in the folders that either touches are
     scored anew from the increments of current versions alone, so totals, dates and flags are those of the table as it is;
-    folders left without a group go. Which versions are in is recorded last: a batch that breaks off is done again from the
-    start and gives the same tables.
+    folders left without a group go. Where ``MERGED`` runs of a size have come together they become one of the next, so a
+    folder has a number of files that grows with the logarithm of the batches. A run counts from the moment on that the log
+    says which versions it holds: a batch that breaks off is done again from the start and gives the same tables.
     """
     amounts = (amounts_table or f"{radar_table.rstrip('/')}-amounts").rstrip("/")
     log = f"{amounts}/_taken"
@@ -77,27 +82,27 @@ def stream_radar(
         session = batch.sparkSession
         now = parts.current(session, table)
         held = {v for _, v in now}
-        taken = _taken(session, log)
-        news, gone = [(p, v) for p, v in now if v not in taken], sorted(taken - held)
+        taken, step = _taken(session, log)
+        news, gone = [(p, v) for p, v in now if v not in taken], sorted(taken.keys() - held)
         if not news and not gone:
             return
         bucket = F.pmod(F.xxhash64(*GROUP_KEYS), F.lit(BUCKETS)).cast("int")
+        before, run = set(taken.values()), uuid.uuid4().hex
         if news:
             rows = parts.read_versions(session, table, news, _VERSIONED)
-            folded_amounts(rows, "version").withColumn("bucket", bucket).hint(
-                "rebalance", F.col("fiscal_year"), F.col("bucket")
-            ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-                "fiscal_year", "bucket", "version").parquet(amounts)
+            _write_run(folded_amounts(rows, "version").withColumn("bucket", bucket), amounts, run)
+        changed = dict.fromkeys((v for _, v in news), run) | {v: taken[v] for v in gone}
+        taken = {v: r for v, r in (taken | changed).items() if v in held}
         kept = session.read.schema(INCREMENTS).parquet(amounts)
-        changed = [v for _, v in news] + gone
         # Years span 2010 to next year, so these lists are short.
-        touched = {tuple(r) for r in kept.where(F.col("version").isin(changed)).select("fiscal_year", "bucket").distinct().collect()}
+        met = kept.where(F.col("run").isin(sorted(set(changed.values()))) & F.col("version").isin(sorted(changed)))
+        touched = {tuple(r) for r in met.select("fiscal_year", "bucket").distinct().collect()}
         if touched:
             by_year: dict[int, list[int]] = {}
             for year, b in touched:
                 by_year.setdefault(year, []).append(b)
             here = reduce(or_, [(F.col("fiscal_year") == y) & F.col("bucket").isin(b) for y, b in by_year.items()])
-            valid = kept.where(here & F.col("version").isin(sorted(held)))
+            valid = kept.where(here & F.col("run").isin(sorted(set(taken.values()))) & F.col("version").isin(sorted(held)))
             (
                 score(groups_of(refold(valid)), min_contracts).withColumn("bucket", bucket)
                 .hint("rebalance", F.col("fiscal_year"), F.col("bucket"))
@@ -107,10 +112,10 @@ def stream_radar(
             full = {tuple(r) for r in valid.select("fiscal_year", "bucket").distinct().collect()}
             for year, b in touched - full:
                 parts.delete_folder(session, f"{radar_table.rstrip('/')}/fiscal_year={year}/bucket={b}")
-        session.createDataFrame([(v, v in held, number) for v in changed], TAKEN).coalesce(1).write.mode("append").parquet(log)
-        for year, b in touched:
-            for v in gone:
-                parts.delete_folder(session, f"{amounts}/fiscal_year={year}/bucket={b}/version={v}")
+        _record(session, log, {v: taken.get(v) for v in changed}, step + 1)
+        merged = _merge_runs(session, amounts, log, taken, step + 2)
+        for old in before - set(merged.values()):
+            parts.delete_folders(session, f"{amounts}/fiscal_year=*/bucket=*/run={old}")
 
     commits = spark.readStream.schema(parts.REGISTRY).parquet(parts.registry_path(table))
     return (
@@ -119,17 +124,50 @@ def stream_radar(
     )
 
 
-def _taken(spark: SparkSession, log: str) -> set[str]:
-    """Versions whose rows are in the radar. A version comes in once and goes once."""
+def _write_run(rows: DataFrame, amounts: str, run: str) -> None:
+    rows.withColumn("run", F.lit(run)).hint("rebalance", F.col("fiscal_year"), F.col("bucket")).write.mode("append").partitionBy(
+        "fiscal_year", "bucket", "run").parquet(amounts)
+
+
+def _merge_runs(spark: SparkSession, amounts: str, log: str, taken: dict[str, str], step: int) -> dict[str, str]:
+    """Merge runs until fewer than MERGED hold about as many versions; the run of each version afterwards."""
+    while True:
+        sizes: dict[str, int] = {}
+        for run in taken.values():
+            sizes[run] = sizes.get(run, 0) + 1
+        tiers: dict[int, list[str]] = {}
+        for run, n in sizes.items():
+            tiers.setdefault(int(math.log(n + 0.5, MERGED)), []).append(run)
+        crowded = [runs for runs in tiers.values() if len(runs) >= MERGED]
+        if not crowded:
+            return taken
+        run, runs = uuid.uuid4().hex, sorted(r for some in crowded for r in some)
+        rows = spark.read.schema(INCREMENTS).parquet(amounts).where(F.col("run").isin(runs) & F.col("version").isin(sorted(taken)))
+        _write_run(rows.drop("run"), amounts, run)
+        moved = {v: run for v, r in taken.items() if r in runs}
+        _record(spark, log, moved, step)
+        taken, step = taken | moved, step + 1
+        for old in runs:
+            parts.delete_folders(spark, f"{amounts}/fiscal_year=*/bucket=*/run={old}")
+
+
+def _record(spark: SparkSession, log: str, runs: dict[str, str | None], step: int) -> None:
+    """Make it known which run holds each version from now on; none where it counts no more."""
+    spark.createDataFrame([(v, r, step) for v, r in runs.items()], TAKEN).coalesce(1).write.mode("append").parquet(log)
+
+
+def _taken(spark: SparkSession, log: str) -> tuple[dict[str, str], int]:
+    """The run of each version whose rows are in the radar, and the last step recorded."""
     if not parts.exists(spark, log):
-        return set()
-    rows = spark.read.schema(TAKEN).parquet(log).select("version", "taken").distinct().collect()
-    return {r.version for r in rows if r.taken} - {r.version for r in rows if not r.taken}
+        return {}, 0
+    rows = sorted((r.step, r.version, r.run) for r in spark.read.schema(TAKEN).parquet(log).collect())
+    last = {version: run for _, version, run in rows}
+    return {v: r for v, r in last.items() if r is not None}, rows[-1][0] if rows else 0
 
 
 _VERSIONED = T.StructType([*schema.CONTRACTS.fields, T.StructField("version", T.StringType())])
 INCREMENTS = (
     "supplier string, buyer string, contract_type string, amount double, n bigint, total decimal(28,2), first_date date, "
-    "last_date date, fiscal_year int, bucket int, version string"
+    "last_date date, version string, fiscal_year int, bucket int, run string"
 )
-TAKEN = "version string, taken boolean, batch bigint"
+TAKEN = "version string, run string, step bigint"

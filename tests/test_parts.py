@@ -144,3 +144,44 @@ def test_a_broken_off_batch_is_done_again(spark, rows, tmp_path, monkeypatch):
             at.matches()
     tables.write_contracts(rows.where("amount > 900"), at.table, "append", part="p")
     assert at.matches()
+
+
+def test_runs_of_increments_are_merged(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr("tenderlens.streaming.jobs.MERGED", 2)
+    at = Followed(spark, tmp_path)
+    runs = lambda: {d for _, dirs, _ in os.walk(f"{at.out}-amounts") for d in dirs if d.startswith("run=")}
+    for k in range(5):
+        tables.write_contracts(rows.where(F.pmod(F.hash("subject", "amount"), F.lit(5)) == k), at.table, "append", part=f"p{k}")
+        assert at.matches() and len(runs()) <= 2
+    # A version within a merged run is superseded, a part is emptied, and a new one comes.
+    tables.write_contracts(rows.where("amount > 700").limit(3), at.table, "append", part="p1")
+    assert at.matches()
+    tables.write_contracts(rows.limit(0), at.table, "append", part="p0")
+    tables.write_contracts(rows.where("fiscal_year = 2024"), at.table, "append", part="p9")
+    assert at.matches() and len(runs()) <= 3
+    tables.write_contracts(rows.where("fiscal_year = 2026"), at.table)  # nothing of the old runs stays
+    assert at.matches() and len(runs()) == 1
+
+
+def test_a_merge_that_breaks_off_counts_nothing_twice(spark, rows, tmp_path, monkeypatch):
+    from tenderlens.streaming import jobs
+
+    monkeypatch.setattr(jobs, "MERGED", 2)
+    at = Followed(spark, tmp_path)
+    tables.write_contracts(rows, at.table, "append", part="p")
+    assert at.matches()
+    tables.write_contracts(rows.where("amount > 700"), at.table, "append", part="q")
+    record, calls = jobs._record, []
+
+    def fail_second(*args):
+        calls.append(args)
+        if len(calls) == 2:  # the merged run is written, but not recorded
+            raise RuntimeError("lost")
+        record(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "_record", fail_second)
+        with pytest.raises(Exception, match="lost"):
+            at.matches()
+    tables.write_contracts(rows.where("amount > 900"), at.table, "append", part="r")
+    assert at.matches()
