@@ -59,9 +59,11 @@ def test_memory_forgets_late_words_first(both, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 300)
     coder = bpe.Encoder(both[0].merger, both[0].lexicon)
     texts = [" ".join(f"w{i}x{k}" for k in range(200)) + "<|endoftext|>" for i in range(6)]
+    first = None
     for text in texts * 2:
         assert coder.encode([text])[0].tolist() == both[1].encode(text, add_special_tokens=False).ids
-        assert len(coder.words) <= 500 and "w0x1" in coder.words and "<|endoftext|>" in coder.pieces
+        first = first or list(coder.words)[:100]
+        assert len(coder.words) <= 500 and coder.words.keys() >= set(first) and "<|endoftext|>" in coder.pieces
 
 
 def test_automaton_is_minimal_and_exact(tmp_path):
