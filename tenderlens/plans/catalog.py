@@ -10,7 +10,8 @@ from tenderlens import functions as fn
 from tenderlens.operators import budget, facets, filters, forensic, graph, radar, rankings
 from tenderlens.plans import testmap
 from tenderlens.session import scratch_dir
-from tenderlens.sources import chain, feed, revisions, tables
+from tenderlens.sources import chain, feed, large_pages, revisions, tables
+from tenderlens.sources.parts import delete_folder
 from tenderlens.streaming import stream_contracts, stream_radar
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +98,16 @@ def contracts_load(spark: SparkSession, sf: str) -> DataFrame:
     return load(2024).unionByName(load(MAX_YEAR))
 
 
+@query
+def feed_contracts_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole feed as one long file, which is cut at entries instead of files."""
+    folder = scratch_dir(spark, "feed")
+    testmap.feed_pages(spark, sf).select("value").coalesce(1).write.text(folder)
+    entries = large_pages.write_large_entries(spark, folder, scratch_dir(spark, "entries"), "*.txt")
+    delete_folder(spark, folder)
+    return feed.feed_contracts(entries, max_year=MAX_YEAR)
+
+
 @query
 def feed_rejects(spark: SparkSession, sf: str) -> DataFrame:
     rejects = feed.feed_rejects(feed.feed_entries(testmap.feed_pages(spark, sf)))

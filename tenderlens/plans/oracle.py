@@ -351,7 +351,7 @@ def sql() -> dict[str, str]:
 SELECT 'https://feeds.example.org/minor/page-' || {PAGE} || '.atom' AS source_file, count(*) + 1 AS n_entries,
   0 AS first_ord, CAST(count(*) AS INTEGER) AS last_ord, count(*) + 1 AS n_whole
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY {PAGE}"""
-    on(FEED, feed_contracts="SELECT * FROM fc", stream_contracts="SELECT * FROM fc", contracts_load=f"""
+    on(FEED, feed_contracts="SELECT * FROM fc", feed_contracts_split="SELECT * FROM fc", stream_contracts="SELECT * FROM fc", contracts_load=f"""
 SELECT 2024 AS max_year, CASE WHEN fiscal_year <= 2024 THEN fiscal_year END AS fiscal_year, region, count(*) AS n_contracts,
   {money('amount')} AS total FROM fc GROUP BY 1, 2, 3
 UNION ALL
