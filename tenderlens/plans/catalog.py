@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tenderlens import functions as fn
-from tenderlens.operators import budget, facets, filters, forensic, graph, radar, rankings
+from tenderlens.operators import budget, facets, filters, forensic, graph, name_index, radar, rankings
 from tenderlens.plans import testmap
 from tenderlens.session import scratch_dir
 from tenderlens.sources import chain, feed, large_pages, revisions, tables
@@ -276,6 +276,32 @@ def search_buyer_or_place(spark: SparkSession, sf: str) -> DataFrame:
     return filters.search_buyer_or_place(contracts(spark, sf), "1 villa ávila; CORUÑA universidad")
 
 
+def _name_index(rows: DataFrame, columns: list[str], normal: name_index.Normal = fn.fold_text) -> str:
+    """An index made by two updates, the second with all names."""
+    path = scratch_dir(rows.sparkSession, "names")
+    for some in (rows.where("fiscal_year <= 2020"), rows):
+        name_index.update_name_index(some, path, columns, normal)
+    return path
+
+
+@query
+def search_buyers_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = contracts(spark, sf)
+    return name_index.search_names(rows, _name_index(rows, ["buyer"]), ["Hospital León", "diputacion provincial de cadiz"])
+
+
+@query
+def search_buyer_or_place_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    rows, columns = contracts(spark, sf), ["buyer", "municipality"]
+    return name_index.search_names(rows, _name_index(rows, columns), "1 villa ávila; CORUÑA universidad", columns)
+
+
+@query
+def query_contracts_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = contracts(spark, sf)
+    return name_index.query_contracts_indexed(rows, SELECTION, _name_index(rows, ["supplier"], F.lower))
+
+
 @query
 def municipal_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return facets.municipal_coverage(contracts(spark, sf), "Villa 1")

@@ -17,7 +17,7 @@ HEADLINES = (
     "first_territory", "supplier_timeline", "stream_contracts", "stream_radar", "dataset_metadata",
     "graph_filter", "parse_mixed_dates", "province_in_text",
     "report_alert_table", "report_alert_amounts", "feed_chain_rank", "contracts_part_rewritten",
-    "feed_contracts_split",
+    "feed_contracts_split", "search_buyers_indexed", "search_buyer_or_place_indexed", "query_contracts_indexed",
 )
 
 
