@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlens.llm.common import shared_path, slices, written
+from tenderlens.llm.common import clearing, shared_path, slices, written
 
 BLOCK, LANES, CHECKPOINT = 1 << 14, 32, 1 << 12
 FRAME = 1 << 20
@@ -335,5 +335,6 @@ def checksummed(stored: DataFrame) -> DataFrame:
 def store(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", out: str | None = None) -> str:
     """Encode all texts once, write them, and name the folder."""
     out = out or shared_path(docs.sparkSession, "token-files")
-    write(written(encoded(docs, vocabulary, id_col, text_col), "token-ids"), vocabulary, out)
+    with clearing():
+        write(written(encoded(docs, vocabulary, id_col, text_col), "token-ids"), vocabulary, out)
     return out

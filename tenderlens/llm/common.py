@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +32,8 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    for made in _open:
+        made.append(out)
     return out
 
 
@@ -41,6 +44,33 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables written since each clearing() that is open now, the outermost first.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def clearing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """At its end all tables of written() made inside are deleted, but those given to the function it hands out.
+
+    What leaves it must be such a table, or rows that do not read one. It holds on the driver's thread alone.
+    """
+    made: list[DataFrame] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._written_at)
+        return df
+
+    _open.append(made)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for df in made:
+            if df._written_at not in kept:
+                drop_written(df)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or one like it that no column of df has; case does not count."""
     taken = {c.lower() for c in df.columns}
@@ -77,10 +107,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Rebalanced, a hub's rows are split where they meet its minimum: next to an aggregate they would not be.
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
             .alias("e")).select("e.u", "e.v").where("u <> v").distinct()

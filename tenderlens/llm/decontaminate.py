@@ -325,6 +325,17 @@ def _passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     return reduce(DataFrame.unionAll, [search(b) for b in range(blocks)])
 
 
+def unsearched(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """item_id, n_words of the items that find_leaks does not search for: those under min_words, null texts and texts without words."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = [len(fold(t or b"").split()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32())], ["item_id", "n_words"])
+
+    asked = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).cast("string").cast("binary").alias("text"))
+    return asked.mapInArrow(count, "item_id bigint, n_words int").where((F.col("n_words") < min_words) | (F.col("n_words") == 0))
+
+
 def drop_leaking(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of docs, all columns, whose own text holds no item: ids may be null or repeat."""
     leak, leak_hash = free_name(docs, "_leak"), free_name(docs, "_leak_hash")

@@ -39,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tenderlens.llm.common import slices, written
+from tenderlens.llm.common import clearing, slices, written
 
 THRESHOLD = 0.05
 #: A host shows its template only over so many pages with an element.
@@ -318,7 +318,8 @@ def low_parts(pages: DataFrame, url_col: str = "url", html_col: str = "html", th
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
             threshold: float = THRESHOLD) -> DataFrame:
     """id, url, text, n_chars of every page."""
-    low = written(low_parts(pages, url_col, html_col, threshold), "low-parts")
+    with clearing() as keep:
+        low = keep(written(low_parts(pages, url_col, html_col, threshold), "low-parts"))
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string").alias("_html"), _host(url_col).alias("_host"))
     joined = rows.join(low.select(F.col("host").alias("_host"), "low"), "_host", "left").select(id_col, url_col, "_html", "low")
     kinds = [joined.schema[c].dataType.simpleString() for c in (id_col, url_col)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tenderlens.llm.common import components, free_name, slices, written
+from tenderlens.llm.common import clearing, components, free_name, slices, written
 
 SEED = 42
 RADIUS = 4
@@ -135,7 +135,9 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
                     radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id (smallest id reachable over links): a row for each row of docs."""
-    return component_ids(written(labelled(docs, id_col, text_col, width, radius), "labelled"))
+    with clearing() as keep:
+        rows = keep(written(labelled(docs, id_col, text_col, width, radius), "labelled"))
+    return component_ids(rows)
 
 
 def component_ids(rows: DataFrame) -> DataFrame:

@@ -116,3 +116,12 @@ def test_clean_rows_stay_where_ids_are_null_or_repeat(spark):
     items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     got = d.drop_leaking(docs, items, text_col="body").collect()
     assert sorted(map(tuple, got), key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+
+
+def test_unsearched_items_are_listed(spark):
+    rows = [(1, "one two three four five"), (2, "one, two; three four"), (3, None), (4, "  !!"), (2, "x"), (None, "a")]
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    names = lambda df: sorted(((r.item_id, r.n_words) for r in df.collect()), key=str)
+    assert names(d.unsearched(items)) == sorted([(2, 4), (3, 0), (4, 0), (2, 1), (None, 1)], key=str)
+    assert names(d.unsearched(items, min_words=1)) == [(3, 0), (4, 0)]
+    assert d.unsearched(items.where("false")).count() == 0
