@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. The first four return the columns of
 documents; the last returns each document's ids. run() writes every stage to the shared folder and reads it again, so
-a lost executor repeats at most a part of one stage.
+a lost executor repeats at most a part of one stage. What a stage wrote on its way goes when its result stands, and
+that result when the next one stands; at the end only the last is left.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenderlens.llm import bpe, decontaminate, langid, pii, queries, simhash
-from tenderlens.llm.common import table, written
+from tenderlens.llm.common import clearing, drop_written, table, written
 
 #: Below this share of known n-grams a text is in none of the learned languages.
 LEAST_SCORE = 0.1
@@ -60,7 +61,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with clearing() as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-")))
+        if before is not None:
+            drop_written(before)
+        before = docs
     return docs
