@@ -159,3 +159,19 @@ def test_read_files(spark, tmp_path, name):
     (tmp_path / "notes.txt").write_text(page(SIMPLE), encoding="utf-8")
     rows = feed.feed_entries(feed.read_feed_pages(spark, str(tmp_path))).select(F.substring_index("source_file", "/", -1).alias("f"))
     assert [r.f for r in rows.collect()] == [name] * 2
+
+
+def test_pages_without_anything_to_escape_take_one_pass_and_give_the_same(apply):
+    texts = [
+        "a<!-- x -->b<?y z?>c<![CDATA[plain ]] text]]>d", "<![CDATA[a & b]]><!-- <![CDATA[ -->e", "<![CDATA[<!-- no comment -->]]>f",
+        "<!<!-- x -->[CDATA[made]]>g", "<!-- open <![CDATA[shut]]>h", "<![CDATA[a]]><![CDATA[b > c]]><!--d-->", "<![CDATA[open", "<??>i<!---->", "plain",
+    ]
+    assert apply(feed._plain_xml, texts) == [
+        "abcplain ]] textd", "a &amp; be", "&lt;!-- no comment --&gt;f", "<![CDATA[made]]>g", "<!-- open shuth", "ab &gt; c", "<![CDATA[open",
+        "i", "plain",
+    ]
+
+
+def test_special_parts_begin_with_one_fixed_character():
+    # The matcher passes over plain text at the speed of a search for that character.
+    assert all(p.startswith("(?s)<(?:") for p in (feed.SPECIAL, feed.SPECIAL_CONTENT))
