@@ -1,4 +1,5 @@
 import re
+import time
 import unicodedata
 
 import pytest
@@ -187,6 +188,24 @@ def test_scan_matches_brute_force(spark):
     assert {r.kind for r in chosen.collect()} == {"Fechas"}
 
 
+def test_scan_finds_matches_that_touch_and_those_between_long_and_short_gaps(spark):
+    gap = " z" * 40 + " "
+    pages = [
+        (1, 1, "a@b.com1@c.org x.y@z.es@w.es +34612345678 0034612345678 1€2€,3€ 4.€€5euros6 €"), (2, 1, f"1/2/34{gap}5/6/78{gap}9/1/23"),
+        (3, 1, f"1/2/34{gap}5/6/78 9/1/23{gap}"), (4, 1, f"{gap}AB12 3456 7890 1234 5678{gap}ABC12 3456 7890 1234 5678 12345678A"),
+    ]
+    got = forensic.scan_text(spark.createDataFrame(pages, "doc_id long, page int, text string")).collect()
+    assert sorted((r.doc_id, r.page, r.kind, r.value, r.context) for r in got) == sorted(hit for page in pages for hit in brute_force(*page))
+    assert [r.ordinal for r in got if r.doc_id == 2] == [0, 1, 2]
+
+
+def test_scan_of_long_runs_takes_no_square_of_their_length(spark):
+    pages = [(1, 1, "a" * 600_000 + " @"), (2, 1, "1" * 600_000 + "x €")]
+    start = time.monotonic()
+    assert forensic.scan_text(spark.createDataFrame(pages, "doc_id long, page int, text string")).collect() == []
+    assert time.monotonic() - start < 20
+
+
 def test_flags(spark):
     rows = spark.createDataFrame([
         ("Importes (€)", "18.000 €"), ("Importes (€)", "1.000 €"), ("Importes (€)", "14.500 €"), ("Importes (€)", "39.500 €"),
