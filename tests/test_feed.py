@@ -153,6 +153,21 @@ def test_reading_parses_an_entry_once(spark):
     assert plan.count("from_xml(StructField(title") == 1 and plan.count("<WinningParty") == 1
 
 
+def test_rejects_are_told_in_one_pass(spark):
+    broken = "<entry><summary>Importe: 3</summary><x>&nothing;</x></entry>"
+    rejects = feed.feed_rejects(feed.feed_entries(pages(spark, page(SIMPLE, broken, NO_BUYER))))
+    plan = rejects._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(StructField(title") == 1 and "Union" not in plan
+    assert [(r.entry_ord, r.reason) for r in rejects.orderBy("entry_ord").collect()] == [(1, "malformed"), (2, "no buyer")]
+
+
+def test_white_space_of_every_kind_is_cut_off_without_a_pattern(apply, spark):
+    spaces = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    assert apply(feed._blank_to_null, [f"{spaces}a{spaces}b{spaces}", spaces, "", "\u180ec\u200b", None]) == [f"a{spaces}b", None, None, "\u180ec\u200b", None]
+    plan = feed.feed_contracts(feed.feed_entries(pages(spark, page(SIMPLE))))._jdf.queryExecution().optimizedPlan().toString()
+    assert r"^\s+|\s+$" not in plan
+
+
 @pytest.mark.parametrize("name", ["a.atom", "b.xml"])
 def test_read_files(spark, tmp_path, name):
     (tmp_path / name).write_text(page(SIMPLE, GIJON), encoding="utf-8")
