@@ -5,8 +5,9 @@ share prefixes and suffixes. Arcs carry increments whose sum along a word is the
 suffixes can share states although their outputs differ. The file lies in the shared folder, Spark hands it to every
 executor, and each task maps it into memory. Words that are not in it are merged by rank, exactly.
 
-A word is what stands between single spaces, with the space before it: the pattern that splits text before the merges
-never joins what a lone space parts. Texts with other runs of white space are split by the pattern itself.
+A word is what stands between lone spaces, with the space before it: the pattern that splits text before the merges
+never joins what a lone space parts. Other white space stays in the word and is split by the pattern itself. A batch of
+texts is cut in arrays, and each distinct word of it is looked up once.
 
 Defined cases: a null text is an empty one and has no ids; a text of any length is one row of work; repeated rows are
 encoded each on their own; an empty corpus gives an empty lexicon. Strings of special tokens in a text become their id,
@@ -27,19 +28,23 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlens.llm.common import shared_path, slices, written
+from tenderlens.llm.common import cut_up, shared_path, slices, strung, written
 
 #: Words in the lexicon and bytes in one of them: what the driver holds is bounded by their product.
 LEXICON_WORDS = 1 << 16
 WORD_BYTES = 48
 #: Words a task remembers beside the lexicon.
 REMEMBERED = 300_000
+#: Bytes of the longest word that is remembered.
+LONGEST = 256
 #: Bytes of text that are encoded at once.
 SLICE = 4 << 20
 
 # White space as Unicode defines it, and the public pattern that splits text before the merges.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NEVER, _NONE = 1 << 60, (1 << 31) - 1
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_WIDE_BLANKS = [int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -80,7 +85,6 @@ class Merger:
         self.byte_ranks = np.minimum(np.array(self.byte_rank, np.int64), _NONE).astype(np.int32)
         self.first, self.becomes = np.array(first, np.int32), np.array(self.joined, np.int32)
         self.split = regex.compile(PATTERN).findall
-        self.uneven = regex.compile(r" \s|\s ").search
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
@@ -168,12 +172,18 @@ class Merger:
                     out[some[k]] = ids
         return out
 
-    def runs(self, text: str) -> list[tuple[bool, list[str]]]:
-        """A text without special tokens as lists of words (True), each with a space before it that is left out, and of pieces."""
-        if self.uneven(text):
-            return [(False, self.split(text))]
-        first, *rest = text.split(" ")
-        return [(False, self.split(first)), (True, rest)]
+    def split_all(self, words: list[str]) -> Iterator[list[str]]:
+        """split() of many words. Those between lone spaces go through the pattern as one text."""
+        for at in range(0, len(words), 4096):
+            some = words[at:at + 4096]
+            lone = [w for w in some if w[0] == " " and not (w[1:2] or " ").isspace() and not w[-1].isspace()]
+            pieces = self.split("".join(lone))
+            stop = np.searchsorted(np.cumsum([*map(len, pieces)]), np.cumsum([*map(len, lone)])) + 1
+            stop = stop.tolist()
+            found = (pieces[a:b] for a, b in zip([0, *stop], stop))
+            fits = dict(zip(lone, found))
+            for w in some:
+                yield fits[w] if w in fits else self.split(w)
 
     def word_ids(self, word: str, memory: dict[str, list[int]] | None = None) -> list[int]:
         """Ids of a word; pieces that words have in common are merged once as long as memory holds them."""
@@ -288,49 +298,84 @@ class Lexicon:
         return rows
 
 
+def _lone_spaces(raw: np.ndarray) -> np.ndarray:
+    """Where spaces stand that have no other white space, of any kind, beside them."""
+    at = np.flatnonzero(raw == 32)
+    at = at[(at > 0) & (at < len(raw) - 1)]
+    near = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int32)
+    after, before = near[at + 1], near[at - 1]
+    lone = ~_BLANK[after] & ~_BLANK[before]
+    wide = np.flatnonzero(lone & ((before >> 6 == 2) | (after >> 6 == 3)))  # characters of several bytes
+    p = at[wide]
+    two, three = near[p - 2] << 8 | near[p - 1], near[p - 3] << 16 | near[p - 2] << 8 | near[p - 1]
+    next_two, next_three = near[p + 1] << 8 | near[p + 2], near[p + 1] << 16 | near[p + 2] << 8 | near[p + 3]
+    lone[wide] = ~np.isin([two, three, next_two, next_three], _WIDE_BLANKS).any(axis=0)
+    return at[lone]
+
+
 class Encoder:
     """Ids of texts from the lexicon, what was merged before, and merges."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon):
         self.merger, self.lexicon = merger, lexicon
-        #: ids of words with a space before them; ids of pieces and special tokens, none of which is a piece
-        self.words: dict[str, bytes] = {}
+        #: ids of words, most with a space before them; ids of pieces and special tokens, none of which is a piece
+        self.words: dict[bytes, bytes] = {}
         self.pieces = {s: np.array([i], np.uint32).tobytes() for s, i in merger.special.items()}
+        self.special = [s.encode() for s in merger.special]
+        self.spaced = [s for s in self.special if b" " in s]
+        self.token = pa.array(merger.token, pa.large_binary())
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and all end."""
         m, words, pieces = self.merger, self.words, self.pieces
         for memory in (words, pieces):
             if len(memory) > REMEMBERED:  # what was met first is mostly frequent
                 for word in list(islice(reversed(memory), len(memory) - REMEMBERED // 3)):
                     del memory[word]
-        cut = []
-        for text in texts:
-            text = text or ""
-            plain = m.parts is None or not any(s in text for s in m.special)
-            cut.append(m.runs(text) if plain else
-                       [run for k, part in enumerate(m.parts(text)) for run in ([(False, [part])] if k % 2 else m.runs(part))])
-        met = {kind: set().union(*(some for runs in cut for of, some in runs if of is kind)) for kind in (True, False)}
-        new = list(met[True] - words.keys())
-        raw = [b" " + w.encode() for w in new]
+        texts = [(t or "").encode() for t in texts]
+        uncut = [i for i, t in enumerate(texts) if any(s in t for s in self.spaced)] if self.spaced else []
+        met, of, firsts = cut_up(texts, _lone_spaces, uncut)
+        new = [w for w in met if w not in words]
         starts, ids = self.lexicon.starts.tolist(), self.lexicon.ids.tobytes()
-        alone, rest = [], {}
-        for k, (w, row) in enumerate(zip(new, self.lexicon.find(raw).tolist())):
+        alone, rest, marked = [], [], {}
+        special = any(s in t for t in texts for s in self.special)
+        for w, row in zip(new, self.lexicon.find(new).tolist()):
             if row >= 0:
                 words[w] = ids[4 * starts[row]:4 * starts[row + 1]]
-            elif w.isascii() and w.isalpha():  # one piece
-                alone.append(k)
+            elif w.isascii() and w[w[:1] == b" ":].isalpha():  # one piece
+                alone.append(w)
+            elif special and any(s in w for s in self.special):
+                marked[w] = [p for k, part in enumerate(m.parts(w.decode())) for p in ([part] if k % 2 else m.split(part))]
             else:
-                rest[w] = m.split(" " + w)
-        words.update(zip([new[k] for k in alone], m.merge_all([raw[k] for k in alone])))
-        unseen = list(met[False].union(*rest.values()) - pieces.keys())
+                rest.append(w)
+        words.update(zip(alone, m.merge_all(alone)))
+        parted = dict(zip(rest, m.split_all([w.decode() for w in rest]))) | marked
+        unseen = list({p for parts in parted.values() for p in parts if p not in pieces})
         pieces.update(zip(unseen, m.merge_all([p.encode() for p in unseen])))
-        for w, parts in rest.items():
+        for w, parts in parted.items():
             words[w] = b"".join(map(pieces.__getitem__, parts))
-        return [np.frombuffer(b"".join([b"".join(map((words if of else pieces).__getitem__, some)) for of, some in runs]), np.uint32)
-                for runs in cut]
+        data, at = strung([*map(words.__getitem__, met)], of, firsts)
+        for memory, some in ((words, new), (pieces, unseen)):
+            for word in some:
+                if len(word) > LONGEST:
+                    del memory[word]
+        return np.frombuffer(data, np.uint32), at // 4
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, at = self.encode_all(texts)
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    def decode_all(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts of ids that stand in a row."""
+        data, at = strung(self.token, ids, at)
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), data])
+        try:
+            return texts.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # not UTF-8
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.merger.token.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self.decode_all(ids, np.array([0, len(ids)]))[0].as_py()
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS) -> list[str]:
@@ -392,12 +437,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary, lexicon)
         for b in slices(batches, b_text, SLICE):
-            ids = code.encode(b.column(b_text).to_pylist())
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate(ids).view(np.int32) if ids else np.zeros(0, np.int32)
-            out = [*b.columns[:b_text], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            ids, at = code.encode_all(b.column(b_text).to_pylist())
+            out = [*b.columns[:b_text], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))]
             if decode:
-                out.append(pa.array([code.decode(x) for x in ids], pa.string()))
+                out.append(code.decode_all(ids, at))
             yield pa.RecordBatch.from_arrays(out, names)
 
     b_text = 1 + len(keep)

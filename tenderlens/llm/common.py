@@ -1,11 +1,13 @@
-"""What the operators share: tables, written intermediate results, Arrow batches cut by size, components of a graph."""
+"""What the operators share: tables, written intermediate results, Arrow batches cut by size, texts cut into pieces, components
+of a graph."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -95,6 +97,36 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYT
         yield batch.slice(start, n - start)
 
 
+def cut_up(texts: list[bytes], places: Callable[[np.ndarray], np.ndarray], uncut: Iterable[int] = ()) -> tuple[
+        list[bytes], np.ndarray, np.ndarray]:
+    """The distinct pieces of the texts, the number of each piece in turn among them, and the first piece of each text.
+
+    A piece begins at every text and at the bytes that places() names of all texts in a row, but within those whose
+    numbers are in `uncut`. The firsts have one more entry, the number of all pieces.
+    """
+    raw = b"".join(texts)
+    starts = np.cumsum([0, *map(len, texts)])
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[places(np.frombuffer(raw, np.uint8))] = True
+    for i in uncut:
+        begins[starts[i]:starts[i + 1]] = False
+    begins[starts] = True
+    begins = np.flatnonzero(begins)
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(raw)])
+    found = pieces.dictionary_encode()
+    _, at, data = found.dictionary.buffers()
+    at, data = np.frombuffer(at, np.int64, len(found.dictionary) + 1).tolist(), data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(at, at[1:])], found.indices.to_numpy(), np.searchsorted(begins, starts)
+
+
+def strung(values: list[bytes] | pa.Array, of: np.ndarray, firsts: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The values numbered in `of` in a row, and the bytes at which those numbered in `firsts` begin."""
+    values = values if isinstance(values, pa.Array) else pa.array(values, pa.large_binary())
+    taken = values.take(pa.array(of))
+    _, at, data = taken.buffers()
+    return data or pa.py_buffer(b""), np.frombuffer(at, np.int64, len(of) + 1)[firsts]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in edges (a, b): the smallest node reachable over them.
 

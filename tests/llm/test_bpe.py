@@ -66,6 +66,26 @@ def test_memory_forgets_late_words_first(both, monkeypatch):
         assert len(coder.words) <= 500 and coder.words.keys() >= set(first) and "<|endoftext|>" in coder.pieces
 
 
+def test_lone_spaces_cut_and_each_distinct_word_is_split_once(both):
+    blanks = ["  ", "\n", " \n", "\n ", "\t ", "\xa0", " \xa0", "\x85 ", "\u1680 ", " \u2003", "\u2028 ", " \u3000", "\x1c ", " \x1f", " "]
+    texts = [f"{a}{blank}{b}" for blank in blanks for a in ("a", "é", "", ".", "中", "’", "🎉") for b in ("b", "à", "", "!", "字", "…", "🎉")]
+    check(both, [*texts, " ".join(texts), "".join(texts), "<|endoftext|>".join(texts), " <|endoftext|> ".join(texts)])
+    coder, seen = bpe.Encoder(bpe.Merger(PATH), both[0].lexicon), []
+    split = coder.merger.split
+    coder.merger.split = lambda text: seen.append(text) or split(text)
+    text = "the x,y ab  c. é! " * 500 + "the"
+    assert coder.encode([text, text])[1].tolist() == both[1].encode(text, add_special_tokens=False).ids
+    assert sum(map(len, seen)) < 40
+
+
+def test_decoded_texts_that_are_not_utf8(both):
+    ids = both[0].encode(["é 🎉", "plain"])
+    cut = np.concatenate([ids[0][:1], ids[0][-1:], ids[1]])
+    at = np.array([0, 1, 2, len(cut)])
+    want = [both[1].decode(cut[a:b].tolist(), skip_special_tokens=False) for a, b in zip(at, at[1:])]
+    assert both[0].decode_all(cut, at).to_pylist() == want and both[0].decode_all(cut[:0], np.array([0, 0])).to_pylist() == [""]
+
+
 def test_automaton_is_minimal_and_exact(tmp_path):
     rng = random.Random(1)
     words = sorted({bytes(rng.choices(b"abc", k=rng.randint(1, 6))) for _ in range(300)})
