@@ -29,15 +29,18 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlens.llm.common import clearing, shared_path, slices, written
+from tenderlens.llm.common import clearing, cut_up, shared_path, slices, strung, written
 
 BLOCK, LANES, CHECKPOINT = 1 << 14, 32, 1 << 12
 FRAME = 1 << 20
 #: Words a task remembers beside the library's own memory.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: Bytes of the longest word that is remembered.
+LONGEST = 256
 END = 2
 
 _STEPS, _MARK = BLOCK // LANES, CHECKPOINT // LANES
@@ -47,9 +50,10 @@ _LOW, _WORD, _WORD_MASK = 31, np.uint64(32), np.uint64(0xFFFFFFFF)
 class WordEncoder:
     """Ids of a lower-casing word vocabulary by the tokenizers library, which sees each word between blanks once.
 
-    Such a vocabulary drops white space, so words between ASCII blanks are encoded independently. Words of letters with
-    punctuation after them are looked up in two parts, as the vocabulary's own pattern parts them there. Parts that the
-    pattern cannot part further are given to the library as one text, whose ids are cut where a word ends.
+    Such a vocabulary drops white space, so words between ASCII blanks are encoded independently, and its pattern parts
+    letters, figures and punctuation, so words are cut there as well. Pieces that the pattern cannot part further are given
+    to the library as one text, whose ids are cut where a word ends. Pieces that normalization leaves as they are go through
+    the library without it.
     """
 
     def __init__(self, path: str):
@@ -57,65 +61,100 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.normal = Tokenizer(self.library.model)
+        self.normal.pre_tokenizer = self.library.pre_tokenizer
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-        self.cut = re.compile(rb"([a-z\x80-\xff]+)([^a-zA-Z0-9'\x80-\xff]+)").fullmatch
         self.marks = re.compile(rb"[^a-zA-Z0-9'\s\x80-\xff]+").fullmatch
         ends = [t.endswith("</w>") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(ends, bool)
 
-    def _whole(self, part: bytes) -> bool:
-        """Whether the pattern makes one piece of it, and normalization leaves it as it is."""
-        if part.isascii():
-            return part.isalpha() or self.marks(part) is not None
-        text = part.decode()
-        return text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
-
-    def _parts(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """(part, its ids)."""
-        whole = [p for p in parts if self._whole(p)]
-        rest = [p for p in parts if not self._whole(p)]
-        for at in range(0, len(whole), 4096):
-            some = whole[at:at + 4096]
-            ids = np.array(self.library.encode(b" ".join(some).decode(), add_special_tokens=False).ids, self.kind)
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) != len(some):  # not met so far; asked one by one all the same
-                rest += some
-                continue
-            raw, size = ids.tobytes(), self.kind.itemsize
-            yield from zip(some, (raw[a * size:b * size] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist())))
-        yield from zip(rest, self._library(rest))
-
-    def _library(self, texts: list[bytes]) -> list[bytes]:
+    def _ids(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(piece, its ids); ASCII pieces are in lower case."""
+        plain, letters, lower, other = [], [], [], []
+        for p in pieces:
+            if p.isascii():  # normalization leaves it as it is
+                (plain if p.isalpha() or self.marks(p) else lower).append(p)
+            else:
+                text = p.decode()
+                whole = text.isalpha() and unicodedata.is_normalized("NFC", text)
+                (other if not whole else plain if text.lower() == text else letters).append(p)
+        for library, group in ((self.normal, plain), (self.library, letters)):
+            for at in range(0, len(group), 1024):
+                some = group[at:at + 1024]
+                found, = library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+                ids = np.array(found.ids, self.kind)
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                if len(stop) != len(some):  # a piece became several; asked one by one
+                    other += some
+                    continue
+                raw, stop = ids.tobytes(), (stop * self.kind.itemsize).tolist()
+                yield from zip(some, (raw[a:b] for a, b in zip([0, *stop], stop)))
+        yield from zip(lower, self._library(lower, self.normal))
+        yield from zip(other, self._library(other, self.library))
+
+    def _library(self, texts: list[bytes], library) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 4096):  # what the library returns is many times the size of a word
-            found = self.library.encode_batch_fast([t.decode() for t in texts[at:at + 4096]], add_special_tokens=False)
+            found = library.encode_batch_fast([t.decode() for t in texts[at:at + 4096]], add_special_tokens=False)
             out += [np.array(e.ids, self.kind).tobytes() for e in found]
         return out
 
+    def encode_all(self, texts: list[bytes | None], last: bytes = b"") -> tuple[pa.Buffer, np.ndarray]:
+        """The ids of all texts in a row, each with `last` after it, and the bytes at which each text's begin and all end."""
+        known = self.known
+        if len(known) > REMEMBERED:  # the words met first are mostly the frequent ones
+            for word in list(islice(reversed(known), len(known) - REMEMBERED // 3)):
+                del known[word]
+        texts = [t or b"" for t in texts]
+        marked = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        words, of, firsts = cut_up(texts, _places, marked)
+        words = [w.strip() for w in words]
+        new = {w for w in words if w not in known}
+        if marked:
+            whole = [w for w in new if any(s in w for s in self.special)]
+            known.update(zip(whole, self._library(whole, self.library)))
+        lower = {w: w.lower() if w.isascii() else w for w in new if w not in known}
+        met = {p for p in lower.values() if p not in known}
+        known.update(self._ids(list(met)))
+        known.update((w, known[p]) for w, p in lower.items() if w != p)
+        values = [*map(known.__getitem__, words), last]
+        for word in new | met:
+            if len(word) > LONGEST:
+                del known[word]
+        return strung(values, np.insert(of, firsts[1:], len(words)), firsts + np.arange(len(firsts)))
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        known, parts = self.known, self.parts
-        for memory in (known, parts):
-            if len(memory) > REMEMBERED:  # the words met first are mostly the frequent ones
-                for word in list(islice(reversed(memory), len(memory) - REMEMBERED // 3)):
-                    del memory[word]
-        whole = {i: t for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
-        split = [(t or b"").split() if i not in whole else [] for i, t in enumerate(texts)]
-        halves = {}
-        for word in set().union(*split) - known.keys():
-            low = word.lower() if word.isascii() else word
-            m = self.cut(low)
-            halves[word] = m.groups() if m and (low.isascii() or self._whole(m[1])) else (low,)
-        new = list({p for both in halves.values() for p in both} - parts.keys())
-        parts.update(self._parts(new))
-        for word, both in halves.items():
-            known[word] = b"".join(map(parts.__getitem__, both))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for i, ids in zip(whole, self._library(list(whole.values()))):
-            out[i] = ids
-        return out
+        data, at = self.encode_all(texts)
+        return [data[a:b].to_pybytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+# What the vocabulary's pattern tells apart, of ASCII and of the characters of two and three bytes.
+_OTHER, _LETTER, _FIGURE, _SIGN, _QUOTE, _BLANK = range(6)
+_ASCII = np.array([_BLANK if chr(c) in " \t\n\v\f\r" else _LETTER if chr(c).isalpha() else _FIGURE if chr(c).isdigit() else _QUOTE
+                   if chr(c) == "'" else _SIGN if 32 < c < 127 else _OTHER for c in range(128)] + [_OTHER] * 128, np.uint8)
+_LETTERS = np.array([chr(c).isalpha() for c in range(1 << 16)])
+# Whether a cut lies between two of them: wherever they differ, but for an apostrophe and what may belong to it.
+_CUTS = ~np.eye(6, dtype=bool)
+_CUTS[_OTHER], _CUTS[_BLANK], _CUTS[_QUOTE, [_SIGN, _LETTER]], _CUTS[_SIGN, _QUOTE] = False, False, False, False
+_CUTS[:, _OTHER], _CUTS[_OTHER, _BLANK] = False, True
+_CUTS = _CUTS.reshape(-1)
+
+
+def _places(raw: np.ndarray) -> np.ndarray:
+    """Where runs of ASCII blanks begin, which stay before the word, and where letters, figures and punctuation meet."""
+    kinds = _ASCII[raw]
+    for low, high, size in ((0xC2, 0xE0, 2), (0xE0, 0xF0, 3)):
+        at = np.flatnonzero((raw >= low) & (raw < high))
+        at = at[at <= len(raw) - size]
+        code = raw[at] & (0xFF >> size + 1)
+        for k in range(1, size):
+            code = code.astype(np.int64) << 6 | raw[at + k] & 0x3F
+        at = at[_LETTERS[code]]
+        for k in range(size):
+            kinds[at + k] = _LETTER
+    return np.flatnonzero(_CUTS[kinds[:-1] * np.uint8(6) + kinds[1:]]) + 1
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -127,8 +166,9 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         code = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, WordEncoder(vocabulary))
         last = np.array([end], code.kind).tobytes()
         for b in slices(batches, 1, 4 << 20):
-            ids = [x + last for x in code.encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            data, at = code.encode_all(b.column(1).to_pylist(), last)
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(at), data])
+            yield pa.RecordBatch.from_arrays([b.column(0), ids.cast(pa.binary())], ["doc_id", "ids"])
 
     text = F.col(text_col).cast("string").cast("binary")
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(work, "doc_id bigint, ids binary")
@@ -296,8 +336,11 @@ def write(ids: DataFrame, vocabulary: str, out: str) -> None:
     spark.createDataFrame([(r.id, r.n, int(f)) for r, f in zip(rows, table.f)], "id bigint, n bigint, frequency bigint").write.parquet(f"{out}/table")
 
 
-def read(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids (array) of every document in the files; narrow."""
+def read(spark: SparkSession, out: str, packed: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), ids of every document in the files; narrow.
+
+    The ids are an array, or packed as little-endian 32-bit integers in a binary, which Spark moves at less cost.
+    """
     table = Table.__new__(Table)
     rows = spark.read.parquet(f"{out}/table").orderBy("id").collect()
     f = np.array([r.frequency for r in rows], np.int64)
@@ -312,11 +355,16 @@ def read(spark: SparkSession, out: str) -> DataFrame:
                 r = {c: b.column(k)[i].as_py() for k, c in enumerate(b.schema.names)}
                 ids = unpack(r, r["n_tokens"], table).view(np.int32)
                 ends = np.cumsum([0, *r["lengths"]])
+                if packed:
+                    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [
+                        None, pa.py_buffer(4 * ends), pa.py_buffer(ids.astype("<i4"))]).cast(pa.binary())
+                else:
+                    raw = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(r["doc_ids"], pa.int64()), pa.array(bases[r["part"]] + r["first"] + ends[:-1]),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], ["doc_id", "start", "ids"])
+                    pa.array(r["doc_ids"], pa.int64()), pa.array(bases[r["part"]] + r["first"] + ends[:-1]), raw], ["doc_id", "start", "ids"])
 
-    return spark.read.parquet(f"{out}/frames").mapInArrow(decode, "doc_id bigint, start bigint, ids array<int>")
+    kind = "binary" if packed else "array<int>"
+    return spark.read.parquet(f"{out}/frames").mapInArrow(decode, f"doc_id bigint, start bigint, ids {kind}")
 
 
 def checksummed(stored: DataFrame) -> DataFrame:
@@ -324,9 +372,13 @@ def checksummed(stored: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(2)
-            raw, at = ids.values.to_numpy().astype("<i4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(raw[s:e]) for s, e in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())],
+            if pa.types.is_binary(ids.type):
+                crc = [zlib.crc32(x.as_buffer()) for x in ids]
+                n = pc.binary_length(ids).to_numpy() // 4
+            else:
+                raw, at = ids.values.to_numpy().astype("<i4"), ids.offsets.to_numpy()
+                crc, n = [zlib.crc32(raw[s:e]) for s, e in zip(at[:-1], at[1:])], np.diff(at)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())],
                                              ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return stored.mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

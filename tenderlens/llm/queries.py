@@ -38,7 +38,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = ans.store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
-    return ans.checksummed(ans.read(spark, place))
+    return ans.checksummed(ans.read(spark, place, packed=True))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,22 @@ def test_any_text(both, texts):
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_of_words(both):
+    """Words are cut where letters, figures and punctuation meet, and each distinct piece meets the library once."""
+    ours, library = both
+    hard = ["it's 'S 'sam' ,'s a'b'll x''re", "a1b22.c-3 1's '2", "été, «être».Übung;ÜBUNG! straße(ß)", "naïve,é e\u0301, \u0301x", "ΟΔΟΣ. λόγος,ς",
+            "слово, ДОМ-дом", "中文,字 한국어.", "a\x00b \x1cc\x1f,d \xa0e\u2003f", "🎉,🎉a ٣,३a", "", " \n", "x" * 300 + ", y", "<|endoftext|>,a b"]
+    for texts in (hard, ["\n" + t + "\t" for t in hard], hard[::-1] * 3):
+        got = [np.frombuffer(x, ours.kind).tolist() for x in ours.encode([t.encode() for t in texts])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    coder, met = ans.WordEncoder(PATH), []
+    ids, coder._ids = coder._ids, lambda pieces: met.extend(pieces) or ids(pieces)
+    coder.encode([" ".join(f"{w}{mark}" for w in ("Uno", "dos", "été") for mark in ("", ",", ".", "!")).encode()] * 3)
+    coder.encode(["Dos, uno. (Été!)".encode()])
+    assert sorted(p.decode() for p in met) == sorted(["uno", "dos", "été", ",", ".", "!", "(", "Été", "!)"])
+    assert not any(len(w) > ans.LONGEST for w in ours.known)
+
+
 def test_files(spark):
     library = Tokenizer.from_file(PATH)
     texts = ["The cat, sat.", "", None, "<|endoftext|> a<|ENDOFTEXT|>", "J̌ it's 12,5", "word " * 30_000, "twice", "twice", "x" * 3000]
@@ -74,3 +90,11 @@ def test_files(spark):
     out = shared_path(spark, "none")
     ans.store(docs.where("false"), PATH, out=out)
     assert ans.read(spark, out).count() == 0
+
+
+def test_packed_ids_give_the_same_sums(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b, c", None, "", "word " * 9000])], "doc_id bigint, text string")
+    out = ans.store(docs, PATH)
+    packed, arrays = ans.read(spark, out, packed=True), ans.read(spark, out)
+    assert sorted(ans.checksummed(packed).collect()) == sorted(ans.checksummed(arrays).collect())
+    assert {r.doc_id: np.frombuffer(r.ids, "<i4").tolist() for r in packed.collect()} == {r.doc_id: r.ids for r in arrays.collect()}
