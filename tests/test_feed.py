@@ -190,3 +190,25 @@ def test_pages_without_anything_to_escape_take_one_pass_and_give_the_same(apply)
 def test_special_parts_begin_with_one_fixed_character():
     # The matcher passes over plain text at the speed of a search for that character.
     assert all(p.startswith("(?s)<(?:") for p in (feed.SPECIAL, feed.SPECIAL_CONTENT))
+
+
+def test_each_field_of_an_address_is_sought_once(spark):
+    """Where a field is named several times, the text it is found in is searched once, and a type code in plain sight is not parsed."""
+    rows = feed.feed_contracts(feed.feed_entries(pages(spark, page(SIMPLE))), max_year=2027)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"<{name}(?") for name in ("CityName", "PostalZone", "CountrySubentity")] == [1, 1, 1]
+
+
+def test_type_codes_in_plain_sight_and_others(spark):
+    entry = "<entry><summary>Órgano Contratante: X; Importe: 7</summary><cac:ProcurementProject a='>'>{}</cac:ProcurementProject>{}</entry>"
+    second = "<cac:ProcurementProject><cbc:TypeCode>1</cbc:TypeCode></cac:ProcurementProject>"
+    cases = [
+        ("<cbc:TypeCode>3</cbc:TypeCode>", "Obras"), ("<cbc:Name>n</cbc:Name> <cbc:TypeCode listURI='u>'> 3 </cbc:TypeCode>", "Obras"),
+        ("<cbc:TypeCodes>8</cbc:TypeCodes><cbc:TypeCode>&#51;</cbc:TypeCode>", "Obras"), ("<cbc:TypeCode> </cbc:TypeCode>", "Suministros"),
+        ("<cac:Sub><cbc:TypeCode>8</cbc:TypeCode></cac:Sub><cbc:TypeCode>3</cbc:TypeCode>", "Obras"), ("<cbc:TypeCode/>", "Suministros"),
+        ("<cbc:TypeCode/><cbc:TypeCode>3</cbc:TypeCode>", "Obras"), ("<cbc:Name/><cbc:TypeCode>2</cbc:TypeCode>", "Servicios"),
+        ("<cbc:TypeCode>99</cbc:TypeCode>", "Tipo 99"),
+    ]
+    found = read(spark, *[entry.format(text, after) for after in (second, "") for text, _ in cases])
+    alone = [{"Suministros": "Otros"}.get(label, label) for _, label in cases]
+    assert [found[i].contract_type for i in range(2 * len(cases))] == [label for _, label in cases] + alone
