@@ -11,6 +11,7 @@ from tenderlens import schema
 from tenderlens.operators.radar import by_risk
 from tenderlens.operators.rankings import buyer_supplier_relations, top_suppliers
 from tenderlens.refdata import LIMIT_INGEST
+from tenderlens.session import shuffles_dropped
 from tenderlens.sources import parts
 from tenderlens.sources.feed import FEED_FILES, feed_contracts, feed_entries, read_feed_pages
 
@@ -120,7 +121,8 @@ def export_tables(radar: DataFrame, contracts: DataFrame) -> dict[str, DataFrame
     }
 
 
-def write_csv(tables: dict[str, DataFrame], folder: str, mode: str = "overwrite") -> None:
-    """Each table as a folder of CSV files with header."""
+def write_csv(tables: dict[str, DataFrame], folder: str, mode: str = "overwrite", compression: str | None = None) -> None:
+    """Each table as a folder of CSV files with header, packed if a compression is named."""
     for name, table in tables.items():
-        table.write.mode(mode).option("header", True).option("escape", '"').csv(f"{folder.rstrip('/')}/{name}")
+        with shuffles_dropped(table.sparkSession):
+            table.write.mode(mode).option("header", True).option("escape", '"').csv(f"{folder.rstrip('/')}/{name}", compression=compression)

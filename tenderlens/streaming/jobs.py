@@ -15,6 +15,7 @@ from tenderlens import schema
 from tenderlens.operators.radar import folded_amounts, groups_of, refold, score
 from tenderlens.refdata import LIMIT_INGEST
 from tenderlens.schema import GROUP_KEYS
+from tenderlens.session import shuffles_dropped
 from tenderlens.sources import parts
 from tenderlens.sources.feed import FEED_FILES, feed_contracts, feed_entries
 from tenderlens.sources.revisions import upsert_revisions
@@ -103,12 +104,13 @@ def stream_radar(
                 by_year.setdefault(year, []).append(b)
             here = reduce(or_, [(F.col("fiscal_year") == y) & F.col("bucket").isin(b) for y, b in by_year.items()])
             valid = kept.where(here & F.col("run").isin(sorted(set(taken.values()))) & F.col("version").isin(sorted(held)))
-            (
-                score(groups_of(refold(valid)), min_contracts).withColumn("bucket", bucket)
-                .hint("rebalance", F.col("fiscal_year"), F.col("bucket"))
-                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                .partitionBy("fiscal_year", "bucket").parquet(radar_table)
-            )
+            with shuffles_dropped(session):
+                (
+                    score(groups_of(refold(valid)), min_contracts).withColumn("bucket", bucket)
+                    .hint("rebalance", F.col("fiscal_year"), F.col("bucket"))
+                    .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                    .partitionBy("fiscal_year", "bucket").parquet(radar_table)
+                )
             full = {tuple(r) for r in valid.select("fiscal_year", "bucket").distinct().collect()}
             for year, b in touched - full:
                 parts.delete_folder(session, f"{radar_table.rstrip('/')}/fiscal_year={year}/bucket={b}")
@@ -125,8 +127,9 @@ def stream_radar(
 
 
 def _write_run(rows: DataFrame, amounts: str, run: str) -> None:
-    rows.withColumn("run", F.lit(run)).hint("rebalance", F.col("fiscal_year"), F.col("bucket")).write.mode("append").partitionBy(
-        "fiscal_year", "bucket", "run").parquet(amounts)
+    with shuffles_dropped(rows.sparkSession):
+        rows.withColumn("run", F.lit(run)).hint("rebalance", F.col("fiscal_year"), F.col("bucket")).write.mode("append").partitionBy(
+            "fiscal_year", "bucket", "run").parquet(amounts)
 
 
 def _merge_runs(spark: SparkSession, amounts: str, log: str, taken: dict[str, str], step: int) -> dict[str, str]:

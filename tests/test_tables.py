@@ -1,4 +1,5 @@
 import json
+import os
 import re
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from tenderlens import schema
 from tenderlens.operators import radar
 from tenderlens.operators.filters import ContractFilter, query_contracts
 from tenderlens.plans import testmap
+from tenderlens.session import CLEANUP
 from tenderlens.sources import tables
 from tenderlens.streaming import stream_contracts, stream_radar
 from tests.test_feed import GIJON, SIMPLE, page
@@ -146,3 +148,27 @@ def test_a_batch_rewrites_only_what_it_touches(spark, tmp_path):
     key = F.struct(*radar.COLUMNS).cast("string").alias("k")
     whole = radar.radar(tables.load_contracts(spark, table), ordered=False).select(key)
     assert sorted(r.k for r in spark.read.parquet(out).select(key).collect()) == sorted(r.k for r in whole.collect())
+
+
+def test_a_write_leaves_nothing_of_its_shuffles(spark, tmp_path):
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        return {os.path.join(at, f) for d in folders for at, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+
+    rows = contracts_of(spark, 2000)
+    before, setting = shuffled(), spark.conf.get(CLEANUP, None)
+    tables.write_contracts(rows.repartition(3), str(tmp_path / "t"))
+    tables.write_csv({"a": rows.repartition(3)}, str(tmp_path / "csv"), compression="gzip")
+    assert shuffled() <= before
+    assert spark.conf.get(CLEANUP, None) == setting and tables.load_contracts(spark, str(tmp_path / "t")).count() == 2000
+    names = [f for f in os.listdir(tmp_path / "csv/a") if f.startswith("part-")]
+    assert names and all(f.endswith(".csv.gz") for f in names)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "csv/a"))
+    assert back.count() == 2000 and back.columns == rows.columns
+
+
+def contracts_of(spark, n):
+    made = spark.range(n)
+    values = {"amount": F.col("id") / 7, "fiscal_year": (2020 + F.col("id") % 3).cast("int"), "buyer": F.concat(F.lit('B "'), F.col("id").cast("string"))}
+    return made.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.CONTRACTS])
